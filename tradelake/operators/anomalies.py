@@ -88,3 +88,56 @@ def anomalies(
             *ANOMALY_COLUMNS[6:],
         )
     )
+
+
+# --- Q20-Q23: anomaly search page ---------------------------------------------------------------
+def search_anomalies(
+    anomalies_df: DataFrame,
+    date_from,
+    date_to,
+    ticker: str | None = None,
+    types: tuple[str, ...] | list[str] = ("price_jump", "turnover_spike", "deals_spike"),
+    min_abs_pct: float = 0.0,
+) -> DataFrame:
+    """Inclusive period, optional ticker, type list, ``|value| >= min_abs_pct``; ordered by
+    date desc, |value| desc, ticker."""
+    a = anomalies_df.where(
+        F.col("trade_date").between(F.lit(str(date_from)).cast("date"), F.lit(str(date_to)).cast("date"))
+        & F.col("anomaly_type").isin(list(types))
+        & (F.abs("anomaly_value_pct") >= F.lit(float(min_abs_pct)))
+    )
+    if ticker is not None:
+        a = a.where(F.col("ticker") == F.lit(ticker))
+    return a.select(
+        "trade_date",
+        "ticker",
+        "issuer_name",
+        "anomaly_type",
+        "anomaly_value_pct",
+        "price_avg_weighted",
+        "turnover_value",
+        "deals_count",
+    ).orderBy(F.col("trade_date").desc(), F.abs("anomaly_value_pct").desc(), "ticker")
+
+
+def anomaly_headline(found: DataFrame) -> DataFrame:
+    """Count, distinct tickers and the largest |value| (0 when nothing was found)."""
+    return found.agg(
+        F.count(F.lit(1)).alias("anomalies_count"),
+        F.countDistinct("ticker").alias("tickers_count"),
+        F.coalesce(F.max(F.abs("anomaly_value_pct")), F.lit(0.0)).alias("max_abs_value_pct"),
+    )
+
+
+def anomalies_by_type(found: DataFrame) -> DataFrame:
+    return found.groupBy("anomaly_type").agg(F.count(F.lit(1)).alias("count"))
+
+
+def anomalies_by_ticker(found: DataFrame, n: int = 10) -> DataFrame:
+    """Top ``n`` tickers by anomaly count, ties by ticker."""
+    return (
+        found.groupBy("ticker")
+        .agg(F.count(F.lit(1)).alias("count"))
+        .orderBy(F.col("count").desc(), "ticker")
+        .limit(n)
+    )
