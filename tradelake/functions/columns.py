@@ -77,7 +77,7 @@ def round_half_up(c: str | Column, digits: int) -> Column:
 
 def coerce_double(c: str | Column) -> Column:
     """Text to double; unparsable and NaN become NULL, infinity raises (file is rejected)."""
-    v = F.try_cast(F.btrim(col(c).cast("string")), "double")
+    v = F.btrim(col(c).cast("string")).try_cast("double")
     bad = F.raise_error(F.lit("infinite value in numeric column"))
     return (
         F.when(v.isNull() | F.isnan(v), F.lit(None).cast("double"))
@@ -97,4 +97,4 @@ def coerce_int(c: str | Column) -> Column:
 
 def coerce_timestamp(c: str | Column) -> Column:
     """Text (or timestamp) to ``timestamp_ntz``; unparsable becomes NULL."""
-    return F.try_cast(col(c).cast("string"), "timestamp_ntz")
+    return col(c).cast("string").try_cast("timestamp_ntz")

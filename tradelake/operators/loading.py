@@ -90,7 +90,78 @@ def replace_files(state: ArchiveState, names: DataFrame) -> ArchiveState:
     return ArchiveState(registry, raw, state.issuers, state.instruments, state.calendar, facts)
 
 
-# --- L4: snapshot publish -------------------------------------------------------------------------
+# --- L4: batch load ---------------------------------------------------------------------------
+def load_batch(
+    state: ArchiveState | None,
+    raw: DataFrame,
+    files: DataFrame,
+    *,
+    replace: bool = False,
+    source_type: str = DEFAULT_SOURCE_TYPE,
+    notes: str | None = LOAD_NOTE,
+    loaded_at: dt.datetime | None = None,
+    gate_options: dict | None = None,
+) -> tuple[ArchiveState, DataFrame]:
+    """Load archive files in name order on top of ``state`` (``None`` = empty).
+
+    Default mode skips names already registered; ``replace`` first detaches them (L3).  Each
+    file is validated by the gate; the first rejected file aborts the run: earlier files are
+    loaded, it and later files are not (the reference's per-file transaction + abort).
+    Returns the new state (lazy) and a per-file report (file_name, file_key, status)."""
+    from .normalize import aggregate_daily, build_calendar, build_instruments, build_issuers, upsert_daily_stats
+    from .quality import gate_violations
+
+    files = files.select("file_key", "file_name", "file_order")
+    candidates = files
+    if state is not None and not replace:
+        candidates = new_files(files, state.registry)
+    if state is not None and replace:
+        state = replace_files(state, files.select("file_name"))
+    raw = raw.drop("file_order").join(candidates.select("file_key", "file_order"), "file_key")
+    viol = gate_violations(raw, **(gate_options or {}))
+    # Control decision on a list bounded by the number of files in this batch.
+    bad = [r.file_order for r in viol.join(candidates, "file_key").select("file_order").distinct().collect()]
+    first_bad = min(bad) if bad else None
+    ok = candidates if first_bad is None else candidates.where(F.col("file_order") < first_bad)
+    raw_ok = raw.join(ok.select("file_key"), "file_key", "left_semi")
+
+    reg_new = register_files(ok, raw_ok, source_type, notes, loaded_at)
+    raw_cols = raw_ok.drop("file_order")
+    if state is None:
+        new_state = ArchiveState(
+            reg_new,
+            raw_cols,
+            build_issuers(raw_ok),
+            build_instruments(raw_ok),
+            build_calendar(raw_ok),
+            upsert_daily_stats(aggregate_daily(raw_ok)),
+        )
+    else:
+        new_state = ArchiveState(
+            state.registry.unionByName(reg_new),
+            state.raw.unionByName(raw_cols, allowMissingColumns=True),
+            build_issuers(raw_ok, state.issuers),
+            build_instruments(raw_ok, state.instruments),
+            build_calendar(raw_ok, state.calendar),
+            upsert_daily_stats(aggregate_daily(raw_ok), state.facts),
+        )
+    status = (
+        F.when(F.col("skipped"), F.lit("skipped"))
+        .when(F.lit(first_bad).isNull() | (F.col("file_order") < F.lit(first_bad)), F.lit("loaded"))
+        .when(F.col("file_order") == F.lit(first_bad), F.lit("rejected"))
+        .otherwise(F.lit("aborted"))
+    )
+    cand_flag = candidates.select("file_key", F.lit(False).alias("skipped"))
+    report = (
+        files.join(cand_flag, "file_key", "left")
+        .withColumn("skipped", F.coalesce("skipped", F.lit(True)))
+        .select("file_name", "file_key", "file_order", status.alias("status"))
+        .orderBy("file_order")
+    )
+    return new_state, report
+
+
+# --- snapshot publish -------------------------------------------------------------------------
 TABLES = ("import_files", "raw_market_archive", "issuers", "instruments", "trading_calendar", "market_daily_stats")
 
 
