@@ -179,8 +179,12 @@ def _weighted(value: str, qty: str, precision: int, scale: int) -> Column:
 def aggregate_daily(raw: DataFrame, default_segment: str = DEFAULT_MARKET_SEGMENT) -> DataFrame:
     """N4 per archive file: one row per (file, ticker, trade date).
 
-    Rows need a trade time, a non-blank ticker and a non-blank issuer (the issuer join).  The
-    aggregation is partial on the map side, so a hot ticker does not concentrate raw rows.
+    Rows need a trade time, a non-blank ticker and a non-blank issuer (the issuer join).  Every
+    aggregation buffer is numeric, so Spark plans a hash aggregation with a map-side partial
+    step: a hot ticker never concentrates its raw rows in one task.  The market segment is a
+    per-file constant (stamped by the loader), so it is carried as a grouping key instead of a
+    string MAX (which would force a sort-based aggregation); the gate rejects a file that mixes
+    segments for one key.
     """
     ticker = btrim_blank_null("ticker_raw")
     rows = raw.where(
@@ -192,9 +196,10 @@ def aggregate_daily(raw: DataFrame, default_segment: str = DEFAULT_MARKET_SEGMEN
         "file_key",
         ticker.alias("ticker"),
         F.to_date("trade_datetime_raw").alias("trade_date"),
-        *[c for c in raw.columns if c.endswith("_raw") and c not in ("ticker_raw", "trade_datetime_raw")],
+        F.coalesce(btrim_blank_null("market_segment_raw"), F.lit(default_segment)).alias("market_segment"),
+        *[c for c in raw.columns if c.endswith("_raw") and c not in ("ticker_raw", "trade_datetime_raw", "market_segment_raw")],
     )
-    return rows.groupBy("file_order", "file_key", "ticker", "trade_date").agg(
+    return rows.groupBy("file_order", "file_key", "ticker", "trade_date", "market_segment").agg(
         F.min("price_min_raw").cast("decimal(18,6)").alias("price_min"),
         _weighted("price_avg_raw", "turnover_qty_raw", 18, 6).alias("price_avg_weighted"),
         F.try_divide(F.sum("price_aux_raw"), F.count("price_aux_raw"))
@@ -207,9 +212,6 @@ def aggregate_daily(raw: DataFrame, default_segment: str = DEFAULT_MARKET_SEGMEN
         F.sum(F.coalesce("turnover_qty_raw", F.lit(0))).cast("decimal(20,6)").alias("turnover_qty"),
         F.sum(F.coalesce("deals_count_raw", F.lit(0))).cast("int").alias("deals_count"),
         F.max("term_days_raw").alias("term_days"),
-        F.coalesce(F.max(btrim_blank_null("market_segment_raw")), F.lit(default_segment)).alias(
-            "market_segment"
-        ),
     )
 
 

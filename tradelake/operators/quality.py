@@ -255,7 +255,17 @@ def gate_violations(raw: DataFrame, min_year: int = 2000, max_currency_len: int
         .agg(F.count(F.lit(1)).cast("long").alias("violations"))
         .select("file_key", F.lit("instrument_conflict").alias("rule"), "violations")
     )
-    return viol.unionByName(conflicts)
+    seg = F.coalesce(F.nullif(F.btrim("market_segment_raw"), F.lit("")), F.lit("-"))
+    mixed = (
+        raw.where(reaches & F.col("trade_datetime_raw").isNotNull())
+        .groupBy("file_key", F.btrim("ticker_raw").alias("t"), F.to_date("trade_datetime_raw").alias("d"))
+        .agg(F.count_distinct(seg).alias("n"))
+        .where(F.col("n") > 1)
+        .groupBy("file_key")
+        .agg(F.count(F.lit(1)).cast("long").alias("violations"))
+        .select("file_key", F.lit("mixed_market_segment").alias("rule"), "violations")
+    )
+    return viol.unionByName(conflicts).unionByName(mixed)
 
 
 def rejected_files(violations: DataFrame) -> DataFrame:

@@ -32,6 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores (a small file with a
+    single row group is read by one task).  Large inputs already have one split per row group;
+    for them this is a no-op and adds no shuffle."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def archive_file_name(key: F.Column) -> F.Column:
     """``MarketStockResult_YYYY_MM.xlsx`` for a ``yyyymm`` key."""
     return F.format_string(
@@ -50,7 +60,7 @@ def raw_trades(
     ``file_by="ship"`` puts each row into the archive of its ship month, ``"order"`` into the
     archive of its order month (a (supplier, day) then appears in several files).
     """
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     su = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     na = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     df = li.join(su, li.l_suppkey == su.s_suppkey).join(na, su.s_nationkey == na.n_nationkey)
