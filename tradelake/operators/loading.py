@@ -28,7 +28,10 @@ def register_files(
 ) -> DataFrame:
     """Registry rows for ``file_list`` (file_key, file_name): rows_count from the raw layer;
     files without rows are registered with 0."""
-    counts = raw.groupBy("file_key").agg(F.count(F.lit(1)).cast("int").alias("rows_count"))
+    if "n_rows" in raw.columns:  # the raw aggregate
+        counts = raw.groupBy("file_key").agg(F.sum("n_rows").cast("int").alias("rows_count"))
+    else:
+        counts = raw.groupBy("file_key").agg(F.count(F.lit(1)).cast("int").alias("rows_count"))
     ts = F.lit(loaded_at).cast("timestamp_ntz") if loaded_at else F.localtimestamp()
     return file_list.select("file_key", "file_name").join(counts, "file_key", "left").select(
         "file_key",
@@ -72,6 +75,7 @@ class ArchiveState:
     instruments: DataFrame
     calendar: DataFrame
     facts: DataFrame
+    cached: tuple = ()  # persisted intermediates, released by ``publish``
 
 
 def replace_files(state: ArchiveState, names: DataFrame) -> ArchiveState:
@@ -108,8 +112,16 @@ def load_batch(
     file is validated by the gate; the first rejected file aborts the run: earlier files are
     loaded, it and later files are not (the reference's per-file transaction + abort).
     Returns the new state (lazy) and a per-file report (file_name, file_key, status)."""
-    from .normalize import aggregate_daily, build_calendar, build_instruments, build_issuers, upsert_daily_stats
-    from .quality import gate_violations
+    from pyspark import StorageLevel
+
+    from .normalize import (
+        calendar_from_parts,
+        daily_parts,
+        daily_stats_from_parts,
+        instruments_from_parts,
+        issuers_from_parts,
+    )
+    from .quality import gate_from_parts
 
     files = files.select("file_key", "file_name", "file_order")
     candidates = files
@@ -117,33 +129,38 @@ def load_batch(
         candidates = new_files(files, state.registry)
     if state is not None and replace:
         state = replace_files(state, files.select("file_name"))
-    raw = raw.drop("file_order").join(candidates.select("file_key", "file_order"), "file_key")
-    viol = gate_violations(raw, **(gate_options or {}))
-    # Control decision on a list bounded by the number of files in this batch.
+    raw = raw.drop("file_order").join(F.broadcast(candidates.select("file_key", "file_order")), "file_key")
+    # One pass over the raw rows feeds the gate, the registry counts, dimensions and facts.
+    parts = daily_parts(raw).persist(StorageLevel.MEMORY_AND_DISK)
+    viol = gate_from_parts(parts, **(gate_options or {}))
+    # Control decisions on lists bounded by the number of files in this batch.
     bad = [r.file_order for r in viol.join(candidates, "file_key").select("file_order").distinct().collect()]
     first_bad = min(bad) if bad else None
     ok = candidates if first_bad is None else candidates.where(F.col("file_order") < first_bad)
-    raw_ok = raw.join(ok.select("file_key"), "file_key", "left_semi")
+    ok_keys = [r.file_key for r in ok.select("file_key").collect()]
+    parts_ok = parts.where(F.col("file_key").isin(ok_keys))
+    raw_ok = raw.where(F.col("file_key").isin(ok_keys)).drop("file_order")
 
-    reg_new = register_files(ok, raw_ok, source_type, notes, loaded_at)
-    raw_cols = raw_ok.drop("file_order")
+    reg_new = register_files(ok, parts_ok, source_type, notes, loaded_at)
     if state is None:
         new_state = ArchiveState(
             reg_new,
-            raw_cols,
-            build_issuers(raw_ok),
-            build_instruments(raw_ok),
-            build_calendar(raw_ok),
-            upsert_daily_stats(aggregate_daily(raw_ok)),
+            raw_ok,
+            issuers_from_parts(parts_ok),
+            instruments_from_parts(parts_ok),
+            calendar_from_parts(parts_ok),
+            daily_stats_from_parts(parts_ok),
+            (parts,),
         )
     else:
         new_state = ArchiveState(
             state.registry.unionByName(reg_new),
-            state.raw.unionByName(raw_cols, allowMissingColumns=True),
-            build_issuers(raw_ok, state.issuers),
-            build_instruments(raw_ok, state.instruments),
-            build_calendar(raw_ok, state.calendar),
-            upsert_daily_stats(aggregate_daily(raw_ok), state.facts),
+            state.raw.unionByName(raw_ok, allowMissingColumns=True),
+            issuers_from_parts(parts_ok, state.issuers),
+            instruments_from_parts(parts_ok, state.instruments),
+            calendar_from_parts(parts_ok, state.calendar),
+            daily_stats_from_parts(parts_ok, state.facts),
+            (parts,) + tuple(state.cached),
         )
     status = (
         F.when(F.col("skipped"), F.lit("skipped"))
@@ -197,6 +214,8 @@ def publish(state: ArchiveState, root: str, version: str | None = None) -> str:
         if name == "raw_market_archive" and "file_key" in df.columns:
             writer = writer.partitionBy("file_key")
         writer.parquet(os.path.join(snap, name))
+    for df in state.cached:
+        df.unpersist()
     tmp = _pointer(root) + ".tmp"
     with open(tmp, "w") as fh:
         json.dump({"snapshot": snap}, fh)
@@ -217,10 +236,14 @@ def read_state(spark: SparkSession, root: str) -> ArchiveState | None:
 
 # --- L7 ---------------------------------------------------------------------------------------
 def archive_manifest(raw: DataFrame, file_list: DataFrame | None = None) -> DataFrame:
-    """Per archive: rows and distinct trade days (0, 0 for an empty archive)."""
+    """Per archive: rows and distinct trade days (0, 0 for an empty archive).  Accepts the raw
+    layer or its aggregate (``daily_parts``)."""
+    if "n_rows" in raw.columns:
+        rows, days = F.sum("n_rows"), F.countDistinct("trade_date")
+    else:
+        rows, days = F.count(F.lit(1)), F.countDistinct(F.to_date("trade_datetime_raw"))
     stats = raw.groupBy("file_key").agg(
-        F.count(F.lit(1)).cast("long").alias("rows_count"),
-        F.countDistinct(F.to_date("trade_datetime_raw")).cast("long").alias("trade_days_in_file"),
+        rows.cast("long").alias("rows_count"), days.cast("long").alias("trade_days_in_file")
     )
     files = file_list if file_list is not None else files_of(raw)
     key = F.col("file_key")

@@ -37,14 +37,82 @@ def _file_order(raw: DataFrame) -> Column:
     return F.col("file_order") if "file_order" in raw.columns else F.col("file_key")
 
 
-# --- N1 ---------------------------------------------------------------------------------------
-def build_issuers(raw: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Distinct trimmed non-blank issuer names; names already present are left untouched."""
-    names = (
-        raw.select(btrim_blank_null("issuer_name_raw").alias("issuer_name"))
-        .where(F.col("issuer_name").isNotNull())
-        .distinct()
+# --- one pass over raw ----------------------------------------------------------------------
+PART_KEYS = [
+    "file_order",
+    "file_key",
+    "ticker",
+    "issuer_name",
+    "currency_code",
+    "term_days",
+    "trade_date",
+    "market_segment",
+]
+
+
+def daily_parts(raw: DataFrame, default_segment: str = DEFAULT_MARKET_SEGMENT) -> DataFrame:
+    """The only pass over the raw layer: rows grouped by file, cleaned ticker / issuer /
+    currency, term, trade date and segment (any of them may be NULL), with numeric partial
+    aggregates.  Dimensions, facts, registry counts and gate rules all derive from this compact
+    table (about one row per fact), so the raw layer is scanned once per load.
+
+    Every buffer is numeric, so Spark plans a hash aggregation with a map-side partial step: a
+    hot ticker or file never concentrates its raw rows in one task.
+    """
+    v, q, y = F.col("price_avg_raw"), F.col("turnover_qty_raw"), F.col("yield_avg_raw")
+    pos_q = F.coalesce(q, F.lit(0)) > 0
+    zero = F.lit(0)
+    negative = (
+        (F.col("price_min_raw") < 0)
+        | (F.col("price_avg_raw") < 0)
+        | (F.col("price_aux_raw") < 0)
+    )
+    rows = raw.select(
+        _file_order(raw).alias("file_order"),
+        "file_key",
+        btrim_blank_null("ticker_raw").alias("ticker"),
+        btrim_blank_null("issuer_name_raw").alias("issuer_name"),
+        F.coalesce(btrim_blank_null("currency_code_raw"), F.lit(DEFAULT_CURRENCY)).alias("currency_code"),
+        F.col("term_days_raw").alias("term_days"),
+        F.to_date("trade_datetime_raw").alias("trade_date"),
+        F.coalesce(btrim_blank_null("market_segment_raw"), F.lit(default_segment)).alias("market_segment"),
+        *[c for c in raw.columns if c.endswith("_raw")],
     )
+    return rows.groupBy(*PART_KEYS).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min("price_min_raw").alias("price_min"),
+        F.sum(F.when(v.isNotNull() & pos_q, q).otherwise(zero)).alias("p_weight"),
+        F.sum(v * q).alias("p_num"),
+        F.sum(v).alias("p_sum"),
+        F.count(v).alias("p_cnt"),
+        F.sum("price_aux_raw").alias("aux_sum"),
+        F.count("price_aux_raw").alias("aux_cnt"),
+        F.min("yield_min_raw").alias("yield_min"),
+        F.max("yield_max_raw").alias("yield_max"),
+        F.sum(F.when(y.isNotNull() & pos_q, q).otherwise(zero)).alias("y_weight"),
+        F.sum(y * q).alias("y_num"),
+        F.sum(y).alias("y_sum"),
+        F.count(y).alias("y_cnt"),
+        F.sum(F.coalesce("turnover_value_raw", zero)).alias("tv_sum"),
+        F.sum(F.coalesce("turnover_qty_raw", zero)).alias("tq_sum"),
+        F.sum(F.coalesce("deals_count_raw", zero).cast("long")).alias("deals_sum"),
+        F.sum("turnover_value_raw").alias("tv_raw_sum"),
+        F.sum(F.when(negative, 1).otherwise(0)).cast("long").alias("neg_price_rows"),
+        F.sum(
+            F.when((F.col("turnover_value_raw") < 0) | (F.col("turnover_qty_raw") < 0), 1).otherwise(0)
+        ).cast("long").alias("neg_turnover_rows"),
+        F.sum(F.when(F.col("deals_count_raw") < 0, 1).otherwise(0)).cast("long").alias("neg_deals_rows"),
+    )
+
+
+def _reaching(parts: DataFrame) -> DataFrame:
+    """Parts whose rows reach the dimensions (non-blank ticker and issuer)."""
+    return parts.where(F.col("ticker").isNotNull() & F.col("issuer_name").isNotNull())
+
+
+# --- N1 ---------------------------------------------------------------------------------------
+def issuers_from_parts(parts: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    names = parts.where(F.col("issuer_name").isNotNull()).select("issuer_name").distinct()
     if existing is not None:
         names = names.join(existing.select("issuer_name"), "issuer_name", "left_anti")
     new = names.select(
@@ -56,48 +124,53 @@ def build_issuers(raw: DataFrame, existing: DataFrame | None = None) -> DataFram
     return new if existing is None else existing.unionByName(new)
 
 
+def build_issuers(raw: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Distinct trimmed non-blank issuer names; names already present are left untouched."""
+    return issuers_from_parts(daily_parts(raw), existing)
+
+
 # --- N2 ---------------------------------------------------------------------------------------
-def _instrument_tuples(raw: DataFrame, instrument_type: str) -> DataFrame:
+def instrument_tuples(parts: DataFrame, instrument_type: str = DEFAULT_INSTRUMENT_TYPE) -> DataFrame:
     """Distinct (file, ticker, issuer, currency, type, term_days) of rows that reach the join."""
     return (
-        raw.select(
-            _file_order(raw).alias("file_order"),
-            F.col("file_key"),
-            btrim_blank_null("ticker_raw").alias("ticker"),
-            btrim_blank_null("issuer_name_raw").alias("issuer_name"),
-            F.coalesce(btrim_blank_null("currency_code_raw"), F.lit(DEFAULT_CURRENCY)).alias(
-                "currency_code"
-            ),
+        _reaching(parts)
+        .select(
+            "file_order",
+            "file_key",
+            "ticker",
+            "issuer_name",
+            "currency_code",
             F.lit(instrument_type).alias("instrument_type"),
-            F.col("term_days_raw").alias("term_days"),
+            "term_days",
         )
-        .where(F.col("ticker").isNotNull() & F.col("issuer_name").isNotNull())
         .distinct()
     )
 
 
+def conflicts_from_parts(parts: DataFrame, instrument_type: str = DEFAULT_INSTRUMENT_TYPE) -> DataFrame:
+    return (
+        instrument_tuples(parts, instrument_type)
+        .groupBy("file_key", "ticker")
+        .agg(F.count(F.lit(1)).alias("variants"))
+        .where(F.col("variants") > 1)
+    )
+
+
 def instrument_conflicts(raw: DataFrame, instrument_type: str = DEFAULT_INSTRUMENT_TYPE) -> DataFrame:
     """Tickers with more than one (issuer, currency, term) tuple inside one file.
 
     Such a file cannot be loaded (the reference's upsert refuses to touch a row twice); the
     quality gate rejects the whole file.
     """
-    return (
-        _instrument_tuples(raw, instrument_type)
-        .groupBy("file_key", "ticker")
-        .agg(F.count(F.lit(1)).alias("variants"))
-        .where(F.col("variants") > 1)
-    )
+    return conflicts_from_parts(daily_parts(raw), instrument_type)
 
 
-def build_instruments(
-    raw: DataFrame,
+def instruments_from_parts(
+    parts: DataFrame,
     existing: DataFrame | None = None,
     instrument_type: str = DEFAULT_INSTRUMENT_TYPE,
 ) -> DataFrame:
-    """Upsert by ticker: the latest file sets issuer, currency and type; term_days keeps the
-    latest non-NULL value (``COALESCE(new, old)``); other columns of existing rows are kept."""
-    tuples = _instrument_tuples(raw, instrument_type).select(
+    tuples = instrument_tuples(parts, instrument_type).select(
         "file_order",
         "ticker",
         issuer_id("issuer_name").alias("issuer_id"),
@@ -120,9 +193,7 @@ def build_instruments(
             )
         )
     order = F.coalesce(F.col("file_order"), F.lit(-(2**62)))
-    latest = F.max_by(
-        F.struct("issuer_id", "currency_code", "instrument_type", "is_active"), order
-    )
+    latest = F.max_by(F.struct("issuer_id", "currency_code", "instrument_type", "is_active"), order)
     term = F.max_by(F.col("term_days"), F.when(F.col("term_days").isNotNull(), order))
     return (
         tuples.groupBy("ticker")
@@ -139,6 +210,16 @@ def build_instruments(
     )
 
 
+def build_instruments(
+    raw: DataFrame,
+    existing: DataFrame | None = None,
+    instrument_type: str = DEFAULT_INSTRUMENT_TYPE,
+) -> DataFrame:
+    """Upsert by ticker: the latest file sets issuer, currency and type; term_days keeps the
+    latest non-NULL value (``COALESCE(new, old)``); other columns of existing rows are kept."""
+    return instruments_from_parts(daily_parts(raw), existing, instrument_type)
+
+
 # --- N3 ---------------------------------------------------------------------------------------
 def calendar_rows(dates: DataFrame) -> DataFrame:
     d = F.col("trade_date")
@@ -152,69 +233,81 @@ def calendar_rows(dates: DataFrame) -> DataFrame:
     )
 
 
-def build_calendar(raw: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Every distinct date with a trade time, even on rows whose ticker or issuer is blank."""
-    dates = (
-        raw.where(F.col("trade_datetime_raw").isNotNull())
-        .select(F.to_date("trade_datetime_raw").alias("trade_date"))
-        .distinct()
-    )
+def calendar_from_parts(parts: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    dates = parts.where(F.col("trade_date").isNotNull()).select("trade_date").distinct()
     if existing is not None:
         dates = dates.join(existing.select("trade_date"), "trade_date", "left_anti")
     new = calendar_rows(dates)
     return new if existing is None else existing.unionByName(new)
 
 
-# --- N4 ---------------------------------------------------------------------------------------
-def _weighted(value: str, qty: str, precision: int, scale: int) -> Column:
-    """Quantity-weighted mean; plain mean where no positive quantity; exact, half-up rounded."""
-    v, q = F.col(value), F.col(qty)
-    weight = F.sum(F.when(v.isNotNull() & (F.coalesce(q, F.lit(0)) > 0), q).otherwise(F.lit(0)))
-    # The numerator is unconditional (a negative quantity subtracts there but not in weight).
-    weighted = F.try_divide(F.sum(v * q), weight).cast(f"decimal({precision},{scale})")
-    plain = F.try_divide(F.sum(v), F.count(v)).cast(f"decimal({precision},{scale})")
-    return F.when(weight > 0, weighted).otherwise(plain)
+def build_calendar(raw: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Every distinct date with a trade time, even on rows whose ticker or issuer is blank."""
+    return calendar_from_parts(daily_parts(raw), existing)
 
 
-def aggregate_daily(raw: DataFrame, default_segment: str = DEFAULT_MARKET_SEGMENT) -> DataFrame:
-    """N4 per archive file: one row per (file, ticker, trade date).
-
-    Rows need a trade time, a non-blank ticker and a non-blank issuer (the issuer join).  Every
-    aggregation buffer is numeric, so Spark plans a hash aggregation with a map-side partial
-    step: a hot ticker never concentrates its raw rows in one task.  The market segment is a
-    per-file constant (stamped by the loader), so it is carried as a grouping key instead of a
-    string MAX (which would force a sort-based aggregation); the gate rejects a file that mixes
-    segments for one key.
+# --- N4 ---------------------------------------------------------------------------------------
+def _weighted(num: str, weight: str, total: str, count: str, precision: int, scale: int) -> Column:
+    """Quantity-weighted mean; plain mean where no positive quantity; exact, half-up rounded.
+
+    The numerator is unconditional (a negative quantity subtracts there but not in the weight).
     """
-    ticker = btrim_blank_null("ticker_raw")
-    rows = raw.where(
-        F.col("trade_datetime_raw").isNotNull()
-        & ticker.isNotNull()
-        & btrim_blank_null("issuer_name_raw").isNotNull()
-    ).select(
-        _file_order(raw).alias("file_order"),
-        "file_key",
-        ticker.alias("ticker"),
-        F.to_date("trade_datetime_raw").alias("trade_date"),
-        F.coalesce(btrim_blank_null("market_segment_raw"), F.lit(default_segment)).alias("market_segment"),
-        *[c for c in raw.columns if c.endswith("_raw") and c not in ("ticker_raw", "trade_datetime_raw", "market_segment_raw")],
+    dec = f"decimal({precision},{scale})"
+    weighted = F.try_divide(F.col(num), F.col(weight)).cast(dec)
+    plain = F.try_divide(F.col(total), F.col(count)).cast(dec)
+    return F.when(F.col(weight) > 0, weighted).otherwise(plain)
+
+
+def facts_from_parts(parts: DataFrame) -> DataFrame:
+    """N4 per archive file: one row per (file, ticker, trade date); rows need a trade time, a
+    non-blank ticker and a non-blank issuer (the issuer join).
+
+    The market segment is a per-file constant stamped by the loader, so it is a grouping key
+    rather than a string MAX (which would force a sort-based aggregation); the gate rejects a
+    file that mixes segments for one key."""
+    p = _reaching(parts).where(F.col("trade_date").isNotNull())
+    c = p.groupBy("file_order", "file_key", "ticker", "trade_date", "market_segment").agg(
+        F.min("price_min").alias("price_min"),
+        F.sum("p_weight").alias("p_weight"),
+        F.sum("p_num").alias("p_num"),
+        F.sum("p_sum").alias("p_sum"),
+        F.sum("p_cnt").alias("p_cnt"),
+        F.sum("aux_sum").alias("aux_sum"),
+        F.sum("aux_cnt").alias("aux_cnt"),
+        F.min("yield_min").alias("yield_min"),
+        F.max("yield_max").alias("yield_max"),
+        F.sum("y_weight").alias("y_weight"),
+        F.sum("y_num").alias("y_num"),
+        F.sum("y_sum").alias("y_sum"),
+        F.sum("y_cnt").alias("y_cnt"),
+        F.sum("tv_sum").alias("tv_sum"),
+        F.sum("tq_sum").alias("tq_sum"),
+        F.sum("deals_sum").alias("deals_sum"),
+        F.max("term_days").alias("term_days"),
     )
-    return rows.groupBy("file_order", "file_key", "ticker", "trade_date", "market_segment").agg(
-        F.min("price_min_raw").cast("decimal(18,6)").alias("price_min"),
-        _weighted("price_avg_raw", "turnover_qty_raw", 18, 6).alias("price_avg_weighted"),
-        F.try_divide(F.sum("price_aux_raw"), F.count("price_aux_raw"))
-        .cast("decimal(18,6)")
-        .alias("price_aux"),
-        F.min("yield_min_raw").cast("decimal(12,6)").alias("yield_min_pct"),
-        F.max("yield_max_raw").cast("decimal(12,6)").alias("yield_max_pct"),
-        _weighted("yield_avg_raw", "turnover_qty_raw", 12, 6).alias("yield_avg_pct"),
-        F.sum(F.coalesce("turnover_value_raw", F.lit(0))).cast("decimal(20,2)").alias("turnover_value"),
-        F.sum(F.coalesce("turnover_qty_raw", F.lit(0))).cast("decimal(20,6)").alias("turnover_qty"),
-        F.sum(F.coalesce("deals_count_raw", F.lit(0))).cast("int").alias("deals_count"),
-        F.max("term_days_raw").alias("term_days"),
+    return c.select(
+        "file_order",
+        "file_key",
+        "ticker",
+        "trade_date",
+        F.col("price_min").cast("decimal(18,6)").alias("price_min"),
+        _weighted("p_num", "p_weight", "p_sum", "p_cnt", 18, 6).alias("price_avg_weighted"),
+        F.try_divide(F.col("aux_sum"), F.col("aux_cnt")).cast("decimal(18,6)").alias("price_aux"),
+        F.col("yield_min").cast("decimal(12,6)").alias("yield_min_pct"),
+        F.col("yield_max").cast("decimal(12,6)").alias("yield_max_pct"),
+        _weighted("y_num", "y_weight", "y_sum", "y_cnt", 12, 6).alias("yield_avg_pct"),
+        F.col("tv_sum").cast("decimal(20,2)").alias("turnover_value"),
+        F.col("tq_sum").cast("decimal(20,6)").alias("turnover_qty"),
+        F.col("deals_sum").cast("int").alias("deals_count"),
+        "term_days",
+        "market_segment",
     )
 
 
+def aggregate_daily(raw: DataFrame, default_segment: str = DEFAULT_MARKET_SEGMENT) -> DataFrame:
+    return facts_from_parts(daily_parts(raw, default_segment))
+
+
 # --- N5 ---------------------------------------------------------------------------------------
 def upsert_daily_stats(new: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Last file wins per (instrument, date): the whole row is overwritten, nothing accumulates.
@@ -248,3 +341,7 @@ def upsert_daily_stats(new: DataFrame, existing: DataFrame | None = None) -> Dat
 def build_daily_stats(raw: DataFrame, default_segment: str = DEFAULT_MARKET_SEGMENT) -> DataFrame:
     """N4 + N5 over all files of a batch."""
     return upsert_daily_stats(aggregate_daily(raw, default_segment))
+
+
+def daily_stats_from_parts(parts: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    return upsert_daily_stats(facts_from_parts(parts), existing)

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_blank
 from ..schemas import ANOMALY_TYPES, INSTRUMENT_TYPES
 from .loading import ArchiveState
 
@@ -216,51 +215,45 @@ def distinct_pairs(facts: DataFrame) -> DataFrame:
 
 
 # --- Q-gate -----------------------------------------------------------------------------------
-def gate_violations(raw: DataFrame, min_year: int = 2000, max_currency_len: int = 10) -> DataFrame:
-    """Per archive file, the schema constraints its rows would violate (file_key, rule, rows).
-
-    A file with any violation is rejected whole.  Rules: row_num > 0 and unique per file;
-    issuer names, tickers and currency codes that reach a dimension are not blank; currency
-    length; instrument type domain; term_days >= 0; calendar year >= ``min_year``; fact values
-    non-negative (checked on raw inputs that feed them); one instrument tuple per ticker."""
-    t = F.btrim(F.col("ticker_raw"))
-    has_ticker = F.col("ticker_raw").isNotNull() & (t != F.lit(""))
-    has_issuer = ~is_blank("issuer_name_raw")
-    cur = F.coalesce(F.nullif(F.btrim("currency_code_raw"), F.lit("")), F.lit("BYN"))
-    reaches = has_ticker & has_issuer
+def gate_from_parts(parts: DataFrame, min_year: int = 2000, max_currency_len: int = 10) -> DataFrame:
+    """Per archive file, the schema constraints its rows would violate (file_key, rule, rows),
+    computed from the raw aggregate (no extra pass over raw).  A file with any violation is
+    rejected whole.  Rules: currency code length, term_days >= 0, calendar year >= ``min_year``,
+    non-negative prices / turnover / deals, one instrument tuple per ticker and file, one
+    market segment per (ticker, day) and file.  Tickers and issuers are never blank after
+    cleaning (blank becomes NULL and the row does not reach the dimensions)."""
+    reach = F.col("ticker").isNotNull() & F.col("issuer_name").isNotNull()
+    n = F.col("n_rows")
     rules = {
-        "currency_code_too_long": reaches & (F.length(cur) > max_currency_len),
-        "negative_term_days": reaches & (F.col("term_days_raw") < 0),
-        "calendar_year_out_of_range": F.col("trade_datetime_raw").isNotNull()
-        & (F.year("trade_datetime_raw") < min_year),
-        "negative_price": reaches
-        & ((F.col("price_min_raw") < 0) | (F.col("price_avg_raw") < 0) | (F.col("price_aux_raw") < 0)),
-        "negative_turnover": reaches & ((F.col("turnover_value_raw") < 0) | (F.col("turnover_qty_raw") < 0)),
-        "negative_deals_count": reaches & (F.col("deals_count_raw") < 0),
+        "currency_code_too_long": F.when(reach & (F.length("currency_code") > max_currency_len), n),
+        "negative_term_days": F.when(reach & (F.col("term_days") < 0), n),
+        "calendar_year_out_of_range": F.when(
+            F.col("trade_date").isNotNull() & (F.year("trade_date") < min_year), n
+        ),
+        "negative_price": F.when(reach, F.col("neg_price_rows")),
+        "negative_turnover": F.when(reach, F.col("neg_turnover_rows")),
+        "negative_deals_count": F.when(reach, F.col("neg_deals_rows")),
     }
-    if "row_num" in raw.columns:
-        rules["row_num_not_positive"] = F.col("row_num") <= 0
-    per_file = raw.groupBy("file_key").agg(
-        *[F.sum(F.when(c, 1).otherwise(0)).cast("long").alias(n) for n, c in rules.items()]
+    per_file = parts.groupBy("file_key").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name) for name, c in rules.items()]
     )
-    stack = ", ".join(f"'{n}', `{n}`" for n in rules)
+    stack = ", ".join(f"'{name}', `{name}`" for name in rules)
     viol = per_file.selectExpr("file_key", f"stack({len(rules)}, {stack}) AS (rule, violations)").where(
         F.col("violations") > 0
     )
-    from .normalize import instrument_conflicts
+    from .normalize import conflicts_from_parts
 
     conflicts = (
-        instrument_conflicts(raw)
+        conflicts_from_parts(parts)
         .groupBy("file_key")
         .agg(F.count(F.lit(1)).cast("long").alias("violations"))
         .select("file_key", F.lit("instrument_conflict").alias("rule"), "violations")
     )
-    seg = F.coalesce(F.nullif(F.btrim("market_segment_raw"), F.lit("")), F.lit("-"))
     mixed = (
-        raw.where(reaches & F.col("trade_datetime_raw").isNotNull())
-        .groupBy("file_key", F.btrim("ticker_raw").alias("t"), F.to_date("trade_datetime_raw").alias("d"))
-        .agg(F.count_distinct(seg).alias("n"))
-        .where(F.col("n") > 1)
+        parts.where(reach & F.col("trade_date").isNotNull())
+        .groupBy("file_key", "ticker", "trade_date")
+        .agg(F.count_distinct("market_segment").alias("segments"))
+        .where(F.col("segments") > 1)
         .groupBy("file_key")
         .agg(F.count(F.lit(1)).cast("long").alias("violations"))
         .select("file_key", F.lit("mixed_market_segment").alias("rule"), "violations")
@@ -268,6 +261,12 @@ def gate_violations(raw: DataFrame, min_year: int = 2000, max_currency_len: int
     return viol.unionByName(conflicts).unionByName(mixed)
 
 
+def gate_violations(raw: DataFrame, min_year: int = 2000, max_currency_len: int = 10) -> DataFrame:
+    from .normalize import daily_parts
+
+    return gate_from_parts(daily_parts(raw), min_year, max_currency_len)
+
+
 def rejected_files(violations: DataFrame) -> DataFrame:
     return violations.select("file_key").distinct()
 

@@ -49,12 +49,19 @@ _WH_CACHE: dict[tuple[int, str, str], Warehouse] = {}
 
 
 def wh(spark: SparkSession, sf_dir: str, file_by: str = "ship") -> Warehouse:
-    """The warehouse derived from the test tables (lazy; only the plan objects are reused)."""
+    """The warehouse derived from the test tables.  Its raw aggregate is persisted, so the
+    queries of one session read the raw tables once; ``reset()`` drops it."""
     key = (id(spark), sf_dir, file_by)
     if key not in _WH_CACHE:
-        _WH_CACHE[key] = Warehouse.from_testdata(spark, sf_dir, file_by)
+        _WH_CACHE[key] = Warehouse.from_testdata(spark, sf_dir, file_by, persist=True)
     return _WH_CACHE[key]
 
 
+def reset() -> None:
+    for w in _WH_CACHE.values():
+        w.release()
+    _WH_CACHE.clear()
+
+
 def date_lit(s: str):
     return F.lit(s).cast(T.DateType())

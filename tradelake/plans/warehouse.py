@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import anomalies as A
@@ -28,25 +29,41 @@ class Warehouse:
     calendar: DataFrame
     facts: DataFrame
     files: DataFrame | None = None
+    parts: DataFrame | None = field(default=None, repr=False)
     _summary: DataFrame | None = field(default=None, repr=False)
 
     # --- constructors -------------------------------------------------------------------------
     @classmethod
-    def from_raw(cls, spark: SparkSession, raw: DataFrame, files: DataFrame | None = None) -> "Warehouse":
-        issuers = N.build_issuers(raw)
+    def from_raw(
+        cls, spark: SparkSession, raw: DataFrame, files: DataFrame | None = None, persist: bool = False
+    ) -> "Warehouse":
+        """Derive the state from a raw layer.  All tables come from one compact aggregate of
+        the raw rows (``daily_parts``); with ``persist`` it is kept (memory, then disk) so the
+        raw layer is read once for all of them.  Lost cached blocks are recomputed."""
+        parts = N.daily_parts(raw)
+        if persist:
+            parts = parts.persist(StorageLevel.MEMORY_AND_DISK)
         return cls(
             spark=spark,
             raw=raw,
-            issuers=issuers,
-            instruments=N.build_instruments(raw),
-            calendar=N.build_calendar(raw),
-            facts=N.build_daily_stats(raw),
+            issuers=N.issuers_from_parts(parts),
+            instruments=N.instruments_from_parts(parts),
+            calendar=N.calendar_from_parts(parts),
+            facts=N.daily_stats_from_parts(parts),
             files=files,
+            parts=parts,
         )
 
     @classmethod
-    def from_testdata(cls, spark: SparkSession, sf_dir: str, file_by: str = "ship") -> "Warehouse":
-        return cls.from_raw(spark, testdata.raw_trades(spark, sf_dir, file_by))
+    def from_testdata(
+        cls, spark: SparkSession, sf_dir: str, file_by: str = "ship", persist: bool = False
+    ) -> "Warehouse":
+        return cls.from_raw(spark, testdata.raw_trades(spark, sf_dir, file_by), persist=persist)
+
+    def release(self) -> None:
+        """Drop the cached raw aggregate (if any)."""
+        if self.parts is not None and self.parts.storageLevel.useMemory | self.parts.storageLevel.useDisk:
+            self.parts.unpersist()
 
     @classmethod
     def from_path(cls, spark: SparkSession, path: str) -> "Warehouse":
