@@ -11,7 +11,7 @@ executor without a sequence.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import btrim_blank_null
@@ -258,33 +258,29 @@ def _weighted(num: str, weight: str, total: str, count: str, precision: int, sca
     return F.when(F.col(weight) > 0, weighted).otherwise(plain)
 
 
-def facts_from_parts(parts: DataFrame) -> DataFrame:
-    """N4 per archive file: one row per (file, ticker, trade date); rows need a trade time, a
-    non-blank ticker and a non-blank issuer (the issuer join).
-
-    The market segment is a per-file constant stamped by the loader, so it is a grouping key
-    rather than a string MAX (which would force a sort-based aggregation); the gate rejects a
-    file that mixes segments for one key."""
-    p = _reaching(parts).where(F.col("trade_date").isNotNull())
-    c = p.groupBy("file_order", "file_key", "ticker", "trade_date", "market_segment").agg(
-        F.min("price_min").alias("price_min"),
-        F.sum("p_weight").alias("p_weight"),
-        F.sum("p_num").alias("p_num"),
-        F.sum("p_sum").alias("p_sum"),
-        F.sum("p_cnt").alias("p_cnt"),
-        F.sum("aux_sum").alias("aux_sum"),
-        F.sum("aux_cnt").alias("aux_cnt"),
-        F.min("yield_min").alias("yield_min"),
-        F.max("yield_max").alias("yield_max"),
-        F.sum("y_weight").alias("y_weight"),
-        F.sum("y_num").alias("y_num"),
-        F.sum("y_sum").alias("y_sum"),
-        F.sum("y_cnt").alias("y_cnt"),
-        F.sum("tv_sum").alias("tv_sum"),
-        F.sum("tq_sum").alias("tq_sum"),
-        F.sum("deals_sum").alias("deals_sum"),
-        F.max("term_days").alias("term_days"),
-    )
+_PART_SUMS = {
+    "p_weight": F.sum,
+    "p_num": F.sum,
+    "p_sum": F.sum,
+    "p_cnt": F.sum,
+    "aux_sum": F.sum,
+    "aux_cnt": F.sum,
+    "y_weight": F.sum,
+    "y_num": F.sum,
+    "y_sum": F.sum,
+    "y_cnt": F.sum,
+    "tv_sum": F.sum,
+    "tq_sum": F.sum,
+    "deals_sum": F.sum,
+    "price_min": F.min,
+    "yield_min": F.min,
+    "yield_max": F.max,
+    "term_days": F.max,
+}
+FACT_KEYS = ["ticker", "trade_date", "file_order", "file_key", "market_segment"]
+
+
+def _finish_facts(c: DataFrame) -> DataFrame:
     return c.select(
         "file_order",
         "file_key",
@@ -304,44 +300,86 @@ def facts_from_parts(parts: DataFrame) -> DataFrame:
     )
 
 
+def _fact_parts(parts: DataFrame) -> DataFrame:
+    return _reaching(parts).where(F.col("trade_date").isNotNull())
+
+
+def per_file_facts(parts: DataFrame) -> DataFrame:
+    """N4 per archive file: one row per (file, ticker, trade date); rows need a trade time, a
+    non-blank ticker and a non-blank issuer (the issuer join).
+
+    The market segment is a per-file constant stamped by the loader, so it is a grouping key
+    rather than a string MAX (which would force a sort-based aggregation); the gate rejects a
+    file that mixes segments for one key."""
+    c = _fact_parts(parts).groupBy(*FACT_KEYS).agg(*[fn(k).alias(k) for k, fn in _PART_SUMS.items()])
+    return _finish_facts(c)
+
+
+def facts_from_parts(parts: DataFrame) -> DataFrame:
+    """N4 + N5 in one shuffle: keep the parts of the latest file per (ticker, day) (a window
+    partitioned by the fact key), then add them up per key.  The aggregation reuses the
+    window's partitioning, so no second exchange and no sort-based ``max_by`` is needed; a key
+    repeated in many files only holds one part per file."""
+    latest = F.max("file_order").over(Window.partitionBy("ticker", "trade_date"))
+    # Hash-partition the compact parts by ticker: the window, this aggregation and the
+    # instrument windows downstream (keyed by instrument_id, ticker) all reuse it.  A ticker has
+    # at most one part per file and day, so this cannot concentrate a hot ticker's raw rows.
+    p = (
+        _fact_parts(parts)
+        .repartition("ticker")
+        .withColumn("_latest", latest)
+        .where(F.col("file_order") == F.col("_latest"))
+    )
+    c = p.groupBy(*FACT_KEYS).agg(*[fn(k).alias(k) for k, fn in _PART_SUMS.items()])
+    return _with_ids(_finish_facts(c))
+
+
+def _with_ids(f: DataFrame) -> DataFrame:
+    return f.select(
+        F.xxhash64("ticker", "trade_date").alias("stat_id"),
+        instrument_id("ticker").alias("instrument_id"),
+        "ticker",
+        "trade_date",
+        *FACT_VALUE_COLUMNS,
+        "file_key",
+        F.localtimestamp().alias("created_at"),
+    )
+
+
 def aggregate_daily(raw: DataFrame, default_segment: str = DEFAULT_MARKET_SEGMENT) -> DataFrame:
-    return facts_from_parts(daily_parts(raw, default_segment))
+    """N4 per archive file from the raw layer."""
+    return per_file_facts(daily_parts(raw, default_segment))
 
 
 # --- N5 ---------------------------------------------------------------------------------------
 def upsert_daily_stats(new: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Last file wins per (instrument, date): the whole row is overwritten, nothing accumulates.
 
-    Implemented as a grouped ``max_by`` over a struct (partial aggregation, skew-safe) instead
-    of a window: a key repeated in many files never gathers its copies in one task.
-    """
+    ``new`` holds per-file facts (with ``file_order``); existing facts rank below every new
+    file.  The winner is picked with a window partitioned by the fact key (a key has at most one
+    row per file)."""
     cols = FACT_VALUE_COLUMNS + ["file_key"]
     cand = new.select("ticker", "trade_date", "file_order", *cols)
     if existing is not None:
         cand = cand.unionByName(
-            existing.select(
-                "ticker",
-                "trade_date",
-                F.lit(None).cast("long").alias("file_order"),
-                *[c for c in cols],
-            )
+            existing.select("ticker", "trade_date", F.lit(None).cast("long").alias("file_order"), *cols)
         )
     order = F.coalesce(F.col("file_order"), F.lit(-(2**62)))
-    won = cand.groupBy("ticker", "trade_date").agg(F.max_by(F.struct(*cols), order).alias("w"))
-    return won.select(
-        F.xxhash64("ticker", "trade_date").alias("stat_id"),
-        instrument_id("ticker").alias("instrument_id"),
-        "ticker",
-        "trade_date",
-        *[F.col(f"w.{c}").alias(c) for c in cols],
-        F.localtimestamp().alias("created_at"),
-    )
+    latest = F.max(order).over(Window.partitionBy("ticker", "trade_date"))
+    won = cand.withColumn("_o", order).withColumn("_latest", latest).where(F.col("_o") == F.col("_latest"))
+    return _with_ids(won.drop("_o", "_latest", "file_order"))
 
 
 def build_daily_stats(raw: DataFrame, default_segment: str = DEFAULT_MARKET_SEGMENT) -> DataFrame:
     """N4 + N5 over all files of a batch."""
-    return upsert_daily_stats(aggregate_daily(raw, default_segment))
+    return facts_from_parts(daily_parts(raw, default_segment))
 
 
 def daily_stats_from_parts(parts: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    return upsert_daily_stats(facts_from_parts(parts), existing)
+    """Facts of a batch (latest file per key) upserted over ``existing`` facts: new keys replace
+    old ones whole (anti join + union, no aggregation over the existing table)."""
+    new = facts_from_parts(parts)
+    if existing is None:
+        return new
+    kept = existing.join(new.select("ticker", "trade_date"), ["ticker", "trade_date"], "left_anti")
+    return kept.unionByName(new.select(*existing.columns))

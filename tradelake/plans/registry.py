@@ -49,11 +49,12 @@ _WH_CACHE: dict[tuple[int, str, str], Warehouse] = {}
 
 
 def wh(spark: SparkSession, sf_dir: str, file_by: str = "ship") -> Warehouse:
-    """The warehouse derived from the test tables.  Its raw aggregate is persisted, so the
-    queries of one session read the raw tables once; ``reset()`` drops it."""
+    """The warehouse derived from the test tables, as lazy plans: each query is one Catalyst
+    plan from the parquet tables, so a ticker filter reaches the raw scan (it passes the
+    windows and aggregations keyed by ticker).  Nothing is cached."""
     key = (id(spark), sf_dir, file_by)
     if key not in _WH_CACHE:
-        _WH_CACHE[key] = Warehouse.from_testdata(spark, sf_dir, file_by, persist=True)
+        _WH_CACHE[key] = Warehouse.from_testdata(spark, sf_dir, file_by)
     return _WH_CACHE[key]
 
 
