@@ -90,7 +90,7 @@ def test_publish_and_read_back(spark):
     assert L.read_state(spark, root) is None
     snap = L.publish(st, root, version="v1")
     back = L.read_state(spark, root)
-    assert L.current_snapshot(root) == snap
+    assert L.current_snapshot(spark, root) == snap
     assert back.facts.count() == 1 and back.registry.count() == 1
     # a second load on top of the published snapshot writes a new version
     raw2 = make_raw(spark, [raw_row(file_key=2, file_name="f2.xlsx", trade_datetime_raw=dt.datetime(2024, 1, 9))])

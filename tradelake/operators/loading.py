@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -182,52 +181,74 @@ def load_batch(
 TABLES = ("import_files", "raw_market_archive", "issuers", "instruments", "trading_calendar", "market_daily_stats")
 
 
-def _pointer(root: str) -> str:
-    return os.path.join(root, "CURRENT")
+def _fs(spark: SparkSession, path: str):
+    """Hadoop FileSystem of ``path`` (local, HDFS, object stores alike)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def current_snapshot(root: str) -> str | None:
-    p = _pointer(root)
-    if not os.path.exists(p):
+def current_snapshot(spark: SparkSession, root: str) -> str | None:
+    fs, p = _fs(spark, f"{root.rstrip('/')}/CURRENT")
+    if not fs.exists(p):
         return None
-    with open(p) as fh:
-        return json.load(fh)["snapshot"]
+    stream = fs.open(p)
+    try:
+        reader = spark.sparkContext._jvm.java.io.BufferedReader(
+            spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8")
+        )
+        return json.loads(reader.readLine())["snapshot"]
+    finally:
+        stream.close()
+
+
+def _write_pointer(spark: SparkSession, root: str, snapshot: str) -> None:
+    """Write the pointer to a temporary file, then rename it over ``CURRENT``."""
+    fs, tmp = _fs(spark, f"{root.rstrip('/')}/CURRENT.tmp")
+    _, cur = _fs(spark, f"{root.rstrip('/')}/CURRENT")
+    out = fs.create(tmp, True)
+    try:
+        out.write(bytearray(json.dumps({"snapshot": snapshot}).encode("utf-8")))
+    finally:
+        out.close()
+    if fs.exists(cur):
+        fs.delete(cur, False)
+    if not fs.rename(tmp, cur):
+        raise OSError(f"could not publish snapshot pointer under {root}")
 
 
 def publish(state: ArchiveState, root: str, version: str | None = None) -> str:
     """Write every table of ``state`` into a new snapshot directory, then swap the pointer.
 
-    The pointer is written last (atomic rename), so a failure before it leaves readers on the
-    previous snapshot.  The path being read is never overwritten."""
+    The pointer is written last, so a failure before it leaves readers on the previous
+    snapshot.  The path being read is never overwritten; raw rows are partitioned by file."""
+    spark = state.facts.sparkSession
     version = version or dt.datetime.now(dt.timezone.utc).strftime("v%Y%m%dT%H%M%S%f")
-    snap = os.path.join(root, version)
+    snap = f"{root.rstrip('/')}/{version}"
     frames = {
         "import_files": state.registry,
         "raw_market_archive": state.raw,
         "issuers": state.issuers,
         "instruments": state.instruments,
         "trading_calendar": state.calendar,
-        "market_daily_stats": state.facts,
+        "market_daily_stats": state.facts.sortWithinPartitions("ticker", "trade_date"),
     }
     for name, df in frames.items():
         writer = df.write.mode("errorifexists")
         if name == "raw_market_archive" and "file_key" in df.columns:
             writer = writer.partitionBy("file_key")
-        writer.parquet(os.path.join(snap, name))
+        writer.parquet(f"{snap}/{name}")
     for df in state.cached:
         df.unpersist()
-    tmp = _pointer(root) + ".tmp"
-    with open(tmp, "w") as fh:
-        json.dump({"snapshot": snap}, fh)
-    os.replace(tmp, _pointer(root))
+    _write_pointer(spark, root, snap)
     return snap
 
 
 def read_state(spark: SparkSession, root: str) -> ArchiveState | None:
-    snap = current_snapshot(root)
+    snap = current_snapshot(spark, root)
     if snap is None:
         return None
-    r = lambda n: spark.read.parquet(os.path.join(snap, n))
+    r = lambda n: spark.read.parquet(f"{snap}/{n}")
     return ArchiveState(
         r("import_files"), r("raw_market_archive"), r("issuers"), r("instruments"), r("trading_calendar"),
         r("market_daily_stats"),

@@ -84,14 +84,14 @@ class Warehouse:
         )
 
     def materialize(self, path: str, with_summary: bool = True) -> "Warehouse":
-        """Write dimensions and facts (facts sorted by instrument and date inside files, so a
-        ticker or date predicate prunes row groups) and return a warehouse reading them."""
+        """Write dimensions and facts and return a warehouse reading them.  Facts come out of
+        the fold hash-partitioned by ticker; they are sorted by ticker and date inside each file
+        (no extra shuffle), so ticker and date predicates prune row groups."""
         self.issuers.write.mode("overwrite").parquet(f"{path}/issuers")
         self.instruments.write.mode("overwrite").parquet(f"{path}/instruments")
         self.calendar.write.mode("overwrite").parquet(f"{path}/trading_calendar")
         (
-            self.facts.repartition("instrument_id")
-            .sortWithinPartitions("instrument_id", "trade_date")
+            self.facts.sortWithinPartitions("ticker", "trade_date")
             .write.mode("overwrite")
             .parquet(f"{path}/market_daily_stats")
         )
