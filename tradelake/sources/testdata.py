@@ -36,10 +36,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Spread a scan that yields fewer splits than the cluster has cores (a small file with a
     single row group is read by one task).  Large inputs already have one split per row group;
     for them this is a no-op and adds no shuffle."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a remote session): leave the scan as it is
         return df
-    return df.repartition(target)
+    return df if splits >= target else df.repartition(target)
 
 
 def archive_file_name(key: F.Column) -> F.Column:
