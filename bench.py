@@ -73,11 +73,17 @@ def main() -> None:
     reset()
 
     scratch = tempfile.mkdtemp(prefix="tradelake-bench-")
-    t0 = time.perf_counter()
-    built = Warehouse.from_testdata(spark, sf_dir, persist=True)
-    stored = built.materialize(os.path.join(scratch, "state"))
-    built.release()
-    queries["stored.load"] = round(time.perf_counter() - t0, 3)
+    loads = iter(range(1000))
+    holder = {}
+
+    def load() -> None:
+        built = Warehouse.from_testdata(spark, sf_dir, persist=True)
+        holder["stored"] = built.materialize(os.path.join(scratch, f"state{next(loads)}"))
+        built.release()
+
+    # raw tables -> dimensions, facts, daily metrics and summary written (the ETL job)
+    queries["stored.load"] = timed(load)
+    stored = holder["stored"]
     m, cal = stored.metrics, stored.calendar
     stored_q = {
         "daily_metrics": lambda: run(m),

@@ -101,8 +101,9 @@ def correlation(history: DataFrame, tickers: list[str], digits: int = 3) -> Data
     )
     c = {t: F.col(f"`{t}`") for t in tickers}
     aggs: list[Column] = [F.count(c[t]).alias(f"n_{i}") for i, t in enumerate(tickers)]
+    # The matrix is symmetric: co-moments of the upper triangle (with the diagonal) only.
     for i, a in enumerate(tickers):
-        for j, b in enumerate(tickers):
+        for j, b in enumerate(tickers[i:], start=i):
             both = c[a].isNotNull() & c[b].isNotNull()
             x, y = F.when(both, c[a]), F.when(both, c[b])
             cov = F.covar_samp(x, y)
@@ -117,7 +118,7 @@ def correlation(history: DataFrame, tickers: list[str], digits: int = 3) -> Data
                 F.lit(a).alias("ticker_a"),
                 F.lit(b).alias("ticker_b"),
                 (present[i] & present[j]).alias("keep"),
-                round_half_up(f"c_{i}_{j}", digits).alias("correlation"),
+                round_half_up(f"c_{min(i, j)}_{max(i, j)}", digits).alias("correlation"),
             )
             for i, a in enumerate(tickers)
             for j, b in enumerate(tickers)

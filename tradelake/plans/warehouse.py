@@ -31,6 +31,7 @@ class Warehouse:
     files: DataFrame | None = None
     parts: DataFrame | None = field(default=None, repr=False)
     _summary: DataFrame | None = field(default=None, repr=False)
+    _metrics: DataFrame | None = field(default=None, repr=False)
 
     # --- constructors -------------------------------------------------------------------------
     @classmethod
@@ -68,11 +69,13 @@ class Warehouse:
     @classmethod
     def from_path(cls, spark: SparkSession, path: str) -> "Warehouse":
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        summary = None
-        try:
-            summary = read("instrument_summary")
-        except Exception:  # summary not materialised yet
-            summary = None
+
+        def optional(name: str) -> DataFrame | None:
+            try:
+                return read(name)
+            except Exception:  # not materialised (yet)
+                return None
+
         return cls(
             spark=spark,
             raw=None,
@@ -80,7 +83,8 @@ class Warehouse:
             instruments=read("instruments"),
             calendar=read("trading_calendar"),
             facts=read("market_daily_stats"),
-            _summary=summary,
+            _summary=optional("instrument_summary"),
+            _metrics=optional("daily_metrics"),
         )
 
     def materialize(self, path: str, with_summary: bool = True) -> "Warehouse":
@@ -97,6 +101,12 @@ class Warehouse:
         )
         stored = Warehouse.from_path(self.spark, path)
         if with_summary:
+            # Materialised views: daily metrics (returns over full history, sorted by ticker and
+            # date) and the instrument summary, refreshed with every load.
+            stored.metrics.sortWithinPartitions("ticker", "trade_date").write.mode("overwrite").parquet(
+                f"{path}/daily_metrics"
+            )
+            stored = Warehouse.from_path(self.spark, path)
             M.save_summary(stored.summary, f"{path}/instrument_summary")
             stored = Warehouse.from_path(self.spark, path)
         return stored
@@ -104,6 +114,8 @@ class Warehouse:
     # --- derived views (lazy) -----------------------------------------------------------------
     @cached_property
     def metrics(self) -> DataFrame:
+        if self._metrics is not None:
+            return self._metrics
         return M.daily_metrics(self.facts, self.instruments, self.issuers)
 
     @property
