@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import sys
+import tempfile
 from decimal import Decimal
 
 import pytest
@@ -27,6 +28,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "6g")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tl-warehouse-"))
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

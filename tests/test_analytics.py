@@ -219,3 +219,41 @@ def test_anomaly_search_page(spark):
     assert h.anomalies_count == 1 and h.tickers_count == 1
     none = A.anomaly_headline(A.search_anomalies(w.anomalies, "2030-01-01", "2030-01-31")).collect()[0]
     assert (none.anomalies_count, none.max_abs_value_pct) == (0, 0.0)
+
+
+def test_all_screen_predicates(spark):
+    w = wh_prices(spark, {"A": [10, 11, 12], "B": [10, 9, 8], "C": [10, 10.5, 10.2]})
+    stats = Q.period_stats(w.metrics, w.calendar, "2024-01-01", "2024-01-31")
+    rows = {r.ticker: r for r in stats.collect()}
+
+    def names(flt):
+        return sorted(r.ticker for r in Q.screen(stats, flt).collect())
+
+    assert names(Q.ScreenFilter(min_avg_turnover_value=100.0)) == ["A", "B", "C"]
+    assert names(Q.ScreenFilter(min_avg_turnover_value=100.01)) == []
+    assert names(Q.ScreenFilter(min_avg_deals_count=1.0)) == ["A", "B", "C"]
+    assert names(Q.ScreenFilter(min_active_days_share_pct=100.0)) == ["A", "B", "C"]
+    dd_b = abs(rows["B"].max_drawdown_pct)
+    assert names(Q.ScreenFilter(max_abs_drawdown_pct=dd_b - 0.01)) == ["A", "C"]
+    assert names(Q.ScreenFilter(max_volatility_pct=rows["A"].volatility_pct)) == sorted(
+        t for t, r in rows.items() if r.volatility_pct <= rows["A"].volatility_pct
+    )
+
+
+def test_summary_refresh_only_when_saved(spark):
+    w = wh_prices(spark, {"A": [10, 11]})
+    table = "tl_summary_refresh_test"
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    assert M.refresh_summary(spark, w.metrics, table) is False  # informational no-op
+    M.save_summary(w.summary, table, as_table=True)
+    w2 = wh_prices(spark, {"A": [10, 11], "B": [5, 6]})
+    assert M.refresh_summary(spark, w2.metrics, table) is True
+    assert spark.table(table).count() == 2
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def test_price_index_wide_layout(spark):
+    w = wh_prices(spark, {"A": [10, "skip", 20], "B": ["skip", 5, "skip"]})
+    h = P.compare_history(w.metrics, ["A", "B"], "2024-01-01", "2024-01-31")
+    wide = P.price_index_wide(P.price_index(h, ["A", "B"]), ["A", "B"]).collect()
+    assert [(r.A, r.B) for r in wide] == [(100.0, None), (100.0, 100.0), (200.0, 100.0)]

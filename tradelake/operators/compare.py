@@ -80,7 +80,12 @@ def price_index(history: DataFrame, tickers: list[str]) -> DataFrame:
 
 def price_index_wide(index_long: DataFrame, tickers: list[str]) -> DataFrame:
     """The chart layout: one row per date, one column per ticker."""
-    return index_long.groupBy("trade_date").pivot("ticker", tickers).agg(F.first("price_index")).orderBy("trade_date")
+    v = F.col("price_index")
+    return (
+        index_long.groupBy("trade_date")
+        .agg(*[F.max(F.when(F.col("ticker") == F.lit(t), v)).alias(t) for t in tickers])
+        .orderBy("trade_date")
+    )
 
 
 def correlation(history: DataFrame, tickers: list[str], digits: int = 3) -> DataFrame:
@@ -93,11 +98,13 @@ def correlation(history: DataFrame, tickers: list[str], digits: int = 3) -> Data
     two remaining tickers give an empty result.
     """
     tickers = list(dict.fromkeys(tickers))
+    # Pivot as conditional aggregates (one hash aggregation, no PivotFirst): mean per
+    # (date, ticker), like pandas pivot_table; a fact key is unique, so it is the value itself.
+    r = F.col("daily_return_pct")
     wide = (
         history.where(F.col("ticker").isin(tickers))
         .groupBy("trade_date")
-        .pivot("ticker", tickers)
-        .agg(F.avg("daily_return_pct"))
+        .agg(*[F.avg(F.when(F.col("ticker") == F.lit(t), r)).alias(t) for t in tickers])
     )
     c = {t: F.col(f"`{t}`") for t in tickers}
     aggs: list[Column] = [F.count(c[t]).alias(f"n_{i}") for i, t in enumerate(tickers)]
