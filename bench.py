@@ -15,7 +15,7 @@ import json
 import os
 import statistics
 import sys
-import tempfile
+import uuid
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -27,7 +27,7 @@ from tradelake.operators import screening as Q  # noqa: E402
 from tradelake.plans import QUERIES  # noqa: E402
 from tradelake.plans.registry import COMPARE_TICKERS, DATE_FROM, DATE_TO, reset  # noqa: E402
 from tradelake.plans.warehouse import Warehouse  # noqa: E402
-from tradelake.session import build_session  # noqa: E402
+from tradelake.session import build_session, ensure_checkpoint_dir  # noqa: E402
 
 RAW_HEADLINE = [
     "daily_stats",
@@ -72,7 +72,8 @@ def main() -> None:
         queries[f"raw.{name}"] = timed(lambda n=name: run(QUERIES[n](spark, sf_dir)), before=reset)
     reset()
 
-    scratch = tempfile.mkdtemp(prefix="tradelake-bench-")
+    # stored state goes to the shared folder named by spark.checkpoint.dir (a new one per run)
+    scratch = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bench-{uuid.uuid4().hex}"
     loads = iter(range(1000))
     holder = {}
 
