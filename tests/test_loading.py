@@ -158,3 +158,19 @@ def test_row_numbers_are_consecutive_per_group(spark):
     for g, items in by_g.items():
         items.sort()
         assert [rn for _, rn in items] == list(range(1, len(items) + 1))
+
+
+def test_join_small_broadcasts_only_within_bound(spark):
+    from tradelake.functions.joins import join_small
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = spark.range(1000).withColumnRenamed("id", "k")
+        small = spark.range(10).withColumnRenamed("id", "k")
+        within = join_small(big, small, "k", rows=10)
+        beyond = join_small(big, small, "k", rows=10, max_rows=5)
+        assert "BroadcastHashJoin" in within._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in beyond._jdf.queryExecution().executedPlan().toString()
+        assert within.count() == beyond.count() == 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

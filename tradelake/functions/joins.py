@@ -1,0 +1,25 @@
+"""Join helpers with an explicit size check on the side that is broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest side (rows) that is broadcast by hand: file lists and ticker lists have rows of a few
+# dozen bytes, so this stays well below the driver's and executors' broadcast budget.
+BROADCAST_MAX_ROWS = 200_000
+
+
+def join_small(
+    big: DataFrame,
+    small: DataFrame,
+    on,
+    rows: int,
+    how: str = "inner",
+    max_rows: int = BROADCAST_MAX_ROWS,
+) -> DataFrame:
+    """Join ``small`` (``rows`` rows, counted by the caller) onto ``big``.  Broadcast when the
+    count is within ``max_rows``; beyond it, a plain join that the planner sizes at run time
+    (shuffle join above ``spark.sql.autoBroadcastJoinThreshold``)."""
+    side = F.broadcast(small) if rows <= max_rows else small
+    return big.join(side, on, how)

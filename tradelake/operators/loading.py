@@ -120,6 +120,7 @@ def load_batch(
         instruments_from_parts,
         issuers_from_parts,
     )
+    from ..functions.joins import join_small
     from .quality import gate_from_parts
 
     files = files.select("file_key", "file_name", "file_order")
@@ -128,17 +129,16 @@ def load_batch(
         candidates = new_files(files, state.registry)
     if state is not None and replace:
         state = replace_files(state, files.select("file_name"))
-    raw = raw.drop("file_order").join(F.broadcast(candidates.select("file_key", "file_order")), "file_key")
+    n_candidates = candidates.count()  # a job over the file list of this batch, not the raw rows
+    raw = join_small(raw.drop("file_order"), candidates.select("file_key", "file_order"), "file_key", n_candidates)
     # One pass over the raw rows feeds the gate, the registry counts, dimensions and facts.
     parts = daily_parts(raw).persist(StorageLevel.MEMORY_AND_DISK)
     viol = gate_from_parts(parts, **(gate_options or {}))
-    # Control decisions on lists bounded by the number of files in this batch.
-    bad = [r.file_order for r in viol.join(candidates, "file_key").select("file_order").distinct().collect()]
-    first_bad = min(bad) if bad else None
+    # The only value the driver needs: the first rejected file (files load in name order).
+    first_bad = viol.join(candidates, "file_key").agg(F.min("file_order")).first()[0]
     ok = candidates if first_bad is None else candidates.where(F.col("file_order") < first_bad)
-    ok_keys = [r.file_key for r in ok.select("file_key").collect()]
-    parts_ok = parts.where(F.col("file_key").isin(ok_keys))
-    raw_ok = raw.where(F.col("file_key").isin(ok_keys)).drop("file_order")
+    parts_ok = parts if first_bad is None else parts.where(F.col("file_order") < first_bad)
+    raw_ok = (raw if first_bad is None else raw.where(F.col("file_order") < first_bad)).drop("file_order")
 
     reg_new = register_files(ok, parts_ok, source_type, notes, loaded_at)
     if state is None:
