@@ -96,10 +96,10 @@ def main() -> None:
         "card_kpi": lambda: run(C.card_kpis(m, cal, stored.instruments, DATE_FROM, DATE_TO)),
         "comparison": lambda: run(P.compare(m, cal, COMPARE_TICKERS, DATE_FROM, DATE_TO)),
         "correlation": lambda: run(
-            P.correlation(P.compare_history(m, COMPARE_TICKERS, DATE_FROM, DATE_TO), COMPARE_TICKERS)
+            P.correlation(P.compare_history(m, COMPARE_TICKERS, DATE_FROM, DATE_TO, ordered=False), COMPARE_TICKERS)
         ),
         "price_index": lambda: run(
-            P.price_index(P.compare_history(m, COMPARE_TICKERS, DATE_FROM, DATE_TO), COMPARE_TICKERS)
+            P.price_index(P.compare_history(m, COMPARE_TICKERS, DATE_FROM, DATE_TO, ordered=False), COMPARE_TICKERS)
         ),
         "tiers": lambda: run(Q.tiers(stored.summary)),
     }

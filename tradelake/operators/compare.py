@@ -34,12 +34,14 @@ def compare(metrics: DataFrame, calendar: DataFrame, tickers: list[str], date_fr
     return s.select(*COMPARISON_COLUMNS).orderBy("ticker")
 
 
-def compare_history(metrics: DataFrame, tickers: list[str], date_from, date_to) -> DataFrame:
-    return (
-        period_rows(metrics, date_from, date_to, tickers)
-        .select("trade_date", "ticker", "price_avg_weighted", "daily_return_pct")
-        .orderBy("trade_date", "ticker")
+def compare_history(metrics: DataFrame, tickers: list[str], date_from, date_to, ordered: bool = True) -> DataFrame:
+    """Long-form history of the chosen tickers.  ``ordered=False`` skips the final sort for
+    consumers that aggregate it (index, correlation): a global sort costs a range-partition
+    sample, a shuffle and a sort, and Catalyst keeps it below averages of doubles."""
+    rows = period_rows(metrics, date_from, date_to, tickers).select(
+        "trade_date", "ticker", "price_avg_weighted", "daily_return_pct"
     )
+    return rows.orderBy("trade_date", "ticker") if ordered else rows
 
 
 def price_index(history: DataFrame, tickers: list[str]) -> DataFrame:

@@ -421,7 +421,7 @@ def q_comparison_history(spark, sf_dir):
     + "SELECT * FROM i WHERE trade_date IN (SELECT trade_date FROM i WHERE price_index IS NOT NULL)",
 )
 def q_price_index(spark, sf_dir):
-    h = P.compare_history(wh(spark, sf_dir).metrics, COMPARE_TICKERS, DATE_FROM, DATE_TO)
+    h = P.compare_history(wh(spark, sf_dir).metrics, COMPARE_TICKERS, DATE_FROM, DATE_TO, ordered=False)
     return P.price_index(h, COMPARE_TICKERS)
 
 
@@ -440,7 +440,7 @@ def q_price_index(spark, sf_dir):
     "WHERE (SELECT COUNT(*) FROM pt) >= 2",
 )
 def q_correlation(spark, sf_dir):
-    h = P.compare_history(wh(spark, sf_dir).metrics, COMPARE_TICKERS, DATE_FROM, DATE_TO)
+    h = P.compare_history(wh(spark, sf_dir).metrics, COMPARE_TICKERS, DATE_FROM, DATE_TO, ordered=False)
     return P.correlation(h, COMPARE_TICKERS)
 
 

@@ -19,7 +19,13 @@ def build_session(
     app_name: str = "tradelake",
     driver_memory: str = "8g",
     extra: dict[str, str] | None = None,
+    call_sites_in_errors: bool = False,
 ) -> SparkSession:
+    """Session for tests, the benchmark and command-line jobs.
+
+    ``call_sites_in_errors=False`` turns off PySpark's per-call capture of the Python call site
+    (several JVM round trips for every Column function); plans with many expressions, such as
+    the correlation matrix, are otherwise built slower than they run."""
     master = master or os.environ.get("TRADELAKE_MASTER", "local[*]")
     builder = (
         SparkSession.builder.master(master)
@@ -33,6 +39,7 @@ def build_session(
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", driver_memory)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", str(call_sites_in_errors).lower())
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
