@@ -257,3 +257,15 @@ def test_price_index_wide_layout(spark):
     h = P.compare_history(w.metrics, ["A", "B"], "2024-01-01", "2024-01-31")
     wide = P.price_index_wide(P.price_index(h, ["A", "B"]), ["A", "B"]).collect()
     assert [(r.A, r.B) for r in wide] == [(100.0, None), (100.0, 100.0), (200.0, 100.0)]
+
+
+def test_price_index_drops_all_null_dates(spark):
+    # d0: A not yet priced, B's base is 0 -> every ticker NULL -> the date is dropped
+    w = wh_prices(spark, {"A": ["skip", 10, 15], "B": [0, 5, 6]})
+    h = P.compare_history(w.metrics, ["A", "B"], "2024-01-01", "2024-01-31")
+    rows = P.price_index(h, ["A", "B"]).collect()
+    d1, d2 = day(1).date(), day(2).date()
+    assert sorted({r.trade_date for r in rows}) == [d1, d2]
+    assert {(r.trade_date, r.ticker): r.price_index for r in rows}[(d2, "A")] == 150.0
+    only_zero = P.compare_history(w.metrics, ["B"], "2024-01-01", "2024-01-31")
+    assert P.price_index(only_zero, ["B"]).count() == 0

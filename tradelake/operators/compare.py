@@ -54,10 +54,10 @@ def price_index(history: DataFrame, tickers: list[str]) -> DataFrame:
     h = history.where(F.col("price_avg_weighted").isNotNull()).select(
         "trade_date", "ticker", F.col("price_avg_weighted").alias("p")
     )
-    base = h.groupBy("ticker").agg(F.min_by("p", "trade_date").alias("base"))
+    base = h.groupBy("ticker").agg(F.min_by("p", "trade_date").alias("base"), F.min("trade_date").alias("first_date"))
     dates = h.select("trade_date").distinct()
     grid = dates.select("trade_date", F.explode(F.array(*[F.lit(t) for t in tickers])).alias("ticker"))
-    grid = grid.join(F.broadcast(base), "ticker")  # base has at most len(tickers) rows
+    grid = grid.join(F.broadcast(base.drop("first_date")), "ticker")  # base has at most len(tickers) rows
     filled = grid.join(h, ["trade_date", "ticker"], "left").withColumn(
         "pf",
         F.last("p", ignorenulls=True).over(
@@ -71,13 +71,11 @@ def price_index(history: DataFrame, tickers: list[str]) -> DataFrame:
         .otherwise(F.col("pf").cast("double") / F.col("base").cast("double") * F.lit(100))
         .alias("price_index"),
     )
-    any_value = F.max(F.col("price_index").isNotNull().cast("int")).over(Window.partitionBy("trade_date"))
-    return (
-        idx.withColumn("_any", any_value)
-        .where(F.col("_any") == 1)
-        .drop("_any")
-        .orderBy("trade_date", "ticker")
-    )
+    # After the forward fill a ticker with a non-zero base has a value on every date from its
+    # first price on, so a date is all-NULL exactly when it precedes the earliest such first
+    # price: a scalar subquery instead of a second window (and shuffle) keyed by date.
+    start = base.where(F.col("base") != 0).select(F.min("first_date")).scalar()
+    return idx.where(F.col("trade_date") >= start).orderBy("trade_date", "ticker")
 
 
 def price_index_wide(index_long: DataFrame, tickers: list[str]) -> DataFrame:
