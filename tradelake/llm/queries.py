@@ -29,3 +29,28 @@ def op1_mixing(spark, sf_dir):
     from .mixing import mix_digest
 
     return mix_digest(table(spark, sf_dir, "documents"))
+
+
+@register("op2_token_files")
+def op2_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    from .token_files import token_files
+
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op5_token_counts")
+def op5_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    from .token_counts import document_counts
+
+    return document_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@register("op4_simhash")
+def op4_simhash(spark, sf_dir):
+    from .simhash import simhash_digest
+
+    return simhash_digest(table(spark, sf_dir, "documents"))
