@@ -54,3 +54,10 @@ def op4_simhash(spark, sf_dir):
     from .simhash import simhash_digest
 
     return simhash_digest(table(spark, sf_dir, "documents"))
+
+
+@register("op3_decontamination")
+def op3_decontamination(spark, sf_dir):
+    from .decontaminate import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
