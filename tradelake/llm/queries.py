@@ -61,3 +61,16 @@ def op3_decontamination(spark, sf_dir):
     from .decontaminate import matches
 
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _op6_sql() -> str:
+    from .line_dedup import ORACLE_SQL
+
+    return ORACLE_SQL
+
+
+@register("op6_line_dedup", _op6_sql())
+def op6_line_dedup(spark, sf_dir):
+    from .line_dedup import line_digest
+
+    return line_digest(table(spark, sf_dir, "documents"))
