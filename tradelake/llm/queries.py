@@ -74,3 +74,16 @@ def op6_line_dedup(spark, sf_dir):
     from .line_dedup import line_digest
 
     return line_digest(table(spark, sf_dir, "documents"))
+
+
+def _op7_sql() -> str:
+    from .secret_scan import oracle_sql
+
+    return oracle_sql()
+
+
+@register("op7_secret_scan", _op7_sql())
+def op7_secret_scan(spark, sf_dir):
+    from .secret_scan import secret_digest
+
+    return secret_digest(table(spark, sf_dir, "documents"))
