@@ -87,3 +87,26 @@ def op7_secret_scan(spark, sf_dir):
     from .secret_scan import secret_digest
 
     return secret_digest(table(spark, sf_dir, "documents"))
+
+
+@register("op8_neighbours")
+def op8_neighbours(spark, sf_dir):
+    from .neighbours import neighbour_digest
+
+    return neighbour_digest(table(spark, sf_dir, "embeddings"))
+
+
+@register("op9_quality")
+def op9_quality(spark, sf_dir):
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality_scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op10_language")
+def op10_language(spark, sf_dir):
+    from . import lang_id
+
+    docs = table(spark, sf_dir, "documents")
+    return lang_id.predict(docs, lang_id.train(docs))
