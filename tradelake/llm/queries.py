@@ -110,3 +110,10 @@ def op10_language(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return lang_id.predict(docs, lang_id.train(docs))
+
+
+@register("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
