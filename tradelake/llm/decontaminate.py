@@ -60,7 +60,7 @@ class Windows:
             if len(t) < max(min_chars, Q):
                 continue
             last = max(0, len(t) - window)
-            for at in sorted({*range(0, last + 1, window // 2), last}):
+            for at in sorted({*range(0, last + 1, window // 4), last}):
                 self.item.append(item_id)
                 self.at.append(at)
                 self.text.append(codes(t[at : at + window]))
@@ -214,8 +214,8 @@ def matches(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    window: int = 120,
-    rate: float = 0.08,
+    window: int = 100,
+    rate: float = 0.1,
     min_chars: int = 32,
     block_chars: int = 10_000_000,
 ) -> DataFrame:
@@ -250,8 +250,8 @@ def decontaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    window: int = 120,
-    rate: float = 0.08,
+    window: int = 100,
+    rate: float = 0.1,
     min_chars: int = 32,
     block_chars: int = 10_000_000,
 ) -> DataFrame:
