@@ -32,7 +32,7 @@ from .common import WORD, mix64, pinned, word_count
 #: Source tables up to this many rows are broadcast; beyond it the planner chooses.
 BROADCAST_SOURCES = 10_000
 #: Documents in one bucket of the packing order, on average.
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 2_000
 
 
 @dataclass(frozen=True)
