@@ -92,7 +92,7 @@ class ByteModel:
         group, held = [], 0
         for i, t in enumerate(texts):
             for lo in range(0, len(t), CHUNK):
-                group.append((i, context_codes(t[lo : lo + CHUNK], bytes(ORDER) if lo == 0 else t[lo - ORDER : lo])))
+                group.append((i, context_codes(t[lo : lo + CHUNK], t[max(0, lo - ORDER) : lo].rjust(ORDER, b"\0"))))
                 held += len(group[-1][1])
                 if held >= CHUNK:
                     self._add(out, group)
