@@ -38,9 +38,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosine of one vector with each row, in double precision, the same for equal rows."""
-    return (x * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(axis=1)))
+def pair_cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Cosine of paired rows in double precision, the same for equal rows wherever they stand."""
+    return (x * q).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1)))
 
 
 class Tree:
@@ -116,33 +116,30 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _nearest(query_id, q, ids, x, k) -> np.ndarray:
-    """Positions of the k nearest rows, ties to the smaller id, by the exact measure."""
-    rough = _unit(x) @ (q / np.sqrt((q * q).sum()))
-    rough[ids == query_id] = -np.inf
-    if len(ids) > k:
-        at = np.flatnonzero((rough >= np.partition(rough, -k)[-k] - 1e-9) & (rough > -np.inf))
-    else:
-        at = np.flatnonzero(rough > -np.inf)
-    score = cosines(q, x[at])
-    order = np.lexsort((ids[at], -score))[:k]
-    return at[order], score[order]
+def nearest_pairs(query_ids, q, ids, x, k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, row position, score) of each query's k nearest rows, best first, ties to the
+    smaller id.  A matrix product finds the candidates; the exact measure ranks them."""
+    rough = _unit(q) @ _unit(x).T
+    rough[np.asarray(query_ids)[:, None] == np.asarray(ids)[None, :]] = -np.inf
+    least = np.partition(rough, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(q), -np.inf)
+    qi, xi = np.nonzero((rough >= least[:, None] - 1e-9) & (rough > -np.inf))
+    score = np.concatenate([pair_cosines(q[qi[i : i + 65_536]], x[xi[i : i + 65_536]]) for i in range(0, len(qi), 65_536)] or [np.empty(0)])
+    order = np.lexsort((ids[xi], -score, qi))
+    qi, xi, score = qi[order], xi[order], score[order]
+    rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
+    return qi[rank < k], xi[rank < k], score[rank < k]
 
 
 def _scan(rows: DataFrame, queries: list[tuple], k: int) -> DataFrame:
-    """True neighbours of a bounded set of queries: every task keeps k for each query."""
+    """True neighbours of a bounded set of queries: every batch keeps k for each query."""
+    qids, q = np.array([i for i, _ in queries]), np.array([v for _, v in queries])
 
     def scan(batches):
-        kept = {}
         for pdf in batches:
-            x, ids, leaf = _rows(pdf["v"]), pdf["id"].to_numpy(), pdf["leaf"].to_numpy()
-            for n, (qid, q) in enumerate(queries):
-                at, score = _nearest(qid, q, ids, x, k)
-                part = pd.DataFrame({"query_id": qid, "query_key": n, "vec_id": ids[at], "score": score, "leaf": leaf[at]})
-                both = part if n not in kept else pd.concat([kept[n], part])
-                kept[n] = both.sort_values(["score", "vec_id"], ascending=[False, True]).head(k)
-        if kept:
-            yield pd.concat(kept.values())
+            if len(pdf):
+                ids, leaf = pdf["id"].to_numpy(), pdf["leaf"].to_numpy()
+                qi, xi, score = nearest_pairs(qids, q, ids, _rows(pdf["v"]), k)
+                yield pd.DataFrame({"query_id": qids[qi], "query_key": qi, "vec_id": ids[xi], "score": score, "leaf": leaf[xi]})
 
     return _top(rows.mapInPandas(scan, "query_id long, query_key long, vec_id long, score double, leaf int"), k)
 
@@ -154,9 +151,9 @@ def nearest_neighbours(
     vector_col: str = "embedding",
     k: int = 5,
     sample: int = 20_000,
-    leaf_rows: int = 256,
+    leaf_rows: int = 1024,
     calibration: int = 200,
-    recall: float = 0.98,
+    recall: float = 0.95,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``queries`` its k nearest found in ``vectors``.
     Leaves hold about ``leaf_rows`` rows, but at least 16 rows of the sample."""
@@ -228,12 +225,9 @@ def nearest_neighbours(
         cols = ["query_id", "query_key", "vec_id", "score"]
         if not len(rows) or not len(qs):
             return pd.DataFrame({c: [] for c in cols})
-        x, ids = _rows(rows["v"]), rows["id"].to_numpy()
-        found = []
-        for i, v, key in qs[["id", "v", "query_key"]].itertuples(index=False):
-            at, score = _nearest(i, np.asarray(v, dtype=np.float64), ids, x, k)
-            found.append(pd.DataFrame({"query_id": i, "query_key": key, "vec_id": ids[at], "score": score}))
-        return pd.concat(found)[cols]
+        ids, qid, key = rows["id"].to_numpy(), qs["id"].to_numpy(), qs["query_key"].to_numpy()
+        qi, xi, score = nearest_pairs(qid, _rows(qs["v"]), ids, _rows(rows["v"]), k)
+        return pd.DataFrame({"query_id": qid[qi], "query_key": key[qi], "vec_id": ids[xi], "score": score})
 
     unit = ["leaf", "rb", "qb"]
     met = left.groupBy(*unit).cogroup(right.groupBy(*unit))
