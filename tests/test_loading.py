@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import tempfile
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tradelake.operators import loading as L
+from tradelake.operators import normalize as N
 from tradelake.operators import quality as D
 from tradelake.operators.rownum import with_row_number
+from tradelake.plans.warehouse import Warehouse
 
 from .conftest import make_raw, raw_row
 
@@ -83,30 +87,151 @@ def test_rerun_without_replace_skips_and_replace_detaches(spark):
     assert st3.raw.where(F.col("file_key") == 1).count() == 0
 
 
-def test_publish_and_read_back(spark):
-    raw = make_raw(spark, [raw_row(file_key=1, file_name="f1.xlsx")])
-    st, _ = L.load_batch(None, raw, files_df(spark, [(1, "f1.xlsx")]))
-    root = tempfile.mkdtemp(prefix="tl-state-")
+def test_replace_detaches_only_what_is_loaded(spark):
+    """f1 good, f2 rejected, f3 not reached: f2 and f3 stay as they were."""
+    old = [raw_row(file_key=k, file_name=f"f{k}.xlsx", trade_datetime_raw=dt.datetime(2024, k, 2)) for k in (1, 2, 3)]
+    names = [(k, f"f{k}.xlsx") for k in (1, 2, 3)]
+    st, _ = L.load_batch(None, make_raw(spark, old), files_df(spark, names))
+    new = [raw_row(file_key=k, file_name=f"f{k}.xlsx", trade_datetime_raw=dt.datetime(2024, k, 2), turnover_value_raw=55) for k in (1, 2, 3)]
+    new.append(raw_row(file_key=2, file_name="f2.xlsx", currency_code_raw="EUR"))
+    st2, rep = L.load_batch(st, make_raw(spark, new), files_df(spark, names), replace=True)
+    assert {r.file_name: r.status for r in rep.collect()} == {"f1.xlsx": "loaded", "f2.xlsx": "rejected", "f3.xlsx": "aborted"}
+    assert st2.raw.count() == 3 and st2.registry.count() == 3
+    facts = {r.file_key: r.turnover_value for r in st2.facts.collect()}
+    assert facts == {1: Decimal("55.00"), 2: Decimal("100.00"), 3: Decimal("100.00")}
+
+
+def test_one_bad_file_does_not_hurt_the_ones_before_it(spark):
+    raw = make_raw(spark, [raw_row(file_key=1, file_name="a"), raw_row(file_key=2, file_name="b")])
+    raw = raw.withColumn("load_error", F.when(F.col("file_key") == 2, F.lit("number out of range in price_min_raw")))
+    st, rep = L.load_batch(None, raw, files_df(spark, [(1, "a"), (2, "b")]))
+    assert [r.status for r in rep.collect()] == ["loaded", "rejected"]
+    assert st.facts.count() == 1 and "load_error" not in st.raw.columns
+
+
+def test_rows_that_are_fine_after_aggregation_are_accepted(spark):
+    raw = make_raw(spark, [raw_row(price_avg_raw=10, turnover_qty_raw=-1), raw_row(price_avg_raw=20, turnover_qty_raw=2)])
+    st, rep = L.load_batch(None, raw, files_df(spark, [(1, "f001.xlsx")]))
+    assert [r.status for r in rep.collect()] == ["loaded"]
+    assert st.facts.first().price_avg_weighted == Decimal("15")
+
+
+def test_gate_rules_on_files_and_row_numbers(spark):
+    files = files_df(spark, [(1, "a"), (2, "  ")])
+    assert [(r.file_key, r.rule) for r in D.gate_files(files, "x").collect()] == [(2, "blank_file_name")]
+    assert {(r.file_key, r.rule) for r in D.gate_files(files, " ").collect()} == {
+        (1, "blank_source_type"), (2, "blank_source_type"), (2, "blank_file_name")
+    }
+    raw = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (3, 2)], "file_key long, row_num int")
+    assert {(r.file_key, r.rule, r.violations) for r in D.gate_row_numbers(raw).collect()} == {
+        (1, "row_num_repeated", 1), (2, "row_num_not_positive", 1)
+    }
+    parts = N.daily_parts(make_raw(spark, [raw_row()]))
+    assert [r.rule for r in D.gate_from_parts(parts, instrument_type="stamp").collect()] == ["instrument_type_unknown"]
+
+
+def _root():
+    return tempfile.mkdtemp(prefix="tl-state-")
+
+
+def _one_file(spark, state, k, **kw):
+    row = raw_row(file_key=k, file_name=f"f{k}.xlsx", **{"trade_datetime_raw": dt.datetime(2024, k, 9)} | kw)
+    return L.load_batch(state, make_raw(spark, [row]), files_df(spark, [(k, f"f{k}.xlsx")]))[0]
+
+
+def _files_below(root, table):
+    return {p: os.path.getmtime(p) for d, _, names in os.walk(os.path.join(root, table)) for x in names if x.endswith(".parquet") for p in [os.path.join(d, x)]}
+
+
+def test_publish_appends(spark):
+    root = _root()
     assert L.read_state(spark, root) is None
-    snap = L.publish(st, root, version="v1")
+    for k in (1, 2, 3):
+        before = {t: _files_below(root, t) for t in ("raw_market_archive", "market_daily_stats")}
+        number = L.publish(_one_file(spark, L.read_state(spark, root), k), root)
+        assert number == k
+        for t, files in before.items():  # nothing that was there is written again
+            assert files.items() <= _files_below(root, t).items()
+            assert len(_files_below(root, t)) == len(files) + 1
+    back = L.read_state(spark, root)
+    assert back.facts.count() == 3 and back.registry.count() == 3 and back.raw.count() == 3
+    assert sorted(r.file_order for r in back.registry.collect()) == [1, 2, 3]
+
+
+def test_facts_rebuilt_from_the_stored_raw_layer_are_the_same(spark):
+    root = _root()
+    for k in (3, 1, 2):  # the last load wins, whatever its name
+        L.publish(_one_file(spark, L.read_state(spark, root), k, trade_datetime_raw=dt.datetime(2024, 1, 2), turnover_value_raw=k), root)
+    back = L.read_state(spark, root)
+    assert [r.turnover_value for r in back.facts.collect()] == [Decimal("2.00")]
+    assert [r.turnover_value for r in N.build_daily_stats(back.raw).collect()] == [Decimal("2.00")]
+
+
+def test_replaced_raw_rows_are_not_read_again(spark):
+    root = _root()
+    L.publish(_one_file(spark, None, 1), root)
+    row = raw_row(file_key=1, file_name="f1.xlsx", trade_datetime_raw=dt.datetime(2024, 2, 9), turnover_value_raw=9)
+    st, _ = L.load_batch(L.read_state(spark, root), make_raw(spark, [row]), files_df(spark, [(1, "f1.xlsx")]), replace=True)
+    L.publish(st, root)
     back = L.read_state(spark, root)
-    assert L.current_snapshot(spark, root) == snap
-    assert back.facts.count() == 1 and back.registry.count() == 1
-    # a second load on top of the published snapshot writes a new version
-    raw2 = make_raw(spark, [raw_row(file_key=2, file_name="f2.xlsx", trade_datetime_raw=dt.datetime(2024, 1, 9))])
-    st2, _ = L.load_batch(back, raw2, files_df(spark, [(2, "f2.xlsx")]))
-    L.publish(st2, root, version="v2")
-    assert L.read_state(spark, root).facts.count() == 2
+    assert [r.turnover_value_raw for r in back.raw.collect()] == [Decimal("9.00")]
+    assert {r.trade_date.month: r.file_key for r in back.facts.collect()} == {1: None, 2: 1}
+
+
+def test_failed_publish_leaves_the_state_and_can_be_repeated(spark, monkeypatch):
+    root = _root()
+    L.publish(_one_file(spark, None, 1), root)
+    with monkeypatch.context() as m:
+        m.setattr(L, "write_pointer", lambda *a: (_ for _ in ()).throw(OSError("crash")))
+        with pytest.raises(OSError):
+            L.publish(_one_file(spark, L.read_state(spark, root), 2), root)
+    assert L.read_state(spark, root).facts.count() == 1 and L.read_state(spark, root).raw.count() == 1
+    L.publish(_one_file(spark, L.read_state(spark, root), 2), root)
+    assert L.read_state(spark, root).facts.count() == 2 and L.read_state(spark, root).raw.count() == 2
+
+
+def test_stale_writer_is_refused(spark):
+    root = _root()
+    L.publish(_one_file(spark, None, 1), root)
+    a, b = L.read_state(spark, root), L.read_state(spark, root)
+    L.publish(_one_file(spark, a, 2), root)
+    with pytest.raises(OSError):
+        L.publish(_one_file(spark, b, 3), root)
+
+
+def test_empty_state_can_be_read_back(spark):
+    root = _root()
+    st, _ = L.load_batch(None, make_raw(spark, []), files_df(spark, [(1, "empty.xlsx")]))
+    L.publish(st, root)
+    back = L.read_state(spark, root)
+    assert back.raw.count() == 0 and back.facts.count() == 0
+    assert [r.rows_count for r in back.registry.collect()] == [0]
+    L.publish(_one_file(spark, back, 2), root)
+    assert L.read_state(spark, root).facts.count() == 1
+
 
+def test_materialize_twice_on_one_path(spark):
+    raw = make_raw(spark, [raw_row(), raw_row(trade_datetime_raw=dt.datetime(2024, 1, 3))])
+    path = _root()
+    stored = Warehouse.from_raw(spark, raw).materialize(path)
+    again = stored.materialize(path)
+    assert stored.metrics.count() == again.metrics.count() == 2 and again.summary.count() == 1
+    with pytest.raises(FileNotFoundError):
+        Warehouse.from_path(spark, _root())
 
-def test_manifest_with_empty_month(spark):
+
+def test_manifest_with_empty_month_and_hashed_keys(spark):
     raw = make_raw(
-        spark,
-        [raw_row(file_key=202401, file_name="m1.xlsx", trade_datetime_raw=dt.datetime(2024, 1, d)) for d in (2, 2, 3)],
+        spark, [raw_row(file_key=-77, file_name="M_2024_01.xlsx", trade_datetime_raw=dt.datetime(2024, 1, d)) for d in (2, 2, 3)]
+    )
+    files = spark.createDataFrame(
+        [(-77, "M_2024_01.xlsx"), (2**60, "M_2024_02.xlsx"), (5, "odd.xlsx")], "file_key long, file_name string"
     )
-    files = spark.createDataFrame([(202401, "m1.xlsx"), (202402, "m2.xlsx")], "file_key long, file_name string")
     m = {r.archive_file: (r.period_month, r.rows_count, r.trade_days_in_file) for r in L.archive_manifest(raw, files).collect()}
-    assert m == {"m1.xlsx": ("2024-01", 3, 2), "m2.xlsx": ("2024-02", 0, 0)}
+    assert m == {"M_2024_01.xlsx": ("2024-01", 3, 2), "M_2024_02.xlsx": ("2024-02", 0, 0), "odd.xlsx": (None, 0, 0)}
+    folder = _root() + "/m"
+    L.write_manifest(L.archive_manifest(raw, files), folder)
+    assert spark.read.option("sep", ";").option("header", True).csv(folder).count() == 3
 
 
 def test_reconciliation_with_overlap(spark):
@@ -158,19 +283,3 @@ def test_row_numbers_are_consecutive_per_group(spark):
     for g, items in by_g.items():
         items.sort()
         assert [rn for _, rn in items] == list(range(1, len(items) + 1))
-
-
-def test_join_small_broadcasts_only_within_bound(spark):
-    from tradelake.functions.joins import join_small
-
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        big = spark.range(1000).withColumnRenamed("id", "k")
-        small = spark.range(10).withColumnRenamed("id", "k")
-        within = join_small(big, small, "k", rows=10)
-        beyond = join_small(big, small, "k", rows=10, max_rows=5)
-        assert "BroadcastHashJoin" in within._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" not in beyond._jdf.queryExecution().executedPlan().toString()
-        assert within.count() == beyond.count() == 10
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -104,12 +104,27 @@ def test_same_day_in_two_files_overwrites(spark):
 
 def test_upsert_against_existing_facts(spark):
     old = N.build_daily_stats(make_raw(spark, [raw_row(file_key=1, turnover_value_raw=100), raw_row(file_key=1, trade_datetime_raw=dt.datetime(2024, 1, 3))]))
-    new = N.aggregate_daily(make_raw(spark, [raw_row(file_key=2, turnover_value_raw=40)]))
-    merged = {r.trade_date: r for r in N.upsert_daily_stats(new, old).collect()}
+    new = N.daily_parts(make_raw(spark, [raw_row(file_key=2, turnover_value_raw=40)]))
+    merged = {r.trade_date: r for r in N.daily_stats_from_parts(new, old).collect()}
     assert merged[dt.date(2024, 1, 2)].turnover_value == Decimal("40")
     assert merged[dt.date(2024, 1, 3)].file_key == 1
 
 
+def test_described_facts_take_the_latest_files_descriptors(spark):
+    raw = make_raw(
+        spark,
+        [
+            raw_row(file_key=1, issuer_name_raw="Old", currency_code_raw="EUR"),
+            raw_row(file_key=2, issuer_name_raw="New", trade_datetime_raw=dt.datetime(2024, 1, 5)),
+            raw_row(file_key=3, issuer_name_raw="Newest", trade_datetime_raw=None),
+        ],
+    )
+    w = Warehouse.from_raw(spark, raw)
+    plain = {r.trade_date: (r.issuer_name, r.currency_code) for r in w.facts.join(w.instruments, "ticker").join(w.issuers, "issuer_id").collect()}
+    own = {r.trade_date: (r.issuer_name, r.currency_code) for r in N.described_facts(w.parts).collect()}
+    assert own == plain == {dt.date(2024, 1, 2): ("Newest", "USD"), dt.date(2024, 1, 5): ("Newest", "USD")}
+
+
 def test_iso_week(spark):
     raw = make_raw(spark, [raw_row(trade_datetime_raw=dt.datetime(2024, 12, 30))])
     r = N.build_calendar(raw).collect()[0]
@@ -130,7 +145,7 @@ def test_default_segment_when_blank(spark):
 
 def test_fact_aggregation_is_hash_based(spark):
     raw = make_raw(spark, [raw_row()])
-    plan = N.aggregate_daily(raw)._jdf.queryExecution().executedPlan().toString()
+    plan = N.described_facts(N.daily_parts(raw))._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in plan
 
 

@@ -61,40 +61,52 @@ def mean_of(c: str | Column) -> Column:
 
 
 def round_half_up(c: str | Column, digits: int) -> Column:
-    """Half-up rounding of a double to ``digits`` places with plain IEEE steps.
-
-    ``sign(x) * floor(|x| * 10^d + 0.5) / 10^d``.  Values too large to carry a fraction are
-    returned unchanged, so ``floor`` never leaves the long range.
-    """
+    """Half-up rounding of a double to ``digits`` places with plain IEEE steps:
+    ``sign(x) * floor(|x| * 10^d + 0.5) / 10^d``.  From 2^52 on the sum is a whole number already,
+    so ``floor`` (which returns a long) is only asked below."""
     c = col(c).cast("double")
     scale = float(10**digits)
-    scaled = F.abs(c) * F.lit(scale)
-    rounded = F.signum(c) * F.floor(scaled + F.lit(0.5)).cast("double") / F.lit(scale)
-    return F.when(c.isNull(), F.lit(None).cast("double")).when(
-        scaled >= F.lit(4.0e15), c
-    ).otherwise(rounded)
+    up = F.abs(c) * F.lit(scale) + F.lit(0.5)
+    whole = F.when(up >= F.lit(float(2**52)), up).otherwise(F.floor(up).cast("double"))
+    return F.signum(c) * whole / F.lit(scale)
 
 
-def coerce_double(c: str | Column) -> Column:
-    """Text to double; unparsable and NaN become NULL, infinity raises (file is rejected)."""
+def parsed_double(c: str | Column) -> Column:
+    """Text to double; unparsable text and NaN become NULL, infinity stays."""
     v = F.btrim(col(c).cast("string")).try_cast("double")
-    bad = F.raise_error(F.lit("infinite value in numeric column"))
-    return (
-        F.when(v.isNull() | F.isnan(v), F.lit(None).cast("double"))
-        .when(F.abs(v) == F.lit(float("inf")), bad.cast("double"))
-        .otherwise(v)
-    )
+    return F.when(~F.isnan(v), v)
+
+
+def coerce_double(c: str | Column) -> Column:
+    """Text to double; unparsable, NaN and infinite become NULL (see ``coercion_failed``)."""
+    v = parsed_double(c)
+    return F.when(F.abs(v) < F.lit(float("inf")), v)
 
 
 def coerce_decimal(c: str | Column, precision: int, scale: int) -> Column:
-    return coerce_double(c).cast(f"decimal({precision},{scale})")
+    """Decimal of a numeric text, NULL where it does not fit."""
+    return coerce_double(c).try_cast(f"decimal({precision},{scale})")
 
 
 def coerce_int(c: str | Column) -> Column:
-    """Numeric text truncated toward zero (2.7 -> 2, -2.7 -> -2)."""
-    return coerce_double(c).cast("int")
+    """Numeric text truncated toward zero (2.7 -> 2, -2.7 -> -2), NULL where it does not fit."""
+    return coerce_double(c).try_cast("int")
+
+
+def coercion_failed(c: str | Column, coerced: Column) -> Column:
+    """A number that cannot be stored (infinite, too large): its file is rejected."""
+    return parsed_double(c).isNotNull() & coerced.isNull()
+
+
+# Forms that exports write dates in besides ISO; tried in this order.
+_DATE_FORMS = ["yyyy/MM/dd[ HH:mm[:ss]]", "dd.MM.yyyy[ HH:mm[:ss]]", "yyyyMMdd"]
 
 
 def coerce_timestamp(c: str | Column) -> Column:
-    """Text (or timestamp) to ``timestamp_ntz``; unparsable becomes NULL."""
-    return col(c).cast("string").try_cast("timestamp_ntz")
+    """Text (or timestamp) to ``timestamp_ntz``; unparsable becomes NULL.  Besides ISO, dates with
+    slashes (year first), dots (day first) and without separators."""
+    text = F.btrim(col(c).cast("string"))
+    compact = F.when(text.rlike(r"^\d{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
+    others = [F.try_to_timestamp(text, F.lit(form)) for form in _DATE_FORMS[:-1]]
+    iso = F.when(~text.rlike(r"^\d+$"), text).try_cast("timestamp_ntz")
+    return F.coalesce(iso, *[x.cast("timestamp_ntz") for x in (*others, compact)])

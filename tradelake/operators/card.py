@@ -42,12 +42,10 @@ def _asof_price(days: int, date_to) -> F.Column:
 
 def _period_card_agg(metrics: DataFrame, date_from, date_to, tickers: list[str] | None) -> DataFrame:
     d = with_drawdown(period_rows(metrics, date_from, date_to, tickers))
-    last = F.max_by(F.struct("trade_date", "price_avg_weighted", "prev_price_avg_weighted"), "trade_date")
-    return d.groupBy(*KEY).agg(
-        F.min("issuer_name").alias("issuer_name"),
-        F.min("currency_code").alias("currency_code"),
-        F.min("instrument_type").alias("instrument_type"),
-        last.alias("last"),
+    return d.groupBy(*KEY, "issuer_name", "currency_code", "instrument_type").agg(  # an instrument has one of each
+        F.max("trade_date").alias("last_trade_date"),
+        F.max_by("price_avg_weighted", "trade_date").alias("last_price"),
+        F.max_by("prev_price_avg_weighted", "trade_date").alias("last_prev_price"),
         _asof_price(30, date_to).alias("price_30d"),
         _asof_price(90, date_to).alias("price_90d"),
         mean_of("turnover_value").alias("avg_turnover_value"),
@@ -66,24 +64,25 @@ def card_kpis(
     date_to,
     tickers: list[str] | None = None,
 ) -> DataFrame:
-    """One KPI row per instrument of the dimension (or of ``tickers``); an instrument without
-    rows in the period still gets a row with NULL metrics and a count of 0."""
+    """One KPI row per instrument of the dimension, or per entry of ``tickers`` (known or not); one
+    without rows in the period still gets a row with NULL metrics and a count of 0."""
     days = period_days(calendar, date_from, date_to).scalar()
     agg = _period_card_agg(metrics, date_from, date_to, tickers)
-    ins = instruments.select("instrument_id", "ticker")
-    if tickers is not None:
-        ins = ins.where(F.col("ticker").isin(list(tickers)))
+    if tickers is None:
+        ins = instruments.select("ticker")
+    else:
+        ins = instruments.sparkSession.createDataFrame([(t,) for t in tickers], "ticker string")
     count = F.coalesce(F.col("active_days_count"), F.lit(0)).cast("long")
-    return ins.join(agg.drop("ticker"), "instrument_id", "left").select(
+    return ins.join(agg, "ticker", "left").select(
         "ticker",
         "issuer_name",
         "currency_code",
         "instrument_type",
-        F.col("last.trade_date").alias("last_trade_date"),
-        F.col("last.price_avg_weighted").alias("last_price"),
-        pct_change("last.price_avg_weighted", "last.prev_price_avg_weighted").alias("change_day_pct"),
-        pct_change("last.price_avg_weighted", "price_30d").alias("change_30d_pct"),
-        pct_change("last.price_avg_weighted", "price_90d").alias("change_90d_pct"),
+        "last_trade_date",
+        "last_price",
+        pct_change("last_price", "last_prev_price").alias("change_day_pct"),
+        pct_change("last_price", "price_30d").alias("change_30d_pct"),
+        pct_change("last_price", "price_90d").alias("change_90d_pct"),
         "avg_turnover_value",
         "avg_deals_count",
         count.alias("active_days_count"),
@@ -103,12 +102,12 @@ def asof_change(metrics: DataFrame, date_from, date_to, tickers: list[str] | Non
     agg = _period_card_agg(metrics, date_from, date_to, tickers)
     return agg.select(
         "ticker",
-        F.col("last.trade_date").alias("last_trade_date"),
-        F.col("last.price_avg_weighted").alias("last_price"),
+        "last_trade_date",
+        "last_price",
         "price_30d",
         "price_90d",
-        pct_change("last.price_avg_weighted", "price_30d").alias("change_30d_pct"),
-        pct_change("last.price_avg_weighted", "price_90d").alias("change_90d_pct"),
+        pct_change("last_price", "price_30d").alias("change_30d_pct"),
+        pct_change("last_price", "price_90d").alias("change_90d_pct"),
     )
 
 

@@ -51,7 +51,8 @@ def price_index(history: DataFrame, tickers: list[str]) -> DataFrame:
     Leading gaps stay NULL, a base of 0 makes the whole ticker NULL, dates where every ticker
     is NULL are dropped, tickers without any price do not appear.
     """
-    h = history.where(F.col("price_avg_weighted").isNotNull()).select(
+    listed = F.col("ticker").isin(list(tickers))  # so the base prices are a row for each of them at most
+    h = history.where(F.col("price_avg_weighted").isNotNull() & listed).select(
         "trade_date", "ticker", F.col("price_avg_weighted").alias("p")
     )
     base = h.groupBy("ticker").agg(F.min_by("p", "trade_date").alias("base"), F.min("trade_date").alias("first_date"))

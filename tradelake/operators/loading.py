@@ -1,20 +1,23 @@
 """Import registry, incremental load decisions, replace mode, batch publish and manifest.
 
-State lives in plain parquet snapshots: every load writes a new versioned directory and only
-then moves the ``CURRENT`` pointer, so readers never see a half-written load and a failed load
-leaves the previous snapshot in place (the per-file transaction of the reference).
+State lives in plain parquet.  A load appends its raw rows, writes the months of facts it touches
+into new folders, and only then adds a numbered pointer file, so readers never see a half-written
+load and a failed load leaves the previous state in place (the per-file transaction of the
+reference).
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schemas import DEFAULT_SOURCE_TYPE, LOAD_NOTE
+from ..schemas import DEFAULT_SOURCE_TYPE, FILE_PERIOD, LOAD_NOTE
 
 
 # --- L1 ---------------------------------------------------------------------------------------
@@ -32,9 +35,11 @@ def register_files(
     else:
         counts = raw.groupBy("file_key").agg(F.count(F.lit(1)).cast("int").alias("rows_count"))
     ts = F.lit(loaded_at).cast("timestamp_ntz") if loaded_at else F.localtimestamp()
-    return file_list.select("file_key", "file_name").join(counts, "file_key", "left").select(
+    order = F.col("file_order") if "file_order" in file_list.columns else F.col("file_key").alias("file_order")
+    return file_list.select("file_key", "file_name", order).join(counts, "file_key", "left").select(
         "file_key",
         "file_name",
+        "file_order",
         F.lit(source_type).alias("source_type"),
         ts.alias("loaded_at"),
         F.coalesce("rows_count", F.lit(0)).alias("rows_count"),
@@ -66,6 +71,14 @@ def new_files(candidates: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 # --- L3 ---------------------------------------------------------------------------------------
+@dataclass
+class Delta:
+    """What a load adds to the state it was built on: raw rows, and the months of facts it touches."""
+
+    raw: DataFrame
+    months: DataFrame  # month (yyyymm)
+
+
 @dataclass
 class ArchiveState:
     registry: DataFrame
@@ -75,6 +88,12 @@ class ArchiveState:
     calendar: DataFrame
     facts: DataFrame
     cached: tuple = ()  # persisted intermediates, released by ``publish``
+    delta: Delta | None = None  # set by ``load_batch``
+    base: int | None = None  # pointer number of the published state this one extends
+
+
+class RejectedArchive(RuntimeError):
+    """The first archive that the gate rejected; archives before it are loaded."""
 
 
 def replace_files(state: ArchiveState, names: DataFrame) -> ArchiveState:
@@ -90,7 +109,11 @@ def replace_files(state: ArchiveState, names: DataFrame) -> ArchiveState:
         .withColumn("file_key", F.when(F.col("_gone"), F.lit(None).cast("long")).otherwise(F.col("file_key")))
         .drop("_gone")
     )
-    return ArchiveState(registry, raw, state.issuers, state.instruments, state.calendar, facts)
+    return replace(state, registry=registry, raw=raw, facts=facts.select(*state.facts.columns))
+
+
+def _month(date) -> Column:
+    return F.year(date) * 100 + F.month(date)
 
 
 # --- L4: batch load ---------------------------------------------------------------------------
@@ -107,9 +130,11 @@ def load_batch(
 ) -> tuple[ArchiveState, DataFrame]:
     """Load archive files in name order on top of ``state`` (``None`` = empty).
 
-    Default mode skips names already registered; ``replace`` first detaches them (L3).  Each
-    file is validated by the gate; the first rejected file aborts the run: earlier files are
-    loaded, it and later files are not (the reference's per-file transaction + abort).
+    Default mode skips names already registered.  Each file is validated by the gate; the first
+    rejected file aborts the run: earlier files are loaded, it and later files are not (the
+    reference's per-file transaction + abort).  ``replace`` detaches (L3) the names that are loaded
+    by this run, and no other.  Files are numbered on from the state's last ``file_order``, so a
+    later load wins over an earlier one also when facts are rebuilt from the raw layer.
     Returns the new state (lazy) and a per-file report (file_name, file_key, status)."""
     from pyspark import StorageLevel
 
@@ -120,25 +145,30 @@ def load_batch(
         instruments_from_parts,
         issuers_from_parts,
     )
-    from ..functions.joins import join_small
-    from .quality import gate_from_parts
+    from .quality import gate_files, gate_from_parts, gate_row_numbers
 
-    files = files.select("file_key", "file_name", "file_order")
-    candidates = files
-    if state is not None and not replace:
-        candidates = new_files(files, state.registry)
-    if state is not None and replace:
-        state = replace_files(state, files.select("file_name"))
-    n_candidates = candidates.count()  # a job over the file list of this batch, not the raw rows
-    raw = join_small(raw.drop("file_order"), candidates.select("file_key", "file_order"), "file_key", n_candidates)
+    done = 0 if state is None else state.registry.agg(F.max("file_order")).first()[0] or 0
+    files = files.select("file_key", "file_name", (F.col("file_order") + done).alias("file_order"))
+    candidates = files if state is None or replace else new_files(files, state.registry)
+    raw = raw.drop("file_order", "file_name").join(candidates, "file_key")
     # One pass over the raw rows feeds the gate, the registry counts, dimensions and facts.
     parts = daily_parts(raw).persist(StorageLevel.MEMORY_AND_DISK)
-    viol = gate_from_parts(parts, **(gate_options or {}))
+    found = gate_from_parts(parts, **(gate_options or {})).unionByName(gate_files(candidates, source_type))
+    if "row_num" in raw.columns:
+        found = found.unionByName(gate_row_numbers(raw))
     # The only value the driver needs: the first rejected file (files load in name order).
-    first_bad = viol.join(candidates, "file_key").agg(F.min("file_order")).first()[0]
-    ok = candidates if first_bad is None else candidates.where(F.col("file_order") < first_bad)
-    parts_ok = parts if first_bad is None else parts.where(F.col("file_order") < first_bad)
-    raw_ok = (raw if first_bad is None else raw.where(F.col("file_order") < first_bad)).drop("file_order")
+    first_bad = found.join(candidates, "file_key").agg(F.min("file_order")).first()[0]
+    good = F.lit(True) if first_bad is None else F.col("file_order") < first_bad
+    ok, parts_ok = candidates.where(good), parts.where(good)
+    raw_ok = raw.where(good).drop("load_error")
+    if state is not None and replace:
+        touched = state.registry.join(ok.select("file_name"), "file_name", "left_semi").select("file_key")
+        state_months = state.facts.join(touched, "file_key", "left_semi").select(_month("trade_date").alias("month"))
+        state = replace_files(state, ok.select("file_name"))
+    else:
+        state_months = None
+    months = parts_ok.where(F.col("trade_date").isNotNull()).select(_month("trade_date").alias("month"))
+    months = (months if state_months is None else months.unionByName(state_months)).distinct()
 
     reg_new = register_files(ok, parts_ok, source_type, notes, loaded_at)
     if state is None:
@@ -150,16 +180,19 @@ def load_batch(
             calendar_from_parts(parts_ok),
             daily_stats_from_parts(parts_ok),
             (parts,),
+            Delta(raw_ok, months),
         )
     else:
         new_state = ArchiveState(
-            state.registry.unionByName(reg_new),
+            state.registry.unionByName(reg_new, allowMissingColumns=True),
             state.raw.unionByName(raw_ok, allowMissingColumns=True),
             issuers_from_parts(parts_ok, state.issuers),
             instruments_from_parts(parts_ok, state.instruments),
             calendar_from_parts(parts_ok, state.calendar),
             daily_stats_from_parts(parts_ok, state.facts),
             (parts,) + tuple(state.cached),
+            Delta(raw_ok, months),
+            state.base,
         )
     status = (
         F.when(F.col("skipped"), F.lit("skipped"))
@@ -171,94 +204,138 @@ def load_batch(
     report = (
         files.join(cand_flag, "file_key", "left")
         .withColumn("skipped", F.coalesce("skipped", F.lit(True)))
-        .select("file_name", "file_key", "file_order", status.alias("status"))
+        .select("file_name", "file_key", (F.col("file_order") - done).alias("file_order"), status.alias("status"))
         .orderBy("file_order")
     )
     return new_state, report
 
 
-# --- snapshot publish -------------------------------------------------------------------------
-TABLES = ("import_files", "raw_market_archive", "issuers", "instruments", "trading_calendar", "market_daily_stats")
+# --- publish ----------------------------------------------------------------------------------
+#   raw_market_archive/load=<id>/file_key=<k>   written once, never rewritten
+#   market_daily_stats/load=<id>/month=<m>      only the months a load touches
+#   tables/<id>/<name>                          registry and dimensions (small)
+#   pointers/<number>.json                      one for each publish; the highest is the state
+# A load's folders carry a random id, so a failed attempt leaves only files that no pointer names.
+SMALL_TABLES = {"import_files": "registry", "issuers": "issuers", "instruments": "instruments", "trading_calendar": "calendar"}
 
 
 def _fs(spark: SparkSession, path: str):
     """Hadoop FileSystem of ``path`` (local, HDFS, object stores alike)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def current_snapshot(spark: SparkSession, root: str) -> str | None:
-    fs, p = _fs(spark, f"{root.rstrip('/')}/CURRENT")
-    if not fs.exists(p):
+def read_pointer(spark: SparkSession, root: str) -> dict | None:
+    """The highest pointer under ``root``: number, load, months (month -> load), loads of raw rows
+    (file_key -> load is in the registry), schemas, epochs of streams.  None: nothing published."""
+    fs, folder = _fs(spark, f"{root.rstrip('/')}/pointers")
+    if not fs.exists(folder):
         return None
-    stream = fs.open(p)
-    try:
-        reader = spark.sparkContext._jvm.java.io.BufferedReader(
-            spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8")
-        )
-        return json.loads(reader.readLine())["snapshot"]
-    finally:
-        stream.close()
-
-
-def _write_pointer(spark: SparkSession, root: str, snapshot: str) -> None:
-    """Write the pointer to a temporary file, then rename it over ``CURRENT``."""
-    fs, tmp = _fs(spark, f"{root.rstrip('/')}/CURRENT.tmp")
-    _, cur = _fs(spark, f"{root.rstrip('/')}/CURRENT")
-    out = fs.create(tmp, True)
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    numbers = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
+    if not numbers:
+        return None
+    path = f"{root.rstrip('/')}/pointers/{max(numbers):012d}.json"
+    return json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def write_pointer(spark: SparkSession, root: str, pointer: dict) -> None:
+    """A new numbered file: written under another name, then renamed.  An earlier pointer stays as
+    it is, so readers always find a complete one."""
+    name = f"{root.rstrip('/')}/pointers/{pointer['number']:012d}.json"
+    fs, tmp = _fs(spark, f"{name}.{uuid.uuid4().hex}.tmp")
+    _, final = _fs(spark, name)
+    fs.mkdirs(final.getParent())
+    out = fs.create(tmp, False)
     try:
-        out.write(bytearray(json.dumps({"snapshot": snapshot}).encode("utf-8")))
+        out.write(bytearray(json.dumps(pointer).encode("utf-8")))
     finally:
         out.close()
-    if fs.exists(cur):
-        fs.delete(cur, False)
-    if not fs.rename(tmp, cur):
-        raise OSError(f"could not publish snapshot pointer under {root}")
-
-
-def publish(state: ArchiveState, root: str, version: str | None = None) -> str:
-    """Write every table of ``state`` into a new snapshot directory, then swap the pointer.
-
-    The pointer is written last, so a failure before it leaves readers on the previous
-    snapshot.  The path being read is never overwritten; raw rows are partitioned by file."""
-    spark = state.facts.sparkSession
-    version = version or dt.datetime.now(dt.timezone.utc).strftime("v%Y%m%dT%H%M%S%f")
-    snap = f"{root.rstrip('/')}/{version}"
-    frames = {
-        "import_files": state.registry,
-        "raw_market_archive": state.raw,
-        "issuers": state.issuers,
-        "instruments": state.instruments,
-        "trading_calendar": state.calendar,
-        "market_daily_stats": state.facts.sortWithinPartitions("ticker", "trade_date"),
-    }
-    for name, df in frames.items():
-        writer = df.write.mode("errorifexists")
-        if name == "raw_market_archive" and "file_key" in df.columns:
-            writer = writer.partitionBy("file_key")
-        writer.parquet(f"{snap}/{name}")
+    if fs.exists(final) or not fs.rename(tmp, final):
+        raise OSError(f"{name} was published by another writer")
+
+
+def _days_of(months: list[int]) -> Column:
+    """Days of these months, as ranges that reach the scan of the stored facts."""
+    day = F.col("trade_date")
+    first = lambda m: F.make_date(F.lit(m // 100), F.lit(m % 100), F.lit(1))
+    spans = [(m, m) for m in months] if len(months) <= 24 else [(min(months), max(months))]
+    out = F.lit(False)
+    for a, b in spans:
+        out = out | ((day >= first(a)) & (day <= F.last_day(first(b))))
+    return out
+
+
+def publish(state: ArchiveState, root: str, stream: str | None = None, epoch: int | None = None) -> int:
+    """Add the load that made ``state`` to the state stored under ``root``; returns the pointer's
+    number.  Raw rows are appended, only touched months of facts are written anew, and the
+    pointer comes last.  ``stream`` and ``epoch`` mark a finished micro-batch."""
+    spark, root = state.facts.sparkSession, root.rstrip("/")
+    before = read_pointer(spark, root) or {"number": 0, "months": {}, "epochs": {}}
+    if state.base is not None and state.base != before["number"]:
+        raise OSError(f"the state under {root} is newer than the one this load was built on")
+    load = uuid.uuid4().hex
+    fresh = state.delta is None or not before["number"]
+    raw = state.raw if fresh else state.delta.raw
+    raw.write.partitionBy("file_key").parquet(f"{root}/raw_market_archive/load={load}")
+    facts = state.facts.withColumn("month", _month("trade_date"))
+    if fresh:
+        months = [r["month"] for r in facts.select("month").distinct().collect()]  # calendar months
+    else:
+        months = [r["month"] for r in state.delta.months.collect()]
+        facts = facts.where(F.col("month").isin(months) & _days_of(months))
+    facts = facts.repartition("month", "ticker").sortWithinPartitions("month", "ticker", "trade_date")
+    facts.write.partitionBy("month").parquet(f"{root}/market_daily_stats/load={load}")
+    registry = state.registry
+    if "load" not in registry.columns:
+        registry = registry.withColumn("load", F.lit(None).cast("string"))
+    registry = registry.withColumn("load", F.coalesce("load", F.lit(load)))
+    for name, attr in SMALL_TABLES.items():
+        df = registry if attr == "registry" else getattr(state, attr)
+        df.write.parquet(f"{root}/tables/{load}/{name}")
     for df in state.cached:
         df.unpersist()
-    _write_pointer(spark, root, snap)
-    return snap
+    schemas = {name: getattr(state, attr).schema.json() for name, attr in SMALL_TABLES.items()}
+    schemas |= {"import_files": registry.schema.json(), "market_daily_stats": state.facts.schema.json(), "raw_market_archive": state.raw.schema.json()}
+    epochs = before["epochs"] | ({stream: epoch} if stream is not None and epoch is not None else {})
+    kept = {} if fresh else before["months"]
+    pointer = {
+        "number": before["number"] + 1, "load": load, "months": kept | {str(m): load for m in months},
+        "epochs": epochs, "schemas": schemas,
+    }
+    write_pointer(spark, root, pointer)
+    return pointer["number"]
 
 
 def read_state(spark: SparkSession, root: str) -> ArchiveState | None:
-    snap = current_snapshot(spark, root)
-    if snap is None:
+    """The published state.  Tables are read with their stored schemas (an empty one too).  Raw
+    rows count if the registry names their load for their file."""
+    root, pointer = root.rstrip("/"), read_pointer(spark, root)
+    if pointer is None:
         return None
-    r = lambda n: spark.read.parquet(f"{snap}/{n}")
-    return ArchiveState(
-        r("import_files"), r("raw_market_archive"), r("issuers"), r("instruments"), r("trading_calendar"),
-        r("market_daily_stats"),
-    )
+    schema = {k: T.StructType.fromJson(json.loads(v)) for k, v in pointer["schemas"].items()}
+    small = {
+        attr: spark.read.schema(schema[name]).parquet(f"{root}/tables/{pointer['load']}/{name}")
+        for name, attr in SMALL_TABLES.items()
+    }
+    base, raw_schema = f"{root}/raw_market_archive", schema["raw_market_archive"]
+    raw = spark.read.schema(T.StructType([*raw_schema.fields, T.StructField("load", T.StringType())])).parquet(base)
+    raw = raw.join(small["registry"].select("file_key", "load"), ["file_key", "load"], "left_semi").select(*raw_schema.names)
+    fact_schema = schema["market_daily_stats"]
+    stats = f"{root}/market_daily_stats"
+    paths = [f"{stats}/load={load}/month={month}" for month, load in sorted(pointer["months"].items())]
+    if paths:
+        reader = spark.read.schema(fact_schema).option("basePath", stats)
+        facts = reader.parquet(*paths).select(*fact_schema.names)
+    else:
+        facts = spark.createDataFrame([], fact_schema)
+    return ArchiveState(raw=raw, facts=facts, base=pointer["number"], **small)
 
 
 # --- L7 ---------------------------------------------------------------------------------------
 def archive_manifest(raw: DataFrame, file_list: DataFrame | None = None) -> DataFrame:
-    """Per archive: rows and distinct trade days (0, 0 for an empty archive).  Accepts the raw
-    layer or its aggregate (``daily_parts``)."""
+    """Per archive: period (from the file name, NULL without one), rows and distinct trade days
+    (0, 0 for an empty archive).  Accepts the raw layer or its aggregate (``daily_parts``)."""
     if "n_rows" in raw.columns:
         rows, days = F.sum("n_rows"), F.countDistinct("trade_date")
     else:
@@ -267,10 +344,10 @@ def archive_manifest(raw: DataFrame, file_list: DataFrame | None = None) -> Data
         rows.cast("long").alias("rows_count"), days.cast("long").alias("trade_days_in_file")
     )
     files = file_list if file_list is not None else files_of(raw)
-    key = F.col("file_key")
+    period = lambda i: F.regexp_extract("file_name", FILE_PERIOD, i)
     return files.join(stats, "file_key", "left").select(
         F.col("file_name").alias("archive_file"),
-        F.format_string("%04d-%02d", (key / 100).cast("int"), (key % 100).cast("int")).alias("period_month"),
+        F.when(period(1) != "", F.concat(period(1), F.lit("-"), period(2))).alias("period_month"),
         F.coalesce("rows_count", F.lit(0)).alias("rows_count"),
         F.coalesce("trade_days_in_file", F.lit(0)).alias("trade_days_in_file"),
     )

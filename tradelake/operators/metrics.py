@@ -49,6 +49,11 @@ def add_daily_metrics(enriched: DataFrame) -> DataFrame:
     )
 
 
+def described(facts: DataFrame) -> DataFrame:
+    """Facts that carry their descriptors already (``normalize.described_facts``)."""
+    return facts.withColumn("market_segment", F.coalesce("market_segment", F.lit(DEFAULT_MARKET_SEGMENT)))
+
+
 def daily_metrics(facts: DataFrame, instruments: DataFrame, issuers: DataFrame) -> DataFrame:
     return add_daily_metrics(enrich(facts, instruments, issuers))
 

@@ -62,11 +62,7 @@ def daily_parts(raw: DataFrame, default_segment: str = DEFAULT_MARKET_SEGMENT) -
     v, q, y = F.col("price_avg_raw"), F.col("turnover_qty_raw"), F.col("yield_avg_raw")
     pos_q = F.coalesce(q, F.lit(0)) > 0
     zero = F.lit(0)
-    negative = (
-        (F.col("price_min_raw") < 0)
-        | (F.col("price_avg_raw") < 0)
-        | (F.col("price_aux_raw") < 0)
-    )
+    error = F.col("load_error") if "load_error" in raw.columns else F.lit(None).cast("string")
     rows = raw.select(
         _file_order(raw).alias("file_order"),
         "file_key",
@@ -77,7 +73,9 @@ def daily_parts(raw: DataFrame, default_segment: str = DEFAULT_MARKET_SEGMENT) -
         F.to_date("trade_datetime_raw").alias("trade_date"),
         F.coalesce(btrim_blank_null("market_segment_raw"), F.lit(default_segment)).alias("market_segment"),
         *[c for c in raw.columns if c.endswith("_raw")],
+        error.alias("load_error"),
     )
+    error = F.col("load_error")
     return rows.groupBy(*PART_KEYS).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min("price_min_raw").alias("price_min"),
@@ -97,11 +95,7 @@ def daily_parts(raw: DataFrame, default_segment: str = DEFAULT_MARKET_SEGMENT) -
         F.sum(F.coalesce("turnover_qty_raw", zero)).alias("tq_sum"),
         F.sum(F.coalesce("deals_count_raw", zero).cast("long")).alias("deals_sum"),
         F.sum("turnover_value_raw").alias("tv_raw_sum"),
-        F.sum(F.when(negative, 1).otherwise(0)).cast("long").alias("neg_price_rows"),
-        F.sum(
-            F.when((F.col("turnover_value_raw") < 0) | (F.col("turnover_qty_raw") < 0), 1).otherwise(0)
-        ).cast("long").alias("neg_turnover_rows"),
-        F.sum(F.when(F.col("deals_count_raw") < 0, 1).otherwise(0)).cast("long").alias("neg_deals_rows"),
+        F.count(error).alias("error_rows"),
     )
 
 
@@ -253,8 +247,8 @@ def _weighted(num: str, weight: str, total: str, count: str, precision: int, sca
     The numerator is unconditional (a negative quantity subtracts there but not in the weight).
     """
     dec = f"decimal({precision},{scale})"
-    weighted = F.try_divide(F.col(num), F.col(weight)).cast(dec)
-    plain = F.try_divide(F.col(total), F.col(count)).cast(dec)
+    weighted = F.try_divide(F.col(num), F.col(weight)).try_cast(dec)
+    plain = F.try_divide(F.col(total), F.col(count)).try_cast(dec)
     return F.when(F.col(weight) > 0, weighted).otherwise(plain)
 
 
@@ -280,8 +274,10 @@ _PART_SUMS = {
 FACT_KEYS = ["ticker", "trade_date", "file_order", "file_key", "market_segment"]
 
 
-def _finish_facts(c: DataFrame) -> DataFrame:
+def _finish_facts(c: DataFrame, *more: str) -> DataFrame:
+    """Fact values of summed parts; one that does not fit its column is NULL (the gate rejects its file)."""
     return c.select(
+        *more,
         "file_order",
         "file_key",
         "ticker",
@@ -292,9 +288,9 @@ def _finish_facts(c: DataFrame) -> DataFrame:
         F.col("yield_min").cast("decimal(12,6)").alias("yield_min_pct"),
         F.col("yield_max").cast("decimal(12,6)").alias("yield_max_pct"),
         _weighted("y_num", "y_weight", "y_sum", "y_cnt", 12, 6).alias("yield_avg_pct"),
-        F.col("tv_sum").cast("decimal(20,2)").alias("turnover_value"),
-        F.col("tq_sum").cast("decimal(20,6)").alias("turnover_qty"),
-        F.col("deals_sum").cast("int").alias("deals_count"),
+        F.col("tv_sum").try_cast("decimal(20,2)").alias("turnover_value"),
+        F.col("tq_sum").try_cast("decimal(20,6)").alias("turnover_qty"),
+        F.col("deals_sum").try_cast("int").alias("deals_count"),
         "term_days",
         "market_segment",
     )
@@ -304,37 +300,49 @@ def _fact_parts(parts: DataFrame) -> DataFrame:
     return _reaching(parts).where(F.col("trade_date").isNotNull())
 
 
-def per_file_facts(parts: DataFrame) -> DataFrame:
-    """N4 per archive file: one row per (file, ticker, trade date); rows need a trade time, a
+def per_file_sums(parts: DataFrame) -> DataFrame:
+    """N4 sums per archive file: one row per (file, ticker, trade date); rows need a trade time, a
     non-blank ticker and a non-blank issuer (the issuer join).
 
     The market segment is a per-file constant stamped by the loader, so it is a grouping key
     rather than a string MAX (which would force a sort-based aggregation); the gate rejects a
     file that mixes segments for one key."""
-    c = _fact_parts(parts).groupBy(*FACT_KEYS).agg(*[fn(k).alias(k) for k, fn in _PART_SUMS.items()])
-    return _finish_facts(c)
+    return _fact_parts(parts).groupBy(*FACT_KEYS).agg(*[fn(k).alias(k) for k, fn in _PART_SUMS.items()])
+
+
+DESCRIPTORS = ["issuer_name", "currency_code"]
+
+
+def described_facts(parts: DataFrame, instrument_type: str = DEFAULT_INSTRUMENT_TYPE) -> DataFrame:
+    """N4 + N5 + the instrument's descriptors in one shuffle of the parts.
+
+    The parts are hash-partitioned by ticker.  Two windows on that partitioning pick the parts of
+    the latest file of each (ticker, day) and the descriptors of the ticker's latest file; the
+    aggregation and the instrument windows downstream reuse it too, so neither dimension is
+    derived again and joined.  One ticker's parts are one row per file and day (more only where a
+    file quotes it under several tuples), so no task holds a hot ticker's raw rows."""
+    same_ticker = Window.partitionBy("ticker")
+    p = _reaching(parts).repartition("ticker")
+    p = p.withColumn("_who", F.max(F.struct("file_order", *DESCRIPTORS)).over(same_ticker))
+    p = p.drop(*DESCRIPTORS).where(F.col("trade_date").isNotNull())
+    latest = F.max("file_order").over(Window.partitionBy("ticker", "trade_date"))
+    p = p.withColumn("_latest", latest).where(F.col("file_order") == F.col("_latest"))
+    p = p.select("*", *[F.col(f"_who.{c}").alias(c) for c in DESCRIPTORS])
+    c = p.groupBy(*FACT_KEYS, *DESCRIPTORS).agg(*[fn(k).alias(k) for k, fn in _PART_SUMS.items()])
+    who = [F.col("issuer_name"), issuer_id("issuer_name").alias("issuer_id"), F.col("currency_code"), F.lit(instrument_type).alias("instrument_type")]
+    return _with_ids(_finish_facts(c, *DESCRIPTORS), *who)
 
 
 def facts_from_parts(parts: DataFrame) -> DataFrame:
-    """N4 + N5 in one shuffle: keep the parts of the latest file per (ticker, day) (a window
-    partitioned by the fact key), then add them up per key.  The aggregation reuses the
-    window's partitioning, so no second exchange and no sort-based ``max_by`` is needed; a key
-    repeated in many files only holds one part per file."""
+    """Facts of the latest file per (ticker, day), without descriptors."""
     latest = F.max("file_order").over(Window.partitionBy("ticker", "trade_date"))
-    # Hash-partition the compact parts by ticker: the window, this aggregation and the
-    # instrument windows downstream (keyed by instrument_id, ticker) all reuse it.  A ticker has
-    # at most one part per file and day, so this cannot concentrate a hot ticker's raw rows.
-    p = (
-        _fact_parts(parts)
-        .repartition("ticker")
-        .withColumn("_latest", latest)
-        .where(F.col("file_order") == F.col("_latest"))
-    )
+    p = _fact_parts(parts).repartition("ticker").withColumn("_latest", latest)
+    p = p.where(F.col("file_order") == F.col("_latest"))
     c = p.groupBy(*FACT_KEYS).agg(*[fn(k).alias(k) for k, fn in _PART_SUMS.items()])
     return _with_ids(_finish_facts(c))
 
 
-def _with_ids(f: DataFrame) -> DataFrame:
+def _with_ids(f: DataFrame, *more: Column) -> DataFrame:
     return f.select(
         F.xxhash64("ticker", "trade_date").alias("stat_id"),
         instrument_id("ticker").alias("instrument_id"),
@@ -343,33 +351,11 @@ def _with_ids(f: DataFrame) -> DataFrame:
         *FACT_VALUE_COLUMNS,
         "file_key",
         F.localtimestamp().alias("created_at"),
+        *more,
     )
 
 
-def aggregate_daily(raw: DataFrame, default_segment: str = DEFAULT_MARKET_SEGMENT) -> DataFrame:
-    """N4 per archive file from the raw layer."""
-    return per_file_facts(daily_parts(raw, default_segment))
-
-
 # --- N5 ---------------------------------------------------------------------------------------
-def upsert_daily_stats(new: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Last file wins per (instrument, date): the whole row is overwritten, nothing accumulates.
-
-    ``new`` holds per-file facts (with ``file_order``); existing facts rank below every new
-    file.  The winner is picked with a window partitioned by the fact key (a key has at most one
-    row per file)."""
-    cols = FACT_VALUE_COLUMNS + ["file_key"]
-    cand = new.select("ticker", "trade_date", "file_order", *cols)
-    if existing is not None:
-        cand = cand.unionByName(
-            existing.select("ticker", "trade_date", F.lit(None).cast("long").alias("file_order"), *cols)
-        )
-    order = F.coalesce(F.col("file_order"), F.lit(-(2**62)))
-    latest = F.max(order).over(Window.partitionBy("ticker", "trade_date"))
-    won = cand.withColumn("_o", order).withColumn("_latest", latest).where(F.col("_o") == F.col("_latest"))
-    return _with_ids(won.drop("_o", "_latest", "file_order"))
-
-
 def build_daily_stats(raw: DataFrame, default_segment: str = DEFAULT_MARKET_SEGMENT) -> DataFrame:
     """N4 + N5 over all files of a batch."""
     return facts_from_parts(daily_parts(raw, default_segment))

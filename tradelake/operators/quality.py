@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import ANOMALY_TYPES, INSTRUMENT_TYPES
+from ..schemas import ANOMALY_TYPES, DEFAULT_INSTRUMENT_TYPE, INSTRUMENT_TYPES
 from .loading import ArchiveState
 
 
@@ -215,60 +215,93 @@ def distinct_pairs(facts: DataFrame) -> DataFrame:
 
 
 # --- Q-gate -----------------------------------------------------------------------------------
-def gate_from_parts(parts: DataFrame, min_year: int = 2000, max_currency_len: int = 10) -> DataFrame:
-    """Per archive file, the schema constraints its rows would violate (file_key, rule, rows),
-    computed from the raw aggregate (no extra pass over raw).  A file with any violation is
-    rejected whole.  Rules: currency code length, term_days >= 0, calendar year >= ``min_year``,
-    non-negative prices / turnover / deals, one instrument tuple per ticker and file, one
-    market segment per (ticker, day) and file.  Tickers and issuers are never blank after
-    cleaning (blank becomes NULL and the row does not reach the dimensions)."""
-    reach = F.col("ticker").isNotNull() & F.col("issuer_name").isNotNull()
-    n = F.col("n_rows")
-    rules = {
-        "currency_code_too_long": F.when(reach & (F.length("currency_code") > max_currency_len), n),
-        "negative_term_days": F.when(reach & (F.col("term_days") < 0), n),
-        "calendar_year_out_of_range": F.when(
-            F.col("trade_date").isNotNull() & (F.year("trade_date") < min_year), n
-        ),
-        "negative_price": F.when(reach, F.col("neg_price_rows")),
-        "negative_turnover": F.when(reach, F.col("neg_turnover_rows")),
-        "negative_deals_count": F.when(reach, F.col("neg_deals_rows")),
+FACT_RULES = {
+    "negative_price_min": "price_min",
+    "negative_price_avg_weighted": "price_avg_weighted",
+    "negative_price_aux": "price_aux",
+    "negative_turnover_value": "turnover_value",
+    "negative_turnover_qty": "turnover_qty",
+    "negative_deals_count": "deals_count",
+    "negative_term_days": "term_days",
+}
+
+
+def _stacked(per_file: DataFrame, names: list[str]) -> DataFrame:
+    stack = ", ".join(f"'{name}', `{name}`" for name in names)
+    rows = per_file.selectExpr("file_key", f"stack({len(names)}, {stack}) AS (rule, violations)")
+    return rows.where(F.col("violations") > 0)
+
+
+def _sums(rules: dict[str, Column]) -> list[Column]:
+    return [F.sum(F.when(c, 1).otherwise(0)).cast("long").alias(name) for name, c in rules.items()]
+
+
+def gate_from_parts(
+    parts: DataFrame, min_year: int = 2000, max_currency_len: int = 10, instrument_type: str = DEFAULT_INSTRUMENT_TYPE
+) -> DataFrame:
+    """Per archive file, the schema constraints its rows would violate (file_key, rule,
+    violations), computed from the raw aggregate (no extra pass over raw).  A file with any
+    violation is rejected whole.
+
+    * rows: a cell or header that cannot be loaded (``load_error``);
+    * calendar days: year below ``min_year``;
+    * instruments (one for each ticker of the file): currency code too long, negative term, type
+      outside its domain, several tuples in one file;
+    * facts, as the tables check them, after aggregation: negative values, sums beyond their
+      column's range, several market segments for one (ticker, day).
+
+    Tickers, issuers and currencies are never blank after cleaning, and every fact's parents come
+    from the same rows, so those constraints cannot fail here; the ones on the file list and on
+    raw row numbers are in ``gate_files`` and ``gate_row_numbers``."""
+    from .normalize import _finish_facts, conflicts_from_parts, instrument_tuples, per_file_sums
+
+    bad_rows = parts.groupBy("file_key").agg(F.sum("error_rows").cast("long").alias("load_error"))
+    days = parts.where(F.year("trade_date") < min_year).select("file_key", "trade_date").distinct()
+    days = days.groupBy("file_key").agg(F.count(F.lit(1)).alias("calendar_year_out_of_range"))
+    tuples = instrument_tuples(parts, instrument_type)
+    instrument = {
+        "currency_code_too_long": F.length("currency_code") > max_currency_len,
+        "negative_instrument_term_days": F.col("term_days") < 0,
+        "instrument_type_unknown": ~F.col("instrument_type").isin(*INSTRUMENT_TYPES),
     }
-    per_file = parts.groupBy("file_key").agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name) for name, c in rules.items()]
-    )
-    stack = ", ".join(f"'{name}', `{name}`" for name in rules)
-    viol = per_file.selectExpr("file_key", f"stack({len(rules)}, {stack}) AS (rule, violations)").where(
-        F.col("violations") > 0
-    )
-    from .normalize import conflicts_from_parts
+    conflicts = conflicts_from_parts(parts, instrument_type).groupBy("file_key")
+    sums = per_file_sums(parts)
+    keyed = sums.groupBy("file_key", "ticker", "trade_date").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("file_key")
+    facts = _finish_facts(sums, "tv_sum", "tq_sum", "deals_sum", "p_cnt", "y_cnt")
+    fact = {name: F.col(c) < 0 for name, c in FACT_RULES.items()} | {
+        "value_out_of_range": F.col("turnover_value").isNull() | F.col("turnover_qty").isNull() | F.col("deals_count").isNull()
+        | ((F.col("p_cnt") > 0) & F.col("price_avg_weighted").isNull())
+        | ((F.col("y_cnt") > 0) & F.col("yield_avg_pct").isNull())
+    }
+    found = [
+        _stacked(bad_rows, ["load_error"]),
+        _stacked(days, ["calendar_year_out_of_range"]),
+        _stacked(tuples.groupBy("file_key").agg(*_sums(instrument)), list(instrument)),
+        _stacked(conflicts.agg(F.count(F.lit(1)).alias("instrument_conflict")), ["instrument_conflict"]),
+        _stacked(keyed.agg(F.count(F.lit(1)).alias("mixed_market_segment")), ["mixed_market_segment"]),
+        _stacked(facts.groupBy("file_key").agg(*_sums(fact)), list(fact)),
+    ]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
-    conflicts = (
-        conflicts_from_parts(parts)
-        .groupBy("file_key")
-        .agg(F.count(F.lit(1)).cast("long").alias("violations"))
-        .select("file_key", F.lit("instrument_conflict").alias("rule"), "violations")
-    )
-    mixed = (
-        parts.where(reach & F.col("trade_date").isNotNull())
-        .groupBy("file_key", "ticker", "trade_date")
-        .agg(F.count_distinct("market_segment").alias("segments"))
-        .where(F.col("segments") > 1)
-        .groupBy("file_key")
-        .agg(F.count(F.lit(1)).cast("long").alias("violations"))
-        .select("file_key", F.lit("mixed_market_segment").alias("rule"), "violations")
-    )
-    return viol.unionByName(conflicts).unionByName(mixed)
 
+def gate_files(files: DataFrame, source_type: str) -> DataFrame:
+    """Registry rules: file name and source type must not be blank."""
+    blank = files.select("file_key", (F.btrim(F.coalesce("file_name", F.lit(""))) == "").cast("long").alias("blank_file_name"))
+    blank = blank.withColumn("blank_source_type", F.lit(int(not source_type.strip())).cast("long"))
+    return _stacked(blank, ["blank_file_name", "blank_source_type"])
 
-def gate_violations(raw: DataFrame, min_year: int = 2000, max_currency_len: int = 10) -> DataFrame:
-    from .normalize import daily_parts
-
-    return gate_from_parts(daily_parts(raw), min_year, max_currency_len)
 
+def gate_row_numbers(raw: DataFrame) -> DataFrame:
+    """Raw rules, where rows are numbered: numbers are positive and unique within a file."""
+    n = raw.groupBy("file_key", "row_num").agg(F.count(F.lit(1)).alias("n"))
+    rules = {"row_num_not_positive": F.col("row_num") <= 0, "row_num_repeated": F.col("n") > 1}
+    return _stacked(n.groupBy("file_key").agg(*_sums(rules)), list(rules))
 
-def rejected_files(violations: DataFrame) -> DataFrame:
-    return violations.select("file_key").distinct()
 
+def gate_violations(raw: DataFrame, min_year: int = 2000, max_currency_len: int = 10) -> DataFrame:
+    from .normalize import daily_parts
 
-__all__ = ["INSTRUMENT_TYPES"]
+    return gate_from_parts(daily_parts(raw), min_year, max_currency_len)

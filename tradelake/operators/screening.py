@@ -168,19 +168,44 @@ def ticker_bounds(metrics: DataFrame, ticker: str | None = None) -> DataFrame:
 
 
 # --- Q9-Q10 -----------------------------------------------------------------------------------
-def thresholds(summary: DataFrame, exact: bool = True, accuracy: int = 10000) -> DataFrame:
-    """percentile_cont 0.33 / 0.67 of average turnover and volatility (NULLs ignored).
-
-    ``exact=False`` switches to ``percentile_approx`` for very many instruments."""
-
-    def q(c: str, p: float) -> Column:
-        return F.percentile(c, p) if exact else F.percentile_approx(c, p, accuracy).cast("double")
-
-    return summary.agg(
-        q("avg_turnover_value", TIER_LOW_PCT).alias("turnover_p33"),
-        q("avg_turnover_value", TIER_HIGH_PCT).alias("turnover_p67"),
-        q("volatility_pct", TIER_LOW_PCT).alias("vol_p33"),
-        q("volatility_pct", TIER_HIGH_PCT).alias("vol_p67"),
+BRACKET = 10_000  # accuracy of the approximate percentiles that bracket an exact one
+
+
+def thresholds(summary: DataFrame) -> DataFrame:
+    """percentile_cont 0.33 / 0.67 of average turnover and volatility (NULLs ignored), exact.
+
+    Approximate percentiles bracket each threshold within a few ten-thousandths of the rows.  The
+    values below a bracket are only counted; its own distinct values are ordered to pick the two
+    neighbours of the position and interpolate, so no task ever sorts all instruments."""
+    names = {
+        ("avg_turnover_value", TIER_LOW_PCT): "turnover_p33", ("avg_turnover_value", TIER_HIGH_PCT): "turnover_p67",
+        ("volatility_pct", TIER_LOW_PCT): "vol_p33", ("volatility_pct", TIER_HIGH_PCT): "vol_p67",
+    }
+    metrics = list(dict.fromkeys(m for m, _ in names))
+    values = summary.unpivot([], metrics, "metric", "v").where(F.col("v").isNotNull())
+    slack = 2.0 / BRACKET
+    marks = [(p, max(p - slack, 0.0), min(p + slack, 1.0)) for p in (TIER_LOW_PCT, TIER_HIGH_PCT)]
+    sides = F.percentile_approx("v", [x for _, a, b in marks for x in (a, b)], BRACKET)
+    brackets = values.groupBy("metric").agg(sides.alias("q"), F.count(F.lit(1)).alias("n"))  # a row for each metric
+    asked = F.array(
+        *[
+            F.struct(F.lit(p).alias("p"), F.col("q")[2 * i].alias("lo"), F.col("q")[2 * i + 1].alias("hi"))
+            for i, (p, _, _) in enumerate(marks)
+        ]
+    )
+    brackets = brackets.select("metric", "n", F.explode(asked).alias("a")).select("metric", "n", "a.*")
+    near = values.join(F.broadcast(brackets), "metric").where(F.col("v") <= F.col("hi"))
+    inside = F.when(F.col("v") >= F.col("lo"), F.col("v"))
+    counts = near.groupBy("metric", "p", "n", inside.alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    upto = F.sum("k").over(Window.partitionBy("metric", "p").orderBy(F.col("v").asc_nulls_first()))
+    at = F.col("p") * (F.col("n") - 1)
+    pick = lambda pos: F.min(F.when(F.col("upto") >= pos + 1, F.col("v")))
+    found = counts.withColumn("upto", upto).withColumn("at", at).groupBy("metric", "p", "at").agg(
+        pick(F.floor("at")).alias("a"), pick(F.ceil("at")).alias("b")
+    )
+    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))
+    return found.agg(
+        *[F.max(F.when((F.col("metric") == m) & (F.col("p") == p), value)).alias(name) for (m, p), name in names.items()]
     )
 
 
@@ -190,9 +215,9 @@ def _tier(value: Column, lo: Column, hi: Column) -> Column:
     return F.when(value >= hi, F.lit(high)).when(value >= lo, F.lit(medium)).otherwise(F.lit(low))
 
 
-def tiers(summary: DataFrame, exact: bool = True) -> DataFrame:
+def tiers(summary: DataFrame) -> DataFrame:
     """Liquidity and risk tier per instrument from the percentile thresholds."""
-    t = thresholds(summary, exact).select(F.struct("*").alias("t")).scalar()
+    t = thresholds(summary).select(F.struct("*").alias("t")).scalar()
     return summary.select(
         *KEY,
         _tier(F.col("avg_turnover_value"), t["turnover_p33"], t["turnover_p67"]).alias("liquidity_status"),
@@ -215,32 +240,31 @@ def ranked_summary(summary: DataFrame, top: int = 15, groups: int = 3) -> DataFr
     """Liquidity group NTILE(3) by avg turnover (desc, nulls last, ticker) and RANK by return
     (desc, nulls last); first ``top`` rows by rank, ticker.
 
-    Only ``top`` rows are needed, so no global window over all instruments: the top rows come
-    from a distributed top-k, their rank is counted inside that bounded list, and their turnover
-    position is the number of instruments ordered before them (a join against the bounded list).
-    """
+    Only ``top`` rows are needed, so there is neither a global window nor a join: the top rows come
+    from a distributed top-k, and their turnover positions from one aggregate over all instruments
+    that counts, for each of them, the rows ordered before it."""
     cols = ["ticker", "issuer_name", "return_pct_all_period", "avg_turnover_value", "volatility_pct", "max_drawdown_pct"]
     s = summary.select(*cols)
     head = s.orderBy(F.col("return_pct_all_period").desc_nulls_last(), "ticker").limit(top)
-    head = head.withColumn(
-        "return_rank",
-        F.rank().over(Window.orderBy(F.col("return_pct_all_period").desc_nulls_last())).cast("int"),
-    )
-    n = s.agg(F.count(F.lit(1)).alias("n")).scalar()
-    o = s.select(F.col("ticker").alias("o_ticker"), F.col("avg_turnover_value").alias("o_turn"))
-    h = head.select(F.col("ticker").alias("h_ticker"), F.col("avg_turnover_value").alias("h_turn"))
-    before = (
-        (F.col("o_turn").isNotNull() & F.col("h_turn").isNull())
-        | (F.col("o_turn") > F.col("h_turn"))
-        | (F.col("o_turn").eqNullSafe(F.col("h_turn")) & (F.col("o_ticker") < F.col("h_ticker")))
-    )
-    ahead = o.join(F.broadcast(h), before).groupBy("h_ticker").agg(F.count(F.lit(1)).alias("ahead"))
-    res = head.join(ahead, head.ticker == ahead.h_ticker, "left").select(
-        *cols,
-        _ntile(F.coalesce("ahead", F.lit(0)) + 1, n, groups).alias("liquidity_group"),
-        "return_rank",
+    rank = F.rank().over(Window.orderBy(F.col("return_pct_all_period").desc_nulls_last())).cast("int")
+    heads = head.select(*cols, rank.alias("return_rank")).agg(F.collect_list(F.struct("*")).alias("h")).scalar()
+
+    def before(i: int) -> Column:
+        turnover, ticker = F.get(heads, F.lit(i))["avg_turnover_value"], F.get(heads, F.lit(i))["ticker"]
+        own = F.col("avg_turnover_value")
+        return (
+            (own.isNotNull() & turnover.isNull())
+            | (own > turnover)
+            | (own.eqNullSafe(turnover) & (F.col("ticker") < ticker))
+        )
+
+    ahead = [F.sum(F.when(before(i), 1).otherwise(0)) for i in range(top)]
+    counted = s.agg(F.array(*ahead).alias("ahead"), F.count(F.lit(1)).alias("n"))
+    rows = counted.select("ahead", "n", F.posexplode(heads).alias("i", "h"))
+    group = _ntile(F.col("ahead")[F.col("i")] + 1, F.col("n"), groups)
+    return rows.select(*[F.col(f"h.{c}").alias(c) for c in cols], group.alias("liquidity_group"), "h.return_rank").orderBy(
+        "return_rank", "ticker"
     )
-    return res.orderBy("return_rank", "ticker")
 
 
 def top_returns(summary: DataFrame, n: int = 20) -> DataFrame:

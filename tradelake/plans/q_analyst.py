@@ -3,19 +3,17 @@ anomaly search and the sample / top-N views."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.columns import round_half_up
 from ..operators import anomalies as A
 from ..operators import card as C
 from ..operators import compare as P
 from ..operators import screening as Q
-from ..schemas import ANOMALY_TYPES
 from . import oracle_sql as S
-from .q_core import ANOMALY_SQL, SUMMARY_OUT, SUMMARY_SQL, summary_out
+from .q_core import ANOMALY_SQL
 from .registry import CARD_TICKER, COMPARE_TICKERS, DATE_FROM, DATE_TO, out, register, wh
 
 SCREEN_FILTER = Q.ScreenFilter(min_return_pct=0.0, max_volatility_pct=1500.0)
+ALL_FILTERS = Q.ScreenFilter(-50.0, 2000.0, 1000.0, 1.0, 1.0, 99.9)  # every predicate set
 SEARCH_TYPES = ("price_jump", "deals_spike")
 SEARCH_MIN_ABS = 10.0
 
@@ -27,32 +25,22 @@ def _in(values) -> str:
 
 
 def period_sql(tickers=None, name: str = "ps") -> str:
-    """Reference formulation of the period statistics (calendar CTE cross joined)."""
+    """Period statistics: one group for each ticker over the period's rows."""
     tick = f" AND ticker IN ({_in(tickers)})" if tickers else ""
-    first = "MAX(price_avg_weighted) FILTER (WHERE rn_first = 1)"
-    last = "MAX(price_avg_weighted) FILTER (WHERE rn_last = 1)"
+    first, last = S.first_value("price_avg_weighted"), S.last_value("price_avg_weighted")
+    days = f"(SELECT count(*)::INTEGER FROM trading_calendar WHERE is_trading_day AND {BETWEEN})"
     return (
-        f"""{name}_cal AS (
-  SELECT CAST(COUNT(*) AS INTEGER) AS period_trading_days FROM trading_calendar
-  WHERE is_trading_day AND {BETWEEN}),
-{name}_p AS (SELECT * FROM metrics WHERE {BETWEEN}{tick}),
-"""
-        + S.drawdown_cte(f"{name}_p", f"{name}_dd")
+        f"{name}_rows AS (SELECT * FROM metrics WHERE {BETWEEN}{tick}),\n"
+        + S.drawdown_cte(f"{name}_rows", f"{name}_days")
         + f""",
-{name}_a AS (
-  SELECT ticker, issuer_name, {first} AS first_price, {last} AS last_price,
-         CAST(SUM(turnover_value) AS DOUBLE) / COUNT(turnover_value) AS avg_turnover_value,
-         CAST(SUM(deals_count) AS DOUBLE) / COUNT(deals_count) AS avg_deals_count,
-         COUNT(*) AS active_days_count,
-         STDDEV_SAMP(daily_return_pct) AS volatility_pct,
-         MIN(drawdown_pct) AS max_drawdown_pct,
-         MAX(trade_date) AS last_active_trade_date
-  FROM {name}_dd GROUP BY ticker, issuer_name),
 {name} AS (
-  SELECT a.*, {S.pct('a.last_price', 'a.first_price')} AS return_pct_period, c.period_trading_days,
-         CASE WHEN c.period_trading_days = 0 THEN NULL
-              ELSE CAST(a.active_days_count AS DOUBLE) / c.period_trading_days * 100 END AS active_days_share_pct
-  FROM {name}_a a CROSS JOIN {name}_cal c)"""
+  SELECT ticker, issuer_name, {first} AS first_price, {last} AS last_price, {S.pct(last, first)} AS return_pct_period,
+         {S.mean('turnover_value')} AS avg_turnover_value, {S.mean('deals_count')} AS avg_deals_count,
+         count(*) AS active_days_count, {days} AS period_trading_days,
+         CAST(count(*) AS DOUBLE) / nullif({days}, 0) * 100 AS active_days_share_pct,
+         stddev_samp(daily_return_pct) AS volatility_pct, min(drawdown_pct) AS max_drawdown_pct,
+         max(trade_date) AS last_active_trade_date
+  FROM {name}_days GROUP BY ticker, issuer_name)"""
     )
 
 
@@ -87,11 +75,15 @@ def _period_out(df, cols=PERIOD_OUT):
 
 
 def _screen_sql(flt: Q.ScreenFilter) -> str:
-    conds = []
-    if flt.min_return_pct is not None:
-        conds.append(f"return_pct_period >= {flt.min_return_pct}")
-    if flt.max_volatility_pct is not None:
-        conds.append(f"volatility_pct <= {flt.max_volatility_pct}")
+    limits = {
+        "return_pct_period >=": flt.min_return_pct,
+        "volatility_pct <=": flt.max_volatility_pct,
+        "avg_turnover_value >=": flt.min_avg_turnover_value,
+        "avg_deals_count >=": flt.min_avg_deals_count,
+        "active_days_share_pct >=": flt.min_active_days_share_pct,
+        "abs(max_drawdown_pct) <=": flt.max_abs_drawdown_pct,
+    }
+    conds = [f"{k} {v}" for k, v in limits.items() if v is not None]
     where = (" WHERE " + " AND ".join(conds)) if conds else ""
     return (
         "SELECT ticker, issuer_name, CAST(ROUND(last_price, 4) AS DOUBLE) AS last_price, "
@@ -163,6 +155,11 @@ def q_screener_filtered(spark, sf_dir):
     return _screened(spark, sf_dir, SCREEN_FILTER)
 
 
+@register("screener_all_filters", _base_cal(period_sql()) + _screen_sql(ALL_FILTERS))
+def q_screener_all_filters(spark, sf_dir):
+    return _screened(spark, sf_dir, ALL_FILTERS)
+
+
 @register(
     "screen_headline",
     _base_cal(period_sql(), "scr AS (" + _screen_sql(SCREEN_FILTER) + ")")
@@ -292,41 +289,43 @@ def q_ticker_slice(spark, sf_dir):
 
 # --- Q11-Q15: instrument card -----------------------------------------------------------------
 def _card_sql() -> str:
-    asof = lambda n: (
-        f"p{n} AS (SELECT ticker, price_avg_weighted AS price_{n}d FROM (SELECT ticker, price_avg_weighted, "
-        f"ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY trade_date DESC) AS rn FROM cp_p "
-        f"WHERE trade_date <= DATE '{DATE_TO}' - {n}) WHERE rn = 1)"
+    """Per ticker: the period's aggregates, and the price as of 30 and 90 days before its end."""
+    earlier = "".join(
+        f""",
+p{n} AS (
+  SELECT t.ticker, r.price_avg_weighted AS price_{n}d
+  FROM (SELECT ticker, DATE '{DATE_TO}' - {n} AS day FROM instruments) t
+  ASOF JOIN cp_rows r ON t.ticker = r.ticker AND t.day >= r.trade_date)"""
+        for n in (30, 90)
     )
     return (
-        "cp_cal AS (SELECT CAST(COUNT(*) AS INTEGER) AS period_trading_days FROM trading_calendar "
-        f"WHERE is_trading_day AND {BETWEEN}),\n"
-        f"cp_p AS (SELECT * FROM metrics WHERE {BETWEEN}),\n"
-        + S.drawdown_cte("cp_p", "cp_dd")
-        + ",\nlast_row AS (SELECT ticker, trade_date AS last_trade_date, price_avg_weighted AS last_price, "
-        "prev_price_avg_weighted AS last_prev FROM cp_dd WHERE rn_last = 1),\n"
-        + asof(30)
-        + ",\n"
-        + asof(90)
-        + ",\ncp_a AS (SELECT ticker, MIN(issuer_name) AS issuer_name, MIN(currency_code) AS currency_code, "
-        "MIN(instrument_type) AS instrument_type, CAST(SUM(turnover_value) AS DOUBLE) / COUNT(turnover_value) AS avg_turnover_value, "
-        "CAST(SUM(deals_count) AS DOUBLE) / COUNT(deals_count) AS avg_deals_count, COUNT(*) AS active_days_count, "
-        "STDDEV_SAMP(daily_return_pct) AS volatility_pct, MIN(drawdown_pct) AS max_drawdown_pct FROM cp_dd GROUP BY ticker)"
+        f"cp_days_count AS (SELECT count(*)::INTEGER AS period_trading_days FROM trading_calendar WHERE is_trading_day AND {BETWEEN}),\n"
+        f"cp_rows AS (SELECT * FROM metrics WHERE {BETWEEN}),\n"
+        + S.drawdown_cte("cp_rows", "cp_days")
+        + f""",
+card AS (
+  SELECT ticker, any_value(issuer_name) AS issuer_name, any_value(currency_code) AS currency_code,
+         any_value(instrument_type) AS instrument_type, max(trade_date) AS last_trade_date,
+         {S.last_value('price_avg_weighted')} AS last_price, {S.last_value('prev_price_avg_weighted')} AS last_prev,
+         {S.mean('turnover_value')} AS avg_turnover_value, {S.mean('deals_count')} AS avg_deals_count,
+         count(*) AS active_days_count, stddev_samp(daily_return_pct) AS volatility_pct,
+         min(drawdown_pct) AS max_drawdown_pct
+  FROM cp_days GROUP BY ticker)"""
+        + earlier
     )
 
 
 @register(
     "card_kpi",
     _base_cal(_card_sql())
-    + "SELECT i.ticker, a.issuer_name, a.currency_code, a.instrument_type, l.last_trade_date, "
-    "CAST(l.last_price AS DOUBLE) AS last_price, "
-    f"{S.pct('l.last_price', 'l.last_prev')} AS change_day_pct, {S.pct('l.last_price', 'p30.price_30d')} AS change_30d_pct, "
-    f"{S.pct('l.last_price', 'p90.price_90d')} AS change_90d_pct, a.avg_turnover_value, a.avg_deals_count, "
-    "COALESCE(a.active_days_count, 0) AS active_days_count, c.period_trading_days, "
-    "CASE WHEN c.period_trading_days = 0 THEN NULL ELSE CAST(COALESCE(a.active_days_count, 0) AS DOUBLE) "
-    f"/ c.period_trading_days * 100 END AS active_days_share_pct, {S.rnd('a.volatility_pct', 4)} AS volatility_pct, "
-    "a.max_drawdown_pct FROM instruments i CROSS JOIN cp_cal c LEFT JOIN cp_a a ON a.ticker = i.ticker "
-    "LEFT JOIN last_row l ON l.ticker = i.ticker LEFT JOIN p30 ON p30.ticker = i.ticker "
-    "LEFT JOIN p90 ON p90.ticker = i.ticker",
+    + "SELECT i.ticker, c.issuer_name, c.currency_code, c.instrument_type, c.last_trade_date, "
+    "CAST(c.last_price AS DOUBLE) AS last_price, "
+    f"{S.pct('c.last_price', 'c.last_prev')} AS change_day_pct, {S.pct('c.last_price', 'p30.price_30d')} AS change_30d_pct, "
+    f"{S.pct('c.last_price', 'p90.price_90d')} AS change_90d_pct, c.avg_turnover_value, c.avg_deals_count, "
+    "coalesce(c.active_days_count, 0) AS active_days_count, n.period_trading_days, "
+    "CAST(coalesce(c.active_days_count, 0) AS DOUBLE) / nullif(n.period_trading_days, 0) * 100 AS active_days_share_pct, "
+    f"{S.rnd('c.volatility_pct', 4)} AS volatility_pct, c.max_drawdown_pct "
+    "FROM instruments i CROSS JOIN cp_days_count n LEFT JOIN card c USING (ticker) LEFT JOIN p30 USING (ticker) LEFT JOIN p90 USING (ticker)",
 )
 def q_card_kpi(spark, sf_dir):
     w = wh(spark, sf_dir)
@@ -485,6 +484,3 @@ def q_anomalies_by_type(spark, sf_dir):
 )
 def q_anomalies_by_ticker(spark, sf_dir):
     return A.anomalies_by_ticker(_search(spark, sf_dir))
-
-
-__all__ = ["ANOMALY_TYPES", "SUMMARY_OUT", "SUMMARY_SQL", "summary_out", "F"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.columns import round_half_up
 from ..operators import anomalies as A
 from ..operators import metrics as M
@@ -121,11 +119,10 @@ def q_drawdown(spark, sf_dir):
 
 @register(
     "first_last_price",
-    S.base(S.drawdown_cte("metrics", "dd"))
-    + "SELECT ticker, MIN(trade_date) AS first_trade_date, MAX(trade_date) AS last_trade_date, "
-    "CAST(MAX(price_avg_weighted) FILTER (WHERE rn_first = 1) AS DOUBLE) AS first_price, "
-    "CAST(MAX(price_avg_weighted) FILTER (WHERE rn_last = 1) AS DOUBLE) AS last_price "
-    "FROM dd GROUP BY ticker",
+    S.base()
+    + "SELECT ticker, min(trade_date) AS first_trade_date, max(trade_date) AS last_trade_date, "
+    f"CAST({S.first_value('price_avg_weighted')} AS DOUBLE) AS first_price, "
+    f"CAST({S.last_value('price_avg_weighted')} AS DOUBLE) AS last_price FROM metrics GROUP BY ticker",
 )
 def q_first_last_price(spark, sf_dir):
     d = M.first_last_price(wh(spark, sf_dir).metrics)
@@ -157,6 +154,3 @@ def q_anomalies(spark, sf_dir):
 def flagship(spark, sf_dir):
     """The entry query: market anomalies over the whole history."""
     return q_anomalies(spark, sf_dir)
-
-
-__all__ = ["F"]

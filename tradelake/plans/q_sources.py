@@ -99,9 +99,9 @@ MONTHLY_SQL = (
 )
 
 
-def _wide(spark, sf_dir):
+def _monthly(spark, sf_dir):
     w = wh(spark, sf_dir)
-    return P.monthly_price_table(w.facts, w.instruments, w.issuers)
+    return P.monthly_prices(w.facts, w.instruments, w.issuers)
 
 
 @register(
@@ -109,7 +109,7 @@ def _wide(spark, sf_dir):
     S.base(MONTHLY_SQL) + "SELECT trade_date, issuer_name, price FROM mp WHERE price IS NOT NULL AND price > 0",
 )
 def q_unpivot_prices(spark, sf_dir):
-    return P.unpivot_prices(_wide(spark, sf_dir))
+    return P.positive_prices(_monthly(spark, sf_dir))
 
 
 @register(
@@ -123,7 +123,7 @@ def q_unpivot_prices(spark, sf_dir):
     "FROM mp GROUP BY issuer_name",
 )
 def q_activity_profile(spark, sf_dir):
-    a = P.activity_profile(_wide(spark, sf_dir))
+    a = P.activity_profile(_monthly(spark, sf_dir))
     return a.withColumn("price_median", round_half_up("price_median", 4))
 
 

@@ -45,16 +45,16 @@ def out(df: DataFrame, *cols: str) -> DataFrame:
     )
 
 
-_WH_CACHE: dict[tuple[int, str, str], Warehouse] = {}
+_WH_CACHE: dict[tuple, Warehouse] = {}
 
 
 def wh(spark: SparkSession, sf_dir: str, file_by: str = "ship") -> Warehouse:
-    """The warehouse derived from the test tables, as lazy plans: each query is one Catalyst
-    plan from the parquet tables, so a ticker filter reaches the raw scan (it passes the
-    windows and aggregations keyed by ticker).  Nothing is cached."""
-    key = (id(spark), sf_dir, file_by)
+    """The warehouse derived from the test tables, as lazy plans.  Every table of it derives from
+    one compact aggregate of the raw rows, kept (memory, then disk) until ``reset``, so a query reads
+    the raw tables once however many of the tables it uses."""
+    key = (spark.sparkContext.applicationId, spark.sparkContext.startTime, id(spark), sf_dir, file_by)
     if key not in _WH_CACHE:
-        _WH_CACHE[key] = Warehouse.from_testdata(spark, sf_dir, file_by)
+        _WH_CACHE[key] = Warehouse.from_testdata(spark, sf_dir, file_by, persist=True)
     return _WH_CACHE[key]
 
 

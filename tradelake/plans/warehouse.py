@@ -8,6 +8,7 @@ the reference's pages read PostgreSQL tables.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import anomalies as A
 from ..operators import metrics as M
 from ..operators import normalize as N
+from ..operators.loading import read_pointer, write_pointer
 from ..sources import testdata
 
 
@@ -50,7 +52,7 @@ class Warehouse:
             issuers=N.issuers_from_parts(parts),
             instruments=N.instruments_from_parts(parts),
             calendar=N.calendar_from_parts(parts),
-            facts=N.daily_stats_from_parts(parts),
+            facts=N.facts_from_parts(parts),
             files=files,
             parts=parts,
         )
@@ -68,14 +70,11 @@ class Warehouse:
 
     @classmethod
     def from_path(cls, spark: SparkSession, path: str) -> "Warehouse":
-        read = lambda name: spark.read.parquet(f"{path}/{name}")
-
-        def optional(name: str) -> DataFrame | None:
-            try:
-                return read(name)
-            except Exception:  # not materialised (yet)
-                return None
-
+        """The latest version that ``materialize`` finished under ``path``."""
+        pointer = read_pointer(spark, path)
+        if pointer is None:
+            raise FileNotFoundError(f"nothing is materialised under {path}")
+        read = lambda name: spark.read.parquet(f"{path}/{pointer['load']}/{name}")
         return cls(
             spark=spark,
             raw=None,
@@ -83,39 +82,39 @@ class Warehouse:
             instruments=read("instruments"),
             calendar=read("trading_calendar"),
             facts=read("market_daily_stats"),
-            _summary=optional("instrument_summary"),
-            _metrics=optional("daily_metrics"),
+            _summary=read("instrument_summary") if pointer["summary"] else None,
+            _metrics=read("daily_metrics") if pointer["summary"] else None,
         )
 
     def materialize(self, path: str, with_summary: bool = True) -> "Warehouse":
-        """Write dimensions and facts and return a warehouse reading them.  Facts come out of
-        the fold hash-partitioned by ticker; they are sorted by ticker and date inside each file
-        (no extra shuffle), so ticker and date predicates prune row groups."""
-        self.issuers.write.mode("overwrite").parquet(f"{path}/issuers")
-        self.instruments.write.mode("overwrite").parquet(f"{path}/instruments")
-        self.calendar.write.mode("overwrite").parquet(f"{path}/trading_calendar")
-        (
-            self.facts.sortWithinPartitions("ticker", "trade_date")
-            .write.mode("overwrite")
-            .parquet(f"{path}/market_daily_stats")
-        )
-        stored = Warehouse.from_path(self.spark, path)
+        """Write dimensions and facts, and a new version each time, so a warehouse that reads
+        ``path`` can be materialised there again; returns a warehouse reading the new version.
+        Facts come out of the fold hash-partitioned by ticker; they are sorted by ticker and date
+        inside each file (no extra shuffle), so ticker and date predicates prune row groups."""
+        number = (read_pointer(self.spark, path) or {"number": 0})["number"] + 1
+        load = f"v{number}-{uuid.uuid4().hex}"
+        base = f"{path}/{load}"
+        self.issuers.write.parquet(f"{base}/issuers")
+        self.instruments.write.parquet(f"{base}/instruments")
+        self.calendar.write.parquet(f"{base}/trading_calendar")
+        self.facts.sortWithinPartitions("ticker", "trade_date").write.parquet(f"{base}/market_daily_stats")
         if with_summary:
             # Materialised views: daily metrics (returns over full history, sorted by ticker and
-            # date) and the instrument summary, refreshed with every load.
-            stored.metrics.sortWithinPartitions("ticker", "trade_date").write.mode("overwrite").parquet(
-                f"{path}/daily_metrics"
-            )
-            stored = Warehouse.from_path(self.spark, path)
-            M.save_summary(stored.summary, f"{path}/instrument_summary")
-            stored = Warehouse.from_path(self.spark, path)
-        return stored
+            # date) and the instrument summary, derived from the facts just written.
+            read = lambda name: self.spark.read.parquet(f"{base}/{name}")
+            m = M.daily_metrics(read("market_daily_stats"), read("instruments"), read("issuers"))
+            m.sortWithinPartitions("ticker", "trade_date").write.parquet(f"{base}/daily_metrics")
+            M.save_summary(M.instrument_summary(read("daily_metrics")), f"{base}/instrument_summary")
+        write_pointer(self.spark, path, {"number": number, "load": load, "summary": with_summary})
+        return Warehouse.from_path(self.spark, path)
 
     # --- derived views (lazy) -----------------------------------------------------------------
     @cached_property
     def metrics(self) -> DataFrame:
         if self._metrics is not None:
             return self._metrics
+        if self.parts is not None:  # descriptors come along with the facts: one pass over raw
+            return M.add_daily_metrics(M.described(N.described_facts(self.parts)))
         return M.daily_metrics(self.facts, self.instruments, self.issuers)
 
     @property

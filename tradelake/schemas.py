@@ -46,9 +46,8 @@ TIER_LOW_PCT = 0.33
 TIER_HIGH_PCT = 0.67
 TIER_LABELS = ("high", "medium", "low")
 LIQUID_MIN_TURNOVER = 10000
-# ---------------------------------------------------------------------------------------------
 
-RAW_TEXT_COLUMNS = ["ticker_raw", "issuer_name_raw", "currency_code_raw", "market_segment_raw"]
+# Raw numeric columns with their precision and scale, and the payload columns in archive order.
 RAW_DECIMAL_COLUMNS = {
     "price_min_raw": (18, 6),
     "price_avg_raw": (18, 6),
@@ -60,8 +59,6 @@ RAW_DECIMAL_COLUMNS = {
     "turnover_qty_raw": (20, 6),
 }
 RAW_INT_COLUMNS = ["deals_count_raw", "term_days_raw"]
-
-# Payload columns of the raw layer, in archive order.
 RAW_COLUMNS = [
     "ticker_raw",
     "issuer_name_raw",
@@ -80,6 +77,25 @@ RAW_COLUMNS = [
     "market_segment_raw",
 ]
 
+# Value columns of the daily facts.
+FACT_VALUE_COLUMNS = [
+    "price_min",
+    "price_avg_weighted",
+    "price_aux",
+    "yield_min_pct",
+    "yield_max_pct",
+    "yield_avg_pct",
+    "turnover_value",
+    "turnover_qty",
+    "deals_count",
+    "term_days",
+    "market_segment",
+]
+
+# Archive file names end in year and month.
+FILE_PERIOD = r"(\d{4})_(\d{2})"
+# ---------------------------------------------------------------------------------------------
+
 
 def _dec(p: int, s: int) -> T.DecimalType:
     return T.DecimalType(p, s)
@@ -94,28 +110,3 @@ RAW_PAYLOAD_SCHEMA = T.StructType(
         T.StructField("market_segment_raw", T.StringType()),
     ]
 )
-
-FILES_SCHEMA = T.StructType(
-    [
-        T.StructField("file_key", T.LongType(), False),
-        T.StructField("file_name", T.StringType(), False),
-        T.StructField("source_type", T.StringType(), False),
-        T.StructField("loaded_at", T.TimestampNTZType(), False),
-        T.StructField("rows_count", T.IntegerType(), False),
-        T.StructField("notes", T.StringType()),
-    ]
-)
-
-FACT_VALUE_COLUMNS = [
-    "price_min",
-    "price_avg_weighted",
-    "price_aux",
-    "yield_min_pct",
-    "yield_max_pct",
-    "yield_avg_pct",
-    "turnover_value",
-    "turnover_qty",
-    "deals_count",
-    "term_days",
-    "market_segment",
-]

@@ -32,18 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer splits than the cluster has cores (a small file with a
-    single row group is read by one task).  Large inputs already have one split per row group;
-    for them this is a no-op and adds no shuffle."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. a remote session): leave the scan as it is
-        return df
-    return df if splits >= target else df.repartition(target)
-
-
 def archive_file_name(key: F.Column) -> F.Column:
     """``MarketStockResult_YYYY_MM.xlsx`` for a ``yyyymm`` key."""
     return F.format_string(
@@ -62,7 +50,7 @@ def raw_trades(
     ``file_by="ship"`` puts each row into the archive of its ship month, ``"order"`` into the
     archive of its order month (a (supplier, day) then appears in several files).
     """
-    li = spread(table(spark, sf_dir, "lineitem"))
+    li = table(spark, sf_dir, "lineitem")
     su = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     na = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     df = li.join(su, li.l_suppkey == su.s_suppkey).join(na, su.s_nationkey == na.n_nationkey)
@@ -106,14 +94,13 @@ def raw_trades(
     return df.select(*cols)
 
 
-def order_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every calendar month between the first and the last ship date (file list incl. empty months)."""
+def archive_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_key, file_name of every calendar month from the first to the last ship date, also of
+    months without rows."""
     li = table(spark, sf_dir, "lineitem")
     bounds = li.agg(
-        F.trunc(F.min("l_shipdate").cast("date"), "month").alias("lo"),
-        F.trunc(F.max("l_shipdate").cast("date"), "month").alias("hi"),
-    )
-    months = bounds.select(
-        F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("month_start")
+        F.trunc(F.min("l_shipdate").cast("date"), "month").alias("lo"), F.trunc(F.max("l_shipdate").cast("date"), "month").alias("hi")
     )
-    return months
+    months = bounds.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("m"))
+    key = (F.year("m") * 100 + F.month("m")).cast("long")
+    return months.select(key.alias("file_key"), archive_file_name(key).alias("file_name"))
