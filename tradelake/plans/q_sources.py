@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_text, coerce_decimal, coerce_int, coerce_timestamp, round_half_up
 from ..operators import prep as P
+from ..schemas import HEADER_MAP
+from ..session import ensure_checkpoint_dir
+from ..sources import archives as A
 from ..sources import testdata
 from . import oracle_sql as S
 from .registry import register, wh
@@ -138,3 +143,86 @@ def q_business_days(spark, sf_dir):
     cal = wh(spark, sf_dir).calendar
     months = cal.select(F.trunc("trade_date", "month").alias("month_start")).distinct()
     return P.business_days(months)
+
+
+# --- S3, S5, S7, S8, S10: archive cells --------------------------------------------------------
+# Scenario: the raw rows as text cells.  Archives of odd months have their columns in another order,
+# those of March lack the term, and every fifth deal line is a blank row.
+CELL_ORDER = [
+    "ticker_raw", "issuer_name_raw", "currency_code_raw", "price_min_raw", "price_avg_raw", "price_aux_raw", "yield_min_raw",
+    "yield_max_raw", "yield_avg_raw", "turnover_value_raw", "turnover_qty_raw", "deals_count_raw", "term_days_raw", "trade_datetime_raw",
+]
+OTHER_ORDER = [c for c in reversed(CELL_ORDER) if c != "price_aux_raw"]
+OTHER_ORDER.insert(5, "price_aux_raw")  # taken by position
+
+
+def _cells(spark, sf_dir):
+    """(cells, headers) of the scenario."""
+    raw = testdata.raw_trades(spark, sf_dir)
+    text = {by: F.col(by).cast("string") for by in CELL_ORDER}
+    odd, march = F.col("file_key") % 2 == 1, F.col("file_key") % 100 == 3
+    row = F.when(odd, F.array(*[text[c] for c in OTHER_ORDER])).otherwise(F.array(*[text[c] for c in CELL_ORDER]))
+    blank = F.transform(row, lambda x: F.lit(None).cast("string"))
+    cells = raw.select("file_key", "file_name", F.when(F.col("deals_count_raw") == 5, blank).otherwise(row).alias("cells"))
+    titles = {raw_name: title for title, raw_name in HEADER_MAP.items()} | {"price_aux_raw": ""}
+    named = lambda order, gone=(): F.array(*[F.lit("?" if c in gone else f" {titles[c]}") for c in order])
+    header = F.when(march, named(OTHER_ORDER, ("term_days_raw",))).when(odd, named(OTHER_ORDER)).otherwise(named(CELL_ORDER))
+    return cells, raw.select("file_key", "file_name").distinct().select("file_name", header.alias("header"))
+
+
+@register(
+    "map_headers",
+    S.with_(S.raw_cte())
+    + "SELECT file_name, count(*) AS n, count(CASE WHEN deals_count_raw <> 5 THEN 1 END) AS filled, "
+    "CASE WHEN file_key % 100 = 3 THEN 'expected columns not found: term_days_raw' END AS load_error, "
+    "CAST(sum(CASE WHEN deals_count_raw <> 5 THEN turnover_value_raw END) AS DOUBLE) AS turnover, "
+    "CAST(sum(CASE WHEN deals_count_raw <> 5 THEN price_aux_raw END) AS DOUBLE) AS aux FROM raw GROUP BY file_key, file_name",
+)
+def q_map_headers(spark, sf_dir):
+    mapped = A.map_headers(*_cells(spark, sf_dir), "file_name")
+    total = lambda c, t: F.sum(F.col(c).cast(t)).cast("double")
+    return mapped.groupBy("file_name").agg(
+        F.count(F.lit(1)).alias("n"), F.count("ticker_raw").alias("filled"), F.first("load_error").alias("load_error"),
+        total("turnover_value_raw", "decimal(20,2)").alias("turnover"), total("price_aux_raw", "decimal(18,6)").alias("aux"),
+    )
+
+
+def _typed(spark, sf_dir, **options):
+    return A.type_raw(A.map_headers(*_cells(spark, sf_dir), "file_name"), **options)
+
+
+@register(
+    "constant_segment",
+    S.with_(S.raw_cte()) + "SELECT file_key, 'bonds' AS market_segment_raw, count(*) AS n FROM raw GROUP BY file_key",
+)
+def q_constant_segment(spark, sf_dir):
+    typed = _typed(spark, sf_dir, market_segment=" bonds ")
+    return typed.groupBy("file_key", "market_segment_raw").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "drop_blank_rows",
+    S.with_(S.raw_cte())
+    + "SELECT file_key, count(*) AS n, CAST(sum(CASE WHEN deals_count_raw <> 5 THEN deals_count_raw END) AS BIGINT) AS deals "
+    "FROM raw WHERE deals_count_raw <> 5 OR file_key % 100 = 3 GROUP BY file_key",
+)
+def q_drop_blank_rows(spark, sf_dir):
+    """A blank row of a file without an expected column stays: it carries the file's error."""
+    typed = _typed(spark, sf_dir, drop_blank=True)
+    return typed.groupBy("file_key").agg(F.count(F.lit(1)).alias("n"), F.sum("deals_count_raw").alias("deals"))
+
+
+@register(
+    "raw_sink",
+    S.with_(S.raw_cte())
+    + "SELECT file_key, count(*) AS n, CAST(sum(CASE WHEN deals_count_raw <> 5 THEN turnover_qty_raw END) AS DOUBLE) AS qty, "
+    "min(CASE WHEN deals_count_raw <> 5 THEN trade_datetime_raw END) AS first_time FROM raw GROUP BY file_key",
+)
+def q_raw_sink(spark, sf_dir):
+    """The typed rows written with one folder for each archive, and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/raw-sink-{uuid.uuid4().hex}"
+    A.write_raw(_typed(spark, sf_dir), path)
+    back = spark.read.parquet(path)
+    return back.groupBy(F.col("file_key").cast("long").alias("file_key")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("turnover_qty_raw").cast("double").alias("qty"), F.min("trade_datetime_raw").alias("first_time")
+    )

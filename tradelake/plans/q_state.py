@@ -4,17 +4,20 @@ and the data-quality suite."""
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import loading as L
+from ..operators import metrics as M
 from ..operators import normalize as N
 from ..operators import quality as D
 from ..operators.rownum import with_row_number
 from ..schemas import DEFAULT_SOURCE_TYPE, LOAD_NOTE
+from ..session import ensure_checkpoint_dir
 from ..sources import testdata
 from . import oracle_sql as S
-from .q_core import ANOMALY_OUT, ANOMALY_SQL, FACT_OUT, FACT_SQL
+from .q_core import ANOMALY_OUT, ANOMALY_SQL, FACT_OUT, FACT_SQL, SUMMARY_SQL, summary_out
 from .registry import out, register, wh
 
 LOADED_AT = dt.datetime(2026, 1, 31, 12, 0, 0)
@@ -513,3 +516,43 @@ def q_load_batch_report(spark, sf_dir):
 )
 def q_replace_rejected(spark, sf_dir):
     return _second_load(spark, sf_dir, replace=True)[0].registry.select("file_name", "file_key", "rows_count")
+
+
+# --- L4, M11, L6: published state and stored summary --------------------------------------------
+@register(
+    "published_facts",
+    S.with_(
+        S.raw_cte(), f"reached AS (SELECT * FROM raw WHERE file_key < {REJECTED})", S.facts_file_cte("reached"), S.facts_cte()
+    )
+    + f"SELECT {FACT_SQL} FROM facts",
+)
+def q_published_facts(spark, sf_dir):
+    """Two loads published one after the other (the second up to its rejected archive), read back."""
+    root = f"{ensure_checkpoint_dir(spark)}/published-{uuid.uuid4().hex}"
+    w, key = wh(spark, sf_dir), F.col("file_key")
+    files = L.files_of(w.raw).withColumn("file_order", key)
+    options = {"loaded_at": LOADED_AT, "gate_options": {"min_year": 1900}}
+    for low, high in ((0, 199601), (199601, REJECTED)):
+        part = key.between(low, high - 1)
+        state_now, _ = L.load_batch(L.read_state(spark, root), w.raw.where(part), files.where(part), **options)
+        L.publish(state_now, root)
+    return out(L.read_state(spark, root).facts, *FACT_OUT)
+
+
+def _stored_summary(spark, sf_dir):
+    path = f"{ensure_checkpoint_dir(spark)}/summary-{uuid.uuid4().hex}"
+    M.save_summary(wh(spark, sf_dir).summary.where(F.substring("ticker", -1, 1) != "3"), path)
+    return path
+
+
+@register("materialized_summary", S.base(S.summary_cte()) + f"SELECT {SUMMARY_SQL} FROM summary WHERE right(ticker, 1) <> '3'")
+def q_materialized_summary(spark, sf_dir):
+    """A saved summary is read as it was saved (here: without some instruments) until refreshed."""
+    return summary_out(spark.read.parquet(_stored_summary(spark, sf_dir)))
+
+
+@register("refreshed_summary", S.base(S.summary_cte()) + f"SELECT {SUMMARY_SQL} FROM summary")
+def q_refreshed_summary(spark, sf_dir):
+    path = _stored_summary(spark, sf_dir)
+    M.save_summary(wh(spark, sf_dir).summary, path)  # derived from the facts, not from the file it replaces
+    return summary_out(spark.read.parquet(path))
