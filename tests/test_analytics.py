@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
 
 from tradelake.operators import anomalies as A
 from tradelake.operators import card as C
@@ -269,3 +273,28 @@ def test_price_index_drops_all_null_dates(spark):
     assert {(r.trade_date, r.ticker): r.price_index for r in rows}[(d2, "A")] == 150.0
     only_zero = P.compare_history(w.metrics, ["B"], "2024-01-01", "2024-01-31")
     assert P.price_index(only_zero, ["B"]).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 101])
+def test_thresholds_equal_the_exact_percentile(spark, n):
+    rng = random.Random(n)
+    values = [(rng.choice([None, 0.0, rng.random()]), rng.random()) for _ in range(n)]
+    s = spark.createDataFrame(values, "avg_turnover_value double, volatility_pct double")
+    want = s.agg(*[F.percentile(c, p) for c in ("avg_turnover_value", "volatility_pct") for p in (0.33, 0.67)]).first()
+    for a, b in zip(Q.thresholds(s).first(), want):
+        assert a == b if b is None else a == pytest.approx(b, rel=1e-12)
+
+
+def test_thresholds_from_brackets(spark, monkeypatch):
+    monkeypatch.setattr(Q, "BRACKET", 100)  # so that 2000 rows are many
+    rng = random.Random(5)
+    values = [(round(rng.random(), 2) if k % 3 else 0.5, rng.expovariate(1)) for k in range(2000)]
+    s = spark.createDataFrame(values, "avg_turnover_value double, volatility_pct double")
+    want = s.agg(*[F.percentile(c, p) for c in ("avg_turnover_value", "volatility_pct") for p in (0.33, 0.67)]).first()
+    assert tuple(Q.thresholds(s).first()) == pytest.approx(tuple(want), rel=1e-12)
+
+
+def test_card_of_an_unknown_ticker_is_one_empty_row(spark):
+    w = Warehouse.from_raw(spark, make_raw(spark, [raw_row()]))
+    rows = C.card(w.metrics, w.calendar, w.instruments, "NOBODY", "2024-01-01", "2024-12-31").collect()
+    assert [(r.ticker, r.last_price, r.active_days_count) for r in rows] == [("NOBODY", None, 0)]

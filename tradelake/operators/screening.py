@@ -186,10 +186,17 @@ def thresholds(summary: DataFrame) -> DataFrame:
     slack = 2.0 / BRACKET
     marks = [(p, max(p - slack, 0.0), min(p + slack, 1.0)) for p in (TIER_LOW_PCT, TIER_HIGH_PCT)]
     sides = F.percentile_approx("v", [x for _, a, b in marks for x in (a, b)], BRACKET)
-    brackets = values.groupBy("metric").agg(sides.alias("q"), F.count(F.lit(1)).alias("n"))  # a row for each metric
+    brackets = values.groupBy("metric").agg(
+        sides.alias("q"), F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")
+    )  # a row for each metric
+    few = F.col("n") <= 4 * BRACKET  # then the bracket, a few ranks wide, is everything
     asked = F.array(
         *[
-            F.struct(F.lit(p).alias("p"), F.col("q")[2 * i].alias("lo"), F.col("q")[2 * i + 1].alias("hi"))
+            F.struct(
+                F.lit(p).alias("p"),
+                F.when(few, F.col("least")).otherwise(F.col("q")[2 * i]).alias("lo"),
+                F.when(few, F.col("most")).otherwise(F.col("q")[2 * i + 1]).alias("hi"),
+            )
             for i, (p, _, _) in enumerate(marks)
         ]
     )

@@ -339,7 +339,7 @@ def q_card_kpi(spark, sf_dir):
     + "SELECT l.ticker, l.last_trade_date, CAST(l.last_price AS DOUBLE) AS last_price, "
     "CAST(p30.price_30d AS DOUBLE) AS price_30d, CAST(p90.price_90d AS DOUBLE) AS price_90d, "
     f"{S.pct('l.last_price', 'p30.price_30d')} AS change_30d_pct, {S.pct('l.last_price', 'p90.price_90d')} AS change_90d_pct "
-    "FROM last_row l LEFT JOIN p30 ON p30.ticker = l.ticker LEFT JOIN p90 ON p90.ticker = l.ticker",
+    "FROM card l LEFT JOIN p30 ON p30.ticker = l.ticker LEFT JOIN p90 ON p90.ticker = l.ticker",
 )
 def q_asof_change(spark, sf_dir):
     return out(C.asof_change(wh(spark, sf_dir).metrics, DATE_FROM, DATE_TO))

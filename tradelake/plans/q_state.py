@@ -104,7 +104,7 @@ def q_daily_stats_upsert(spark, sf_dir):
     f"'{LOAD_NOTE}' AS notes FROM raw GROUP BY file_key, file_name",
 )
 def q_import_registry(spark, sf_dir):
-    return state(spark, sf_dir).registry.drop("loaded_at")
+    return state(spark, sf_dir).registry.drop("loaded_at", "file_order")
 
 
 @register(
