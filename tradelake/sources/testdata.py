@@ -32,6 +32,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Files below this size are read by one task or a few; the scan of such a table is dealt out anew.
+SMALL_BYTES = 128 * 1024 * 1024
+
+
+def spread_small(df: DataFrame, path: str) -> DataFrame:
+    """Deal the rows of a table of one small file (its row group is one task) to all cores.  The
+    table's size bounds what is shuffled; larger tables have splits of their own and stay as they are."""
+    spark = df.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    small = fs.getContentSummary(folder).getLength() <= SMALL_BYTES
+    return df.repartition(spark.sparkContext.defaultParallelism) if small else df
+
+
 def archive_file_name(key: F.Column) -> F.Column:
     """``MarketStockResult_YYYY_MM.xlsx`` for a ``yyyymm`` key."""
     return F.format_string(
@@ -50,7 +64,7 @@ def raw_trades(
     ``file_by="ship"`` puts each row into the archive of its ship month, ``"order"`` into the
     archive of its order month (a (supplier, day) then appears in several files).
     """
-    li = table(spark, sf_dir, "lineitem")
+    li = spread_small(table(spark, sf_dir, "lineitem"), f"{sf_dir.rstrip('/')}/lineitem.parquet")
     su = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     na = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     df = li.join(su, li.l_suppkey == su.s_suppkey).join(na, su.s_nationkey == na.n_nationkey)
