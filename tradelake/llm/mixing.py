@@ -148,7 +148,8 @@ class Mix:
     def taken(self) -> DataFrame:
         """Every use of a piece by a slot, joined by (source, block number): sidx, doc_start,
         pass, shard, slot, first_word, words (at least 1)."""
-        use = self.slots.join(self.pieces(), ["sidx", "block"])
+        # the planner takes the slots for as few as the rows they are expanded from; never broadcast them
+        use = self.slots.hint("merge").join(self.pieces(), ["sidx", "block"])
         use = use.withColumn("words", F.least(F.col("piece_words"), F.col("slot_words") - F.col("offset")))
         return use.where("words > 0").select(
             "sidx", "doc_start", "pass", "shard", "slot", "first_word", "words"
@@ -261,7 +262,7 @@ def mix_digest(docs: DataFrame) -> DataFrame:
     sources = m.source_table()
     if len(m.sources) <= BROADCAST_SOURCES:
         sources = F.broadcast(sources)
-    sized = m.documents.where("_size > 0").join(taken, ["_sidx", "_start"], "left")
+    sized = m.documents.where("_size > 0").join(taken.hint("merge"), ["_sidx", "_start"], "left")
     empty = m.documents.where("_size = 0").withColumn("taken", F.lit(0).cast("long"))
     out = sized.unionByName(empty).join(sources, "_sidx")
     return out.select(
@@ -277,7 +278,7 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", chars_col: str | No
     m = mix(docs, text_col=text_col, keep=docs.columns, **options)
     uses = m.taken().groupBy(F.col("sidx").alias("_sidx"), F.col("doc_start").alias("_start"))
     uses = uses.agg(F.collect_list(F.struct("pass", "first_word", "words")).alias("_uses"))  # two for each block at most
-    joined = m.documents.where("_size > 0").join(uses, ["_sidx", "_start"])
+    joined = m.documents.where("_size > 0").join(uses.hint("merge"), ["_sidx", "_start"])
     names, word = docs.columns, re.compile(WORD)
 
     def cut(batches):
