@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 Q = 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
-SEGMENT = 1_000_000  # characters looked at together
+SEGMENT = 400_000  # characters looked at together; bounds the memory of a task
 GAP = np.uint32(0x110000)  # no character; separates texts
 
 

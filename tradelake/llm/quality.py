@@ -30,7 +30,7 @@ from .common import held_out
 PASSAGE = 100  # words
 GROUPS = 256  # hashed three-byte groups
 SHAPE = 9
-CHUNK = 2_000_000  # bytes encoded together
+CHUNK = 400_000  # bytes encoded together; bounds the memory of a task
 
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _BYTE = np.arange(256)

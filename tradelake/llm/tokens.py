@@ -32,7 +32,7 @@ class WordEncoder(dict):
     model, which is called directly; any other goes through the whole tokenizer.  The memory is
     emptied when it holds ``limit`` words."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
