@@ -89,3 +89,14 @@ def test_odd_rows_and_ties(spark):
     assert {i: [j for j, _ in v] for i, v in few.items()} == {0: [200], 200: [0]}
     assert N.neighbour_digest(d.limit(0)).collect() == []
     assert N.neighbour_digest(d.where("vec_id = 50")).collect() == []
+
+
+def test_repeated_rows_of_a_copy_group(spark):
+    same = [1.0, 2.0, 0.0]
+    rows = [(i, same) for i in range(12)] + [(50, same), (60, [0.0, 1.0, 5.0])]
+    often = [r for r in rows for _ in range(7 if r[0] < 6 else 3)]
+    d = spark.createDataFrame(often, "vec_id long, embedding array<float>")
+    got = result(N.neighbour_digest(d))
+    want = brute([(i, np.array(v)) for i, v in rows])
+    assert {i: [j for j, _ in v] for i, v in got.items()} == {i: [j for j, _ in v] for i, v in want.items()}
+    assert [j for j, _ in got[0]] == [1, 2, 3, 4, 5] and [j for j, _ in got[50]] == [0, 1, 2, 3, 4]

@@ -8,7 +8,7 @@ all rows, and visits are widened until their recall reaches ``recall``.  (query,
 rows meet by leaf in units of bounded size on both sides, so a crowded leaf spreads over tasks.
 
 Of equal vectors only the k + 1 smallest ids can ever be among a query's k nearest (ties go to the
-smaller id), so the others are folded away before indexing, without loss.
+smaller id), so the others are folded away before indexing, without loss; repeated rows go first.
 
 Defined results: vectors that are null, zero, empty, of another than the most common length, or
 that hold null or non-finite components take no part, nor do rows with null id; a row repeated
@@ -108,7 +108,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     d = d.where(F.col("id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
     sizes = d.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return d.where(F.size("v") == (sizes["n"] if sizes else 0))
+    return d.where(F.size("v") == (sizes["n"] if sizes else 0)).distinct()
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:
@@ -161,7 +161,7 @@ def nearest_neighbours(
     out_schema = "query_id long, rank int, vec_id long, score double"
     base = usable(vectors, id_col, vector_col)
     same = Window.partitionBy("v").orderBy("id")
-    base = base.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).drop("copy").distinct()
+    base = base.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).drop("copy")
     base = pinned(base, "vectors")
     n = base.count()
     if not n:
@@ -180,7 +180,7 @@ def nearest_neighbours(
                 yield pdf.assign(leaf=shared.value.assign(_rows(pdf["v"])).astype(np.int32))
 
     index = pinned(base.mapInPandas(place, "id long, v array<double>, leaf int"), "vector-leaves")
-    q = usable(queries, id_col, vector_col).distinct().withColumn("query_key", F.xxhash64("v"))
+    q = usable(queries, id_col, vector_col).withColumn("query_key", F.xxhash64("v"))
 
     # calibration: leaves that a walk must visit to meet the true neighbours
     own = q.orderBy(F.xxhash64("id", "v")).limit(calibration).toPandas()
