@@ -173,3 +173,55 @@ def test_language_edges(spark, edge, none):
             assert r["lang_pred"] in model.langs
     assert L.predict(none, model).collect() == []
     assert {r["lang_pred"] for r in L.predict(edge, L.train(none)).collect()} == {"und"}
+
+
+def _long_texts(langs, chars):
+    """A few long documents in each of many languages, each language with letters of its own."""
+    rng, rows = np.random.default_rng(5), []
+    for i in range(6 * langs):
+        own = [chr(0x100 + 12 * (i % langs) + k) for k in range(12)]
+        rows.append((i, " ".join("".join(rng.choice(own, 4)) for _ in range(chars // 5)), f"l{i % langs:02d}"))
+    return rows
+
+
+def test_languages_of_few_long_documents(spark):
+    rows = _long_texts(20, 20_000)
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = L.train(d, sample_bytes=100_000)
+    assert model.langs == sorted({g for _, _, g in rows})
+    pred = {r["doc_id"]: r["lang_pred"] for r in L.predict(d, model).collect()}
+    assert pred == {i: g for i, _, g in rows}
+
+
+def test_sample_is_bounded_and_shared(spark):
+    rows = _long_texts(4, 20_000) + [(1000 + i, "short text", "s") for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = {}
+    for i, t, g in rows:
+        if not out_of_training(i):
+            whole[g] = whole.get(g, 0) + len(t.encode())
+    for most in (100_000, 20_000, 50):
+        model = L.train(d, sample_bytes=most)
+        codes, _, _, _ = model.tables[0]
+        assert model.langs == sorted(whole) and len(codes) <= most
+    from pyspark.sql import functions as F
+
+    most = 100_000
+    texts = d.where(~held_out(F.col("doc_id"))).select(
+        "lang", "text", F.xxhash64("doc_id", "text").alias("doc"), F.octet_length("text").alias("size")
+    )
+    got = {r["lang"]: r["n"] for r in L._sample(texts, most).groupBy("lang").agg(F.sum(F.octet_length("piece")).alias("n")).collect()}
+    assert sum(got.values()) <= most
+    assert all(min(whole[g], most / 5 - L.PIECE) <= got[g] <= most / 5 for g in whole)
+
+
+def test_pieces_count_like_whole_texts(spark):
+    rows = [(i, "é" + "abcdefgh" * 2000 + f" {i}", g) for i, g in [(1, "a"), (2, "a"), (3, "b"), (4, "b"), (7, "b")]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    training = {}
+    for i, t, g in rows:
+        if not out_of_training(i):
+            training.setdefault(g, []).append(t.encode())
+    a, b = L.train(d), model_of(training)
+    assert a.langs == b.langs
+    assert all(np.array_equal(x, y) for s, t in zip(a.tables, b.tables) for x, y in zip(s, t))

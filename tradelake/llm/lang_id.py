@@ -8,7 +8,9 @@ byte costs 8 bits.  A text begins after ORDER zero bytes.  The language with the
 whole text wins; its score is the posterior under equal priors.
 
 Counting runs in Spark over at most ``sample_bytes`` of text in all, shared equally by the
-languages and chosen by hash; that bounds the tables.  Scoring reads every byte of every text.
+languages; that bounds the tables.  Texts are drawn by hash in pieces of at most ``PIECE`` bytes, each
+counted after the bytes before it in its text, so a language gets its share (to within a piece, and
+at least one piece) however long its documents are.  Scoring reads every byte of every text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is everything
 if there is nothing to learn from; ties go to the smaller language value; a null doc_id counts as
@@ -20,13 +22,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out
 
 ORDER = 4
 CHUNK = 4_000_000  # bytes coded together
+PIECE = 1024  # bytes drawn together; small, so that a sample meets many documents
 
 
 def context_codes(text: bytes, before: bytes = bytes(ORDER)) -> np.ndarray:
@@ -122,28 +125,51 @@ class ByteModel:
                 np.add.at(out[:, j], owner, total)
 
 
+def _sample(d: DataFrame, sample_bytes: int) -> DataFrame | None:
+    """lang, piece, before (up to ORDER bytes) of at most ``sample_bytes`` of text.  ``d``: lang, text,
+    doc (hash), size.  A language's pieces come in the order of their hash, the first piece of its
+    least document before all, until its share is full."""
+    stats = d.groupBy("lang").agg(F.sum("size").alias("n"), F.min("doc").alias("least")).collect()  # one for each language
+    if not stats:
+        return None
+    share = sample_bytes / len(stats)
+    piece = max(1, min(PIECE, int(share)))
+    more = 1 + 4 * (piece / share) ** 0.5  # bytes drawn deviate by sqrt(piece * share) at most
+    limits = [(r["lang"], int((1 << 53) * min(1.0, more * share / r["n"])), r["least"]) for r in stats]
+    limits = d.sparkSession.createDataFrame(limits, "lang string, below long, least long")
+    first = F.col("doc") == F.col("least")
+    draw = lambda j: F.when(first & (j == 0), F.lit(-1)).otherwise(F.shiftrightunsigned(F.xxhash64("doc", j), 11))
+    chosen = F.filter(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / piece).cast("int")), lambda j: draw(j) < F.col("below"))
+    cut = lambda b, j: F.struct(
+        draw(j).alias("draw"), b.substr(j * piece + 1, F.lit(piece)).alias("piece"),
+        b.substr(F.greatest(j * piece - ORDER, F.lit(0)) + 1, F.least(j * piece, F.lit(ORDER))).alias("before"),
+    )
+    # the outer transform makes a text's bytes once for all its pieces
+    pieces = F.transform(F.array(F.col("text").cast("binary")), lambda b: F.transform(chosen, lambda j: cut(b, j)))[0]
+    drawn = d.join(F.broadcast(limits), "lang").select("lang", F.explode(pieces).alias("p")).select("lang", "p.*")
+    upto = Window.partitionBy("lang").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0)  # a few shares at most
+    return drawn.withColumn("upto", F.sum(F.octet_length("piece")).over(upto)).where(F.col("upto") <= max(share, 1)).select("lang", "piece", "before")
+
+
 def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_bytes: int = 8_000_000
 ) -> ByteModel | None:
     """Learn from documents that are not held out and have a language."""
     d = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    d = d.select(
+    d = d.where(F.col(text_col) != "").select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
-        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)).alias("draw"),
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("doc"), F.octet_length(F.col(text_col)).alias("size"),
     )
-    sizes = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    if not any(sizes.values()):
+    part = _sample(d, sample_bytes)
+    if part is None:
         return None
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_bytes / len(sizes) / max(n, 1)))).otherwise(share)
-    part = d.where(F.col("draw") < share * (1 << 30)).select("lang", "text")
 
     def count(batches):
         for b in batches:
             frame = b.to_pandas()
             for lang, own in frame.groupby("lang"):
-                code, n = np.unique(np.concatenate([context_codes(t.encode("utf-8", "replace")) for t in own["text"]]), return_counts=True)
+                codes = [context_codes(t, c.rjust(ORDER, b"\0")) for t, c in zip(own["piece"], own["before"])]
+                code, n = np.unique(np.concatenate(codes), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(code), "code": code.astype(np.int64), "n": n})
 
     counts = part.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
