@@ -95,3 +95,11 @@ def test_rules_without_trigrams_only(spark):
 def test_no_python_in_the_plan(docs):
     plan = S.secret_digest(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_logins_of_any_length(spark):
+    mixed = "a\U0001f600é" * 20_000  # no stack per character
+    texts = ["see https://user:" + "p" * 2000 + "@host/x", "ssh://" + "u" * 2000 + ":pw@h", f"x://{mixed}:{mixed}@h", f"x://{mixed}:{mixed}"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["row_key"], r["kind"], r["start"], r["end"]) for r in S.secret_spans(d).collect()}
+    assert sorted((k, a, b) for _, k, a, b in got) == [("url_login", 0, 2010), ("url_login", 0, 120_006), ("url_login", 4, 2018)]

@@ -49,7 +49,7 @@ RULES = [
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\s/:@]{1,256}:[^\s/:@]{1,256}@"),  # bounded: linear time
+    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\s/:@]+:[^\s/:@]+@"),  # only the scheme needs a bound for linear time
 ]
 BASE = ("assign", "access", "hex")
 
