@@ -112,6 +112,19 @@ def op10_language(spark, sf_dir):
     return lang_id.predict(docs, lang_id.train(docs))
 
 
+def _op13_sql() -> str:
+    from .filter_audit import ORACLE_SQL
+
+    return ORACLE_SQL
+
+
+@register("op13_filter_audit", _op13_sql())
+def op13_filter_audit(spark, sf_dir):
+    from .filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
