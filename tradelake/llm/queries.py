@@ -112,6 +112,32 @@ def op10_language(spark, sf_dir):
     return lang_id.predict(docs, lang_id.train(docs))
 
 
+@register("op11_alignment")
+def op11_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    from .alignment import alignment_digest
+
+    return alignment_digest(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
+def _op12_sql() -> str:
+    from .ngram_join import ORACLE_SQL
+
+    return ORACLE_SQL
+
+
+@register("op12_ngram_join", _op12_sql())
+def op12_ngram_join(spark, sf_dir):
+    from .ngram_join import ngram_digest
+
+    return ngram_digest(table(spark, sf_dir, "documents"))
+
+
 def _op13_sql() -> str:
     from .filter_audit import ORACLE_SQL
 
