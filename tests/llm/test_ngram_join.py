@@ -104,19 +104,59 @@ def test_documents_and_planted_copies(spark, docs):
     assert result(J.ngram_digest(some)) == brute(some.collect())
 
 
-@pytest.mark.parametrize("options", [{"small_group": 2, "star_rounds": 0}, {"small_group": 2, "star_rounds": 2}, {"small_group": 100}])
-def test_large_groups_lose_no_link(spark, options):
-    """Copies around a base that is no group's first: members link only through it."""
+@pytest.mark.parametrize("tile", [3, 20, 1024])
+def test_large_groups_lose_no_link(spark, tile):
+    """Copies around a base; most link only through it or through a few others."""
     texts = near_copies(7, 120, 70, 4)
     some = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert result(J.ngram_groups(some, **options).drop("node")) == brute(some.collect())
+    assert result(J.ngram_groups(some, tile=tile).drop("node")) == brute(some.collect())
 
 
 def test_tiles_meet_once_each(spark):
-    rows = [("s", k, b"%d" % (k % 7), 300) for k in range(300)]
-    groups = spark.createDataFrame(rows, "sig string, key long, root binary, size long")
-    got = {tuple(r) for r in J.tile_pairs(groups, tile=40).collect()}
-    assert got == {(a, b) for a in range(300) for b in range(a + 1, 300) if a % 7 != b % 7}
+    rows = [(7, b"%04d" % k) for k in range(300)] + [(8, b"x")]
+    dealt = J.units(spark.createDataFrame(rows, "sig long, node binary"), tile=40).collect()
+    unit = {}
+    for r in dealt:
+        unit.setdefault((r.sig, r.i, r.j), []).append((bytes(r.node), r.side))
+    met = set()
+    for (sig, i, j), own in unit.items():
+        for a, sa in own:
+            for b, sb in own:
+                if a < b and (i == j or sa != sb):
+                    assert (a, b) not in met
+                    met.add((a, b))
+    assert len(met) == 300 * 299 // 2 and max(map(len, unit.values())) < 160
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 3000), st.integers(0, 600), st.integers(0, 600), st.integers(0, 2**31))
+def test_sketches_never_differ_more_than_the_sets(size, dropped, added, seed):
+    rng = np.random.default_rng(seed)
+    a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+    b = np.unique(np.r_[a[min(dropped, len(a) - 1) :], rng.integers(0, 2**64, added, dtype=np.uint64)])
+    x, y = J.sketch(a), J.sketch(b)
+    words = min(len(x), len(y))
+    assert np.bitwise_count(J.folded(x, words) ^ J.folded(y, words)).sum() <= len(np.setxor1d(a, b))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(2, 40), st.integers(0, 2**31))
+def test_forest_spans_what_is_near(size, seed):
+    rng = np.random.default_rng(seed)
+    d = np.where(rng.random((size, size)) < 1.5 / size, rng.integers(0, 9, (size, size)), J.FAR).astype(np.int32)
+    d = np.minimum(d, d.T)
+    np.fill_diagonal(d, J.FAR)
+
+    def components(u, v):
+        root = list(range(size))
+        for x, y in zip(u, v):
+            old, new = root[x], root[y]
+            root = [new if r == old else r for r in root]
+        return {frozenset(i for i in range(size) if root[i] == r) for r in root}
+
+    u, v = J.nearest_forest(d)
+    assert all(d[x, y] < J.FAR for x, y in zip(u, v)) and len(u) < 2 * size
+    assert components(u, v) == components(*np.nonzero(d < J.FAR))
 
 
 def test_components_of_binary_nodes(spark):

@@ -29,8 +29,32 @@ def test_word_encoder_equals_the_tokenizer(text):
     assert got == plain_ids(text)
 
 
+def test_words_whose_lower_case_has_marks():
+    """A final mark is split off only where the normalised word is letters too: U+0130 becomes i and a
+    combining dot, which stays with the mark behind it."""
+    e = K.word_encoder(WORDS)
+    odd = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha() and not PLAIN.normalizer.normalize_str(chr(c)).isalpha()]
+    assert "\u0130" in odd
+    for c in odd:
+        for t in ("AİA. Bİ, end", f"a{c}, {c}. x{c}y.", f"{c},{c} {c}.."):
+            assert np.frombuffer(e.encode(t), dtype="<u2").tolist() == plain_ids(t), (c, t)
+
+
+def test_word_encoder_equals_the_tokenizer_on_random_strings():
+    rng = np.random.default_rng(7)
+    pools = [(0x20, 0x7F), (0xA0, 0x24F), (0x300, 0x3FF), (0x400, 0x52F), (0x1E00, 0x1FFF), (0x2000, 0x2BFF), (0x3000, 0x9FFF), (0x1F000, 0x1FAFF)]
+    e = K.word_encoder(WORDS)
+    texts = []
+    for _ in range(20_000):
+        lo, hi = pools[rng.integers(len(pools))]
+        chars = [chr(c) for c in rng.integers(lo, hi, rng.integers(1, 14))]
+        texts.append("".join(x + str(rng.choice(["", "", ".", ",", " ", "İ"])) for x in chars))
+    for t, want in zip(texts, PLAIN.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(e.encode(t), dtype="<u2").tolist() == want.ids, t
+
+
 def test_word_encoder_forgets_and_goes_on():
-    e = K.WordEncoder(WORDS, limit=3)
+    e = K.WordEncoder(WORDS, limit=600)
     for t in ("one two three four five, Six. seven", "one two"):
         assert np.frombuffer(e.encode(t), dtype="<u2").tolist() == plain_ids(t)
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +20,36 @@ from ..session import ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+SEPARATOR = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(data: bytes, size: int) -> Iterator[bytes]:
+    """``data`` in pieces of about ``size`` bytes that end where a word ends."""
+    at = 0
+    while at < len(data):
+        border = SEPARATOR.search(data, at + size)
+        end = border.start() if border else len(data)
+        yield data[at:end]
+        at = end
+
+
+def lean(task: Callable) -> Callable:
+    """``task`` (batches to batches), giving its memory back to the system when it ends: Python
+    workers live on beside the executor's heap and would keep it for later stages."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return run
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared folder of ``spark.checkpoint.dir``."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -7,14 +7,16 @@ signatures of its own band and of the next; inside a band all sets use one bound
 difference.  The feature domain (shingle hashes) is dealt to ``ceil((k+1)/2)`` partitions, of which
 one at least differs in at most one element; each partition has three parts, and the signatures are
 its three subsets of two parts: the one that leaves out the differing element is equal in both sets.
-So sets that link always share a signature, and every candidate is then verified exactly.
+So sets that link always share a signature.
 
 On Spark: equal sets fold into one node.  Signature rows are dealt out by signature, sorted, and read
-as a stream that remembers the group's first node only, so a hot signature costs no memory.  Each
-other node is compared with the first one (a star, never all pairs); links join components, and only
-groups that still hold several components go on: small ones compare the nodes of different
-components, large ones take a new first node for each signature, at last in tiles that meet two by
-two.  Nothing is capped or left out; a pair is only skipped when both are connected already.
+as a stream that drops signatures of one node.  Inside a signature, nodes are compared by parity
+sketches: bit b is the parity of the elements that hash to b, so two sketches differ in no more bits
+than the sets in elements, and pairs beyond the bound are no links.  The nearest of the others are
+taken as candidates, a spanning forest of them for each signature, and verified exactly by
+intersection; links join components.  Where candidates failed, all others between different
+components are verified, so no link between components is lost; pairs inside one component are
+connected already and not needed.  A large signature is cut into tiles that meet two by two.
 
 A subset of parts without elements is equal for all sets that lack them.  Such a signature is joined
 with each signature of a second, independent dealing (similar sets share one of these too).
@@ -28,7 +30,6 @@ long text is hashed piece by piece (8 bytes a word are held, and one long is kep
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from functools import lru_cache
 
@@ -38,33 +39,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, pinned
+from .common import lean, mix64, pieces, pinned
 from .components import connected_components
 
 SHINGLE_WORDS = 4
 THRESHOLD = 85
 PARTS = 3  # of a partition; a signature leaves one out
 PIECE = 1 << 20
-SMALL_GROUP = 32
-STAR_ROUNDS = 4
-TILE = 64
+TILE = 1024  # nodes of a signature that meet at a time
+SKETCH_WORDS = 8  # of 64 bits, at least
+COMPARED = 2_000_000  # sketch words compared together
+FAR = np.int32(1 << 30)
 SECOND_DEALING_UP_TO = 2048  # signatures of a set
 REMEMBERED = 100_000
 ROWS_OUT = 1 << 17
-SEPARATOR = re.compile(rb"[\x20\x09-\x0D]")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 VALUE_SEED = np.uint64(0xD6E8FEB86659FD93)
+SKETCH_SEED = np.uint64(0xA0761D6478BD642F)
 
 
 def word_hashes(data: bytes) -> np.ndarray:
     """64-bit hash of each word, ASCII letters lower-cased."""
-    out, at = [], 0
-    while at < len(data):
-        border = SEPARATOR.search(data, at + PIECE)
-        end = border.start() if border else len(data)
-        parts = data[at:end].lower().split()
+    out = []
+    for piece in pieces(data, PIECE):
+        parts = piece.lower().split()
         out.append(np.fromiter(map(xxhash.xxh64_intdigest, parts), dtype=np.uint64, count=len(parts)))
-        at = end
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
@@ -169,7 +168,7 @@ def node_table(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["t1"], b["t2"], *new], names=["doc_id", "t1", "t2", "n", "node", "key"])
 
     kind = dict(d.dtypes)["doc_id"]
-    return pinned(d.mapInArrow(compute, f"doc_id {kind}, t1 long, t2 long, n long, node binary, key long"), "ngram-nodes")
+    return pinned(d.mapInArrow(lean(compute), f"doc_id {kind}, t1 long, t2 long, n long, node binary, key long"), "ngram-nodes")
 
 
 def signature_rows(docs: DataFrame, text_col: str, words: int, threshold: int) -> DataFrame:
@@ -198,7 +197,7 @@ def signature_rows(docs: DataFrame, text_col: str, words: int, threshold: int) -
         if held:
             yield _rows(sig=sigs, key=keys)
 
-    return d.mapInArrow(compute, "sig long, key long")
+    return d.mapInArrow(lean(compute), "sig long, key long")
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -228,11 +227,28 @@ def stars(rows: DataFrame) -> DataFrame:
             if keep.any():
                 yield _rows(sig=[sig[keep]], first=[first[keep]], key=[key[keep]])
 
-    return ordered.mapInArrow(stream, "sig long, first long, key long")
+    return ordered.mapInArrow(lean(stream), "sig long, first long, key long")
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of the elements by hash; a power of two of words, about a bit for each element."""
+    words = max(SKETCH_WORDS, 1 << max(0, (len(h) - 1) // 64).bit_length())
+    bit = mix64(h ^ SKETCH_SEED) & np.uint64(64 * words - 1)
+    out = np.zeros(words, dtype=np.uint64)
+    np.bitwise_xor.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+def folded(s: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of fewer words."""
+    while len(s) > words:
+        s = s[: len(s) // 2] ^ s[len(s) // 2 :]
+    return s
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, keys: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """key, node, shingles of the nodes whose key is in ``keys``, each read from one of its rows."""
+    """key, node, n, sketch, shingles of the nodes whose key is in ``keys``, each read from one of its
+    rows."""
     wanted = nodes.join(keys.select("key").distinct(), "key", "left_semi")
     one = wanted.groupBy("node").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("x")).select("x.*")
     d = _texts(docs, id_col, text_col)
@@ -245,90 +261,144 @@ def sets_of(docs: DataFrame, nodes: DataFrame, keys: DataFrame, id_col: str, tex
             for t in b["text"]:
                 h = shingle_set(t.as_py(), words)
                 node = node_of(h)
-                yield pa.RecordBatch.from_pydict(
-                    {"key": [as_key(node)], "node": [node], "shingles": pa.array([h.view(np.int64)], pa.list_(pa.int64()))}
-                )
+                row = {"key": [as_key(node)], "node": [node], "n": [len(h)], "sketch": [sketch(h).tobytes()]}
+                yield pa.RecordBatch.from_pydict(row | {"shingles": pa.array([h.view(np.int64)], pa.list_(pa.int64()))})
 
-    sets = texts.mapInArrow(compute, "key long, node binary, shingles array<long>")
+    sets = texts.mapInArrow(lean(compute), "key long, node binary, n long, sketch binary, shingles array<long>")
     return pinned(sets.dropDuplicates(["node"]), "ngram-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """u, v: nodes of the candidate key pairs (a, b) that link."""
-    left = sets.select(F.col("key").alias("a"), F.col("node").alias("u"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("key").alias("b"), F.col("node").alias("v"), F.col("shingles").alias("y"))
+    """u, v: nodes of the candidate pairs (a, b) that link."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y")).cast("long")
     union = F.size("x") + F.size("y") - F.col("shared")
-    both = pairs.join(left, "a").join(right, "b").select("u", "v", "x", "y", shared.alias("shared"))
-    return both.where(100 * F.col("shared") >= threshold * union).select("u", "v")
-
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", shared.alias("shared"))
+    return both.where(100 * F.col("shared") >= threshold * union).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-def _pair(a, b) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-
-def _open_groups(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """sig, key, root, size: members of the signatures that still hold several components."""
-    root_of = sets.select("key", "node").join(roots, "node", "left")
-    root_of = root_of.select("key", F.coalesce("root", "node").alias("root"))
-    tagged = members.join(root_of, "key")
-    several = tagged.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"))
-    return tagged.join(several.where("r0 < r1").select("sig", "size"), "sig").select("sig", "key", "root", "size")
-
-
-def _meeting(rows: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of different components among rows that agree in ``on``."""
-    other = rows.select(*on, F.col("key").alias("key2"), F.col("root").alias("root2"), *[c for c in rows.columns if c == "side"])
-    if "side" in rows.columns:
-        other = other.withColumnRenamed("side", "side2")
-    both = rows.join(other, on).where("root != root2 and key != key2")
-    if "side" in rows.columns:  # two tiles meet across, one tile within itself
-        both = both.where("i = j or side != side2")
-    return both.select(*_pair("key", "key2")).distinct()
-
-
-def tile_pairs(groups: DataFrame, tile: int = TILE) -> DataFrame:
-    """All pairs of different components of each signature; a group is cut into tiles, and two tiles
-    meet at a time."""
+def units(members: DataFrame, tile: int) -> DataFrame:
+    """``members`` (sig, node, ...) dealt to units (sig, i, j): a signature's nodes are cut into tiles,
+    each tile meets itself and every other one.  ``side``: the row's tile is j, not i."""
+    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     tiles = F.ceil(F.col("size") / tile).cast("int")
-    own = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
-    rows = groups.withColumn("tiles", tiles).withColumn("own", own)
+    rows = members.join(sizes.select("sig", tiles.alias("tiles")), "sig")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select(
-        "sig", "key", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side")
-    )
-    return _meeting(rows, ["sig", "i", "j"])
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": F.col("own") > F.col("other")})
+    return rows.drop("tiles", "own", "other")
+
+
+def distances(sketches: list[bytes], n: np.ndarray, apart: np.ndarray, threshold: int) -> np.ndarray:
+    """Bits in which sketches differ, FAR where the sets cannot link or are not ``apart`` (a number for
+    each: pairs of equal numbers are left out, negative numbers are in no pair with one another's)."""
+    arrays = [np.frombuffer(s, dtype=np.uint64) for s in sketches]
+    words = min(map(len, arrays))
+    m = np.stack([folded(a, words) for a in arrays])
+    out = np.full((len(m), len(m)), FAR, dtype=np.int32)
+    step = max(1, COMPARED // (len(m) * words))
+    for lo in range(0, len(m), step):
+        hi = min(lo + step, len(m))
+        d = np.bitwise_count(m[lo:hi, None, :] ^ m[None, :, :]).sum(axis=2, dtype=np.int32)
+        near = (100 + threshold) * d.astype(np.int64) <= (100 - threshold) * (n[lo:hi, None] + n[None, :])
+        out[lo:hi] = np.where(near & (apart[lo:hi, None] != apart[None, :]), d, FAR)
+    np.fill_diagonal(out, FAR)
+    return out
+
+
+def nearest_forest(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs that are not FAR, near ones first: every component takes its
+    nearest pair to another one, until none is left."""
+    label, us, vs = np.arange(len(d)), [], []
+    while True:
+        other = np.where(label[:, None] != label[None, :], d, FAR)
+        to = other.argmin(axis=1)
+        best = other[np.arange(len(d)), to]
+        order = np.lexsort((np.arange(len(d)), best, label))
+        first = order[np.r_[True, label[order][1:] != label[order][:-1]]]
+        u = first[best[first] < FAR]
+        if not len(u):
+            return np.concatenate(us or [u]), np.concatenate(vs or [u])
+        us.append(u)
+        vs.append(to[u])
+        while True:
+            low = np.minimum(label[u], label[to[u]])
+            new = label.copy()
+            np.minimum.at(new, label[u], low)
+            np.minimum.at(new, label[to[u]], low)
+            new = new[new[label]]
+            if (new == label).all():
+                break
+            label = new
+
+
+def candidates(dealt: DataFrame, threshold: int, every: bool) -> DataFrame:
+    """a, b: candidate pairs of nodes in each unit: a spanning forest, or ``every`` one between
+    different roots."""
+    rows = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    rows = rows.select("sig", "i", "j", "side", "node", "n", "sketch", "root")
+
+    def unit_pairs(rows: list[tuple]) -> tuple[list[bytes], list[bytes]]:
+        side, node, n, sketches, root = zip(*rows)
+        n, side = np.array(n), np.array(side)
+        number: dict[bytes, int] = {}
+        roots = np.array([number.setdefault(r, len(number)) for r in root])
+        d = distances(sketches, n, roots if every else np.arange(len(n)), threshold)
+        if side.any():  # two tiles: only pairs across
+            d[side[:, None] == side[None, :]] = FAR
+        u, v = np.nonzero(np.triu(d < FAR)) if every else nearest_forest(d)
+        return [min(node[x], node[y]) for x, y in zip(u, v)], [max(node[x], node[y]) for x, y in zip(u, v)]
+
+    def find(batches):
+        unit, held = None, []
+        a: list[bytes] = []
+        b: list[bytes] = []
+
+        def flush():
+            batch = pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            a.clear()
+            b.clear()
+            return batch
+
+        for batch in batches:
+            for sig, i, j, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                if (sig, i, j) != unit:
+                    if len(held) > 1:
+                        x, y = unit_pairs(held)
+                        a.extend(x)
+                        b.extend(y)
+                    unit, held = (sig, i, j), []
+                held.append(row)
+            if len(a) > ROWS_OUT:
+                yield flush()
+        if len(held) > 1:
+            x, y = unit_pairs(held)
+            a.extend(x)
+            b.extend(y)
+        if a:
+            yield flush()
+
+    return rows.mapInArrow(lean(find), "a binary, b binary").distinct()
 
 
 def jaccard_links(
-    docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, threshold: int,
-    small_group: int = SMALL_GROUP, star_rounds: int = STAR_ROUNDS,
+    docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, threshold: int, tile: int = TILE
 ) -> DataFrame:
     """node, root: components of the sets that link (see `connected_components`)."""
     star = pinned(stars(signature_rows(docs, text_col, words, threshold)), "ngram-stars")
-    keys = star.select("key").union(star.select("first"))
-    sets = sets_of(docs, nodes, keys, id_col, text_col, words)
-    tried = pinned(star.select(*_pair("first", "key")).distinct(), "ngram-pairs")
+    keyed = star.select("sig", "key").union(star.select("sig", "first").distinct())
+    sets = sets_of(docs, nodes, keyed, id_col, text_col, words)
+    members = keyed.join(sets.select("key", "node", "n", "sketch"), "key").drop("key")
+    tried = pinned(candidates(units(members.withColumn("root", F.col("node")), tile), threshold, every=False), "ngram-pairs")
     found = pinned(verified(tried, sets, threshold), "ngram-links")
-    rest = star.select("sig", "key")
-    for turn in range(star_rounds + 1):
-        roots = connected_components(found)
-        groups = pinned(_open_groups(rest, sets, roots), "ngram-open")
-        if groups.isEmpty():
-            return roots
-        pairs = _meeting(groups.where(F.col("size") <= small_group).select("sig", "key", "root"), ["sig"])
-        large = groups.where(F.col("size") > small_group)
-        if turn < star_rounds:
-            heads = large.groupBy("sig").agg(F.min_by(F.struct("key", "root"), F.xxhash64("key", "sig")).alias("h"))
-            large = large.join(heads, "sig").where("key != h.key")
-            rest = large.select("sig", "key")
-            pairs = pairs.union(large.where("root != h.root").select(*_pair("key", "h.key")))
-        else:
-            pairs = pairs.union(tile_pairs(large))
-        fresh = pinned(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
-        tried = tried.union(fresh)
-        found = found.union(pinned(verified(fresh, sets, threshold), "ngram-links"))
-    return connected_components(found)
+    roots = connected_components(found)
+    tagged = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = tagged.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+    rest = candidates(units(tagged.join(several.select("sig"), "sig", "left_semi"), tile), threshold, every=True)
+    fresh = pinned(rest.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+    more = pinned(verified(fresh, sets, threshold), "ngram-links")
+    return roots if more.isEmpty() else connected_components(found.union(more))
 
 
 def ngram_groups(

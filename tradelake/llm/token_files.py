@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pinned, scratch_path
+from .common import lean, pinned, scratch_path
 from .tokens import filesystem, word_encoder
 
 LENGTH = 1024
@@ -71,12 +71,12 @@ def write_token_files(
         out, held, pending, total = None, [], 0, 0
         ids, starts, counts = [], [], []
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 if out is None:
                     fs.create_dir(root, recursive=True)
                     sink = fs.open_output_stream(path)
                     out = pa.ipc.new_file(sink, schema)
-                code = encoder.encode(text) + end
+                code = encoder.encode(text.as_py()) + end
                 n = len(code) // size
                 ids.append(doc_id)
                 starts.append(total)
@@ -89,6 +89,7 @@ def write_token_files(
                     for lo in range(0, cut, step):
                         out.write_batch(_batch(schema, flat[lo : lo + step], length))
                     held, pending = [flat[cut:].tobytes()], len(flat) - cut
+        encoder.forget()
         if out is None:
             return
         if pending:
@@ -102,7 +103,7 @@ def write_token_files(
             {"shard": [shard], "path": [f"{folder.rstrip('/')}/{path.rsplit('/', 1)[1]}"], "n_docs": [len(ids)], "n_tokens": [total]}
         )
 
-    manifest = ranged.mapInArrow(write, "shard long, path string, n_docs long, n_tokens long")
+    manifest = ranged.mapInArrow(lean(write), "shard long, path string, n_docs long, n_tokens long")
     return pinned(manifest, "token-manifest")
 
 

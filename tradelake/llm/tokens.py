@@ -29,10 +29,11 @@ class WordEncoder(dict):
     Right for lower-casing byte-level tokenizers that drop white space and split letters from
     marks: no token spans two words, so a text's ids are its words' ids in a row.  Each known word
     costs one dictionary lookup.  A new word of letters only is one unit of the vocabulary's merge
-    model, which is called directly; any other goes through the whole tokenizer.  The memory is
-    emptied when it holds ``limit`` words."""
+    model, which is called directly; any other goes through the whole tokenizer.  A word counts as
+    letters by its normalised form (lower-casing can add a mark, as for U+0130).  The memory is
+    emptied when it holds ``limit`` bytes."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 48 << 20):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -41,10 +42,21 @@ class WordEncoder(dict):
         self.normal, self.model = self.tokenizer.normalizer, self.tokenizer.model
         self.bytes = byte_characters()
         self.dtype = id_type(self.tokenizer.get_vocab_size())
-        self.limit = limit
+        self.limit, self.held = limit, 0
+
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
+    def _letters(self, word: str) -> str | None:
+        """Normalised word, if both it and the word are letters only."""
+        if not word.isalpha():
+            return None
+        normal = word.lower() if word.isascii() else self.normal.normalize_str(word)
+        return normal if normal.isalpha() else None
 
     def _ids(self, word: str) -> bytes:
-        if word.isalpha() and (normal := word.lower() if word.isascii() else self.normal.normalize_str(word)).isalpha():
+        if normal := self._letters(word):
             unit = normal if normal.isascii() else "".join(map(self.bytes.__getitem__, normal.encode()))
             ids = [t.id for t in self.model.tokenize(unit)]
         else:
@@ -52,10 +64,10 @@ class WordEncoder(dict):
         return np.array(ids, dtype=self.dtype).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
+        if self.held >= self.limit:
+            self.forget()
         text = word.decode("utf-8")
-        if text[-1] in ",." and text[:-1].isalpha():
+        if text[-1] in ",." and self._letters(text[:-1]):
             ids = self[word[:-1]] + self[word[-1:]]
         elif word.isalpha() and (low := word.lower()) != word:
             ids = self[low]
@@ -63,6 +75,7 @@ class WordEncoder(dict):
             ids = self._ids(text)
         if len(word) <= 64:
             self[word] = ids
+            self.held += 180 + len(word) + len(ids)
         return ids
 
     def encode(self, text: str) -> bytes:
