@@ -46,7 +46,7 @@ SHINGLE_WORDS = 4
 THRESHOLD = 85
 PARTS = 3  # of a partition; a signature leaves one out
 PIECE = 1 << 20
-TILE = 1024  # nodes of a signature that meet at a time
+TILE = 1536  # nodes of a signature that meet at a time
 SKETCH_WORDS = 8  # of 64 bits, at least
 COMPARED = 2_000_000  # sketch words compared together
 FAR = np.int32(1 << 30)
@@ -96,20 +96,20 @@ def band_difference(end: int, threshold: int) -> int:
     return 2 * end * (100 - threshold) // (100 + threshold)
 
 
-def band_signatures(h: np.ndarray, band: int, k: int, dealing: int) -> tuple[np.ndarray, np.ndarray]:
+def band_signatures(h: np.ndarray, band: int, k: int, dealing: int, parts: int = PARTS) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of a set in a band, and whether the subset of parts was empty."""
     partitions = (k + 2) // 2
-    cells = partitions * PARTS
+    cells = partitions * parts
     with np.errstate(over="ignore"):
         tag = mix64(np.array([(dealing << 32) + band], dtype=np.uint64) * ODD)[0]
         cell = (mix64(h ^ tag) % np.uint64(cells)).astype(np.int64)
         sums = np.zeros(cells, dtype=np.uint64)
         np.add.at(sums, cell, mix64(h ^ VALUE_SEED))
-        sums = sums.reshape(partitions, PARTS)
-        count = np.bincount(cell, minlength=cells).reshape(partitions, PARTS)
+        sums = sums.reshape(partitions, parts)
+        count = np.bincount(cell, minlength=cells).reshape(partitions, parts)
         rest = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums
         left = count.sum(axis=1)[:, None] - count
-        place = mix64(np.arange(cells, dtype=np.uint64).reshape(partitions, PARTS) + tag)
+        place = mix64(np.arange(cells, dtype=np.uint64).reshape(partitions, parts) + tag)
         return mix64(rest + place).ravel(), (left == 0).ravel()
 
 
@@ -125,7 +125,7 @@ def signatures(h: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
             continue
         sig, empty = band_signatures(h, band, k, 0)
         if empty.any() and len(sig) <= SECOND_DEALING_UP_TO:
-            second, _ = band_signatures(h, band, k, 1)
+            second, _ = band_signatures(h, band, k, 1, parts=2)
             with np.errstate(over="ignore"):
                 joined = mix64(sig[empty][:, None] * ODD + second[None, :]).ravel()
             sig = np.concatenate([sig[~empty], joined])
