@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tradelake.llm import line_dedup as L
 
 
@@ -86,3 +88,11 @@ def test_edges(spark, edge, none):
 def test_no_python_in_the_plan(docs):
     plan = L.line_digest(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_columns_of_any_names_pass(spark, docs):
+    own = docs.withColumns({c: F.lit(i) for i, c in enumerate(("_key", "_id", "_dropped", "_row", "_all", "row_key", "line"))})
+    got = L.deduplicated_lines(own)
+    assert got.columns == own.columns
+    want = L.deduplicated_lines(docs).collect()
+    assert sorted(map(tuple, got.select(*docs.columns).collect()), key=str) == sorted(map(tuple, want), key=str)

@@ -6,6 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tradelake.llm import mixing as M
 from tradelake.llm.common import WORD
 
@@ -109,3 +111,11 @@ def test_mixed_texts_hold_the_words_taken(spark, docs, edge, block):
 
 def test_no_rows_to_mix(none):
     assert M.mixed_documents(none).collect() == []
+
+
+def test_columns_of_any_names_pass(spark, docs):
+    names = ("_size", "_uses", "_sidx", "_start", "_row", "_source", "_order", "size", "words", "c0", "c1")
+    own = docs.withColumns({c: F.lit(i) for i, c in enumerate(names)})
+    got, want = M.mixed_documents(own), M.mixed_documents(docs)
+    assert got.columns == own.columns
+    assert sorted(map(tuple, got.select(*docs.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)

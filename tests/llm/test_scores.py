@@ -225,3 +225,37 @@ def test_pieces_count_like_whole_texts(spark):
     a, b = L.train(d), model_of(training)
     assert a.langs == b.langs
     assert all(np.array_equal(x, y) for s, t in zip(a.tables, b.tables) for x, y in zip(s, t))
+
+
+def test_long_texts_are_read_in_runs(monkeypatch):
+    """Runs of passages give the features of the whole text, words of any length too, and their sums
+    the score of the whole."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcÉZ9,.")) for _ in range(rng.integers(1, 12))) for _ in range(1500)]
+    words[700] = "x9," * 3000
+    texts = [" ".join(words), "  \n" + "\t".join(words[:350]) + " ", "y" * 9000, "", None, " ".join(words[:90])]
+    whole, n = Q.encode(texts)
+    net = Q.fit(whole, n, np.array([1, 0, 1, 0, 1, 0], dtype=np.float32), np.ones(6, dtype=np.float32), epochs=3)
+    want = net.score(whole, n)
+    monkeypatch.setattr(Q, "CHUNK", 700)
+    parts, m = Q.encode(texts)
+    assert m.tolist() == n.tolist() and np.allclose(parts, whole, atol=1e-6)
+    assert np.allclose(net.score_texts(texts), want, atol=2e-6)
+    assert Q.encode(texts, most=3)[1].tolist() == [0, 0, 1, 1, 1, 1]
+
+
+def test_forward_pass_document_by_document(spark, docs):
+    """Scores of the query against a plain forward pass in float64, passage by passage."""
+    network = Q.train(docs, spark.read.parquet(f"/root/testdata/sf0.001/labels.parquet"))
+    p = {k: v.astype(np.float64) for k, v in network.p.items()}
+    got = {r["doc_id"]: r["score"] for r in Q.quality_scores(docs, network).collect()}
+    for r in docs.collect():
+        x, _ = Q.encode([r["text"]])
+        weights, hidden = [], []
+        for row in x.astype(np.float64):
+            h = np.tanh(row @ p["W"] + p["b"])
+            hidden.append(h)
+            weights.append(float(np.sum(p["w"] * np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"]))))))
+        a = np.exp(np.array(weights) - max(weights))
+        z = (a[:, None] * np.array(hidden)).sum(axis=0) / a.sum()
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-(z @ p["c"] + p["d"][0])))) < 1e-4

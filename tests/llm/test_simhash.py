@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from tradelake.llm import simhash as S
 from tradelake.llm.common import WORD
 from tradelake.llm.components import connected_components
@@ -113,3 +115,17 @@ def test_one_document_of_each_group_stays(spark, docs, edge, none):
             smallest[g] = min(smallest.get(g, key), key)
         assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == sorted(smallest.values())
     assert S.drop_near_duplicates(none).collect() == []
+
+
+@pytest.mark.parametrize("size", [1, 9, 40, 1 << 20])
+def test_pieces_of_a_long_text_give_the_same_hashes(size):
+    for text in ("One two  Three\tfour\nfive six " * 20, "a b", "a", "", None, "  x\x0by  ", "a b c", "a b c d"):
+        parts = list(S.hash_pieces(text, 3, 42, size))
+        assert S.fingerprint(parts) == S.fingerprint(S.hash_pieces(text, 3, 42))
+        assert S.fingerprint(parts) & (2**64 - 1) == plain_fingerprint(text) & (2**64 - 1)
+
+
+def test_columns_of_any_names_pass(spark, docs):
+    own = docs.withColumns({c: F.lit(i) for i, c in enumerate(("_row", "_row_hash", "_kept_id", "_id", "_all", "fp", "root", "k"))})
+    got = S.drop_near_duplicates(own)
+    assert got.columns == own.columns and got.count() == S.drop_near_duplicates(docs).count()

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pinned
+from .common import lean, pinned
 from .tokens import byte_characters
 
 CUT = re.compile(r"(?<=\S) ")
@@ -171,7 +171,7 @@ def encoded(docs: DataFrame, byte_path: str, piece_path: str, id_col: str, text_
 
     kind = dict(d.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
-    return pinned(d.mapInArrow(compute, schema), "alignment-pairs")
+    return pinned(d.mapInArrow(lean(compute), schema), "alignment-pairs")
 
 
 def containers(group: np.ndarray, position: np.ndarray, n_docs: int) -> tuple[np.ndarray, pa.Array]:
@@ -284,7 +284,7 @@ def pair_index(documents: DataFrame, chunk_docs: int = CHUNK_DOCS, chunk_posting
             yield from chunk()
 
     schema = f"chunk long, pair long, docs long, links long, planes {PLANES}, members array<{member}>"
-    return pinned(documents.mapInArrow(build, schema), "alignment-index")
+    return pinned(documents.mapInArrow(lean(build), schema), "alignment-index")
 
 
 def pair_counts(index: DataFrame, stride: int) -> DataFrame:
@@ -341,7 +341,7 @@ def scored(index: DataFrame, counts: DataFrame) -> DataFrame:
         if members is not None:
             yield from done()
 
-    return dealt.mapInArrow(back, schema)
+    return dealt.mapInArrow(lean(back), schema)
 
 
 def alignment(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text"):

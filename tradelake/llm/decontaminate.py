@@ -19,13 +19,15 @@ give no rows; extra columns pass through ``decontaminated`` untouched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 Q = 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SEGMENT = 400_000  # characters looked at together; bounds the memory of a task
@@ -152,7 +154,7 @@ class Windows:
         return out, end
 
 
-def find(texts: list[str | None], windows: Windows) -> Iterator[tuple[int, int, int, int, int]]:
+def find(texts: Iterable[str | None], windows: Windows) -> Iterator[tuple[int, int, int, int, int]]:
     """(text number, window, edits, end in the normalised text) of the verified regions; at most
     one for each text and item: least edits, then first end."""
     overlap = 2 * windows.window
@@ -232,7 +234,7 @@ def matches(
         def search(batches, shared=shared):
             windows = Windows(shared.value, window, rate, min_chars)
             for b in batches:
-                found = list(find(b["text"].to_pylist(), windows))
+                found = list(find((t.as_py() for t in b["text"]), windows))
                 if found:
                     t, item, e, z, at = zip(*found)
                     yield pa.RecordBatch.from_arrays(
@@ -240,7 +242,7 @@ def matches(
                         names=["doc_id", "item_id", "edits", "item_start", "text_end"],
                     )
 
-        out = out.unionByName(d.mapInArrow(search, schema))
+        out = out.unionByName(d.mapInArrow(lean(search), schema))
     return out
 
 
@@ -263,8 +265,8 @@ def decontaminated(
         def keep(batches, shared=shared):
             windows = Windows(shared.value, window, rate, min_chars)
             for b in batches:
-                bad = {t for t, *_ in find(b[text_col].to_pylist(), windows)}
+                bad = {t for t, *_ in find((t.as_py() for t in b[text_col]), windows)}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(lean(keep), docs.schema)
     return docs

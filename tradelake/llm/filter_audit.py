@@ -31,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import lean
+
 FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
 STEPS = len(ORDERS) * len(FILTERS)
@@ -107,7 +109,7 @@ def read_texts(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> Da
             columns = [b["doc_id"], b["part"], pa.array(hashes, pa.binary()), pa.array(masks, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "text_hash", "mask"])
 
-    return d.mapInArrow(scan, f"doc_id {dict(d.dtypes)['doc_id']}, part string, text_hash binary, mask int")
+    return d.mapInArrow(lean(scan), f"doc_id {dict(d.dtypes)['doc_id']}, part string, text_hash binary, mask int")
 
 
 def mask_counts(

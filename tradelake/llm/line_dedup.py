@@ -176,11 +176,13 @@ def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     m = line_marks(docs, id_col, text_col, **options).where("size(dropped) > 0")
     m = m.select(F.col("row_key").alias("_key"), F.col("doc_id").alias("_id"), "dropped").dropDuplicates(["_key", "_id"])
     m = m.withColumnRenamed("dropped", "_dropped")
-    d = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    d = d.join(m, (d["_row"] == m["_key"]) & d[id_col].eqNullSafe(m["_id"]), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_dropped", i))
-    text = F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return d.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_all")  # columns of any names
+    d = docs.select(row, F.xxhash64(F.col(id_col), F.col(text_col)).alias("_row"))
+    field = lambda c: F.col("_all").getField(c)
+    d = d.join(m, (F.col("_row") == F.col("_key")) & field(id_col).eqNullSafe(F.col("_id")), "left")
+    kept = F.filter(F.split(field(text_col), "\n"), lambda x, i: ~F.array_contains("_dropped", i))
+    text = F.when(F.col("_dropped").isNull(), field(text_col)).otherwise(F.array_join(kept, "\n"))
+    return d.select(*[(text if c == text_col else field(c)).alias(c) for c in docs.columns])
 
 
 #: Independent statement of the result: first occurrences, and pairs of lines by their distance.

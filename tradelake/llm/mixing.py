@@ -13,7 +13,8 @@ is read more often than the cap allows.
 
 Defined results: null and empty texts have size 0 and are never taken; a null source is a source
 of its own, ordered last; repeated rows are separate documents; an empty table gives no rows;
-only the three named columns are read, others pass through ``mixed_documents`` unchanged.
+only the three named columns are read, others (of any names) pass through ``mixed_documents``
+unchanged; a very long text is counted by the JVM and cut as one value, without a list of its words.
 """
 
 from __future__ import annotations
@@ -23,16 +24,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, mix64, pinned, word_count
+from .common import WORD, lean, mix64, pinned, word_count
 
 #: Source tables up to this many rows are broadcast; beyond it the planner chooses.
 BROADCAST_SOURCES = 10_000
 #: Documents in one bucket of the packing order, on average.
 BUCKET_DOCS = 2_000
+#: Rows cut into runs together.
+ROWS_CUT = 256
 
 
 @dataclass(frozen=True)
@@ -117,8 +121,8 @@ def plan_source(index: int, name: str | None, size: int, target: float, block_wo
 
 @dataclass
 class Mix:
-    """``documents``: the input with _sidx, _size, _start (first word in its source's packing);
-    ``layout``: these three alone, written; ``slots``: shard, slot, sidx, pass, block, words; ``sources``: one plan for each source."""
+    """``documents``: _row (the kept columns, under any names), _sidx, _size, _start (first word in its
+    source's packing); ``layout``: the last three alone, written; ``slots``: shard, slot, sidx, pass, block, words; ``sources``: one plan for each source."""
 
     documents: DataFrame
     layout: DataFrame
@@ -174,9 +178,8 @@ def mix(
     unless named).  The number of sources is taken to fit the driver: one row each."""
     spark = docs.sparkSession
     keep = [id_col] if keep is None else keep
-    cols = [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]
     d = docs.select(
-        *cols, F.col(source_col).cast("string").alias("_source"), word_count(F.col(text_col)).alias("_size"),
+        F.struct(*[docs[c] for c in keep]).alias("_row"), F.col(source_col).cast("string").alias("_source"), word_count(F.col(text_col)).alias("_size"),
         F.xxhash64(F.col(id_col), F.col(text_col)).alias("_order"),
     )
     narrow = text_col not in keep
@@ -200,8 +203,7 @@ def mix(
     offsets = sums.select("_sidx", "_bucket", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_off"))
     inner = Window.partitionBy("_sidx", "_bucket").orderBy("_order", "_size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_in", F.coalesce(F.sum("_size").over(inner), F.lit(0))).join(offsets, ["_sidx", "_bucket"])
-    d = d.select(*[f"c{i}" for i in range(len(keep))], "_sidx", "_size", (F.col("_off") + F.col("_in")).alias("_start"))
-    d = d.toDF(*keep, "_sidx", "_size", "_start")
+    d = d.select("_row", "_sidx", "_size", (F.col("_off") + F.col("_in")).alias("_start"))
     if narrow:
         d = layout = pinned(d, "mix-layout")
     else:  # texts go through the windows once more rather than through the shared folder
@@ -227,7 +229,7 @@ def _slots(spark, plans: list[SourcePlan], block_words: int, shard_slots: int, s
                 counts = np.random.default_rng([seed, int(shard)]).multinomial(n, odds)
                 yield pd.DataFrame({"shard": shard, "sidx": [p.index for p in live], "n": counts})
 
-    drawn = spark.range(shards).mapInPandas(draw, "shard long, sidx int, n long")
+    drawn = spark.range(shards).mapInPandas(lean(draw), "shard long, sidx int, n long")
     ends = spark.createDataFrame([(shards, p.index, p.slots) for p in live], "shard long, sidx int, n long")
     upto = Window.partitionBy("sidx").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     runs = drawn.unionByName(ends).withColumn("first", F.coalesce(F.sum("n").over(upto), F.lit(0)))
@@ -251,7 +253,7 @@ def _slots(spark, plans: list[SourcePlan], block_words: int, shard_slots: int, s
                     )
 
     schema = "shard long, sidx int, slot long, pass long, block long, slot_words long"
-    return runs.where("n > 0").mapInPandas(expand, schema)
+    return runs.where("n > 0").mapInPandas(lean(expand), schema)
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
@@ -266,8 +268,8 @@ def mix_digest(docs: DataFrame) -> DataFrame:
     empty = m.documents.where("_size = 0").withColumn("taken", F.lit(0).cast("long"))
     out = sized.unionByName(empty).join(sources, "_sidx")
     return out.select(
-        "doc_id", F.col("_size").alias("size"), F.col("source_name").alias("source"), "source_size", "target",
-        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        "_row.doc_id", F.col("_size").alias("size"), "source_size", "target",
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("source_name").alias("source"),
     )
 
 
@@ -280,28 +282,39 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", chars_col: str | No
     uses = uses.agg(F.collect_list(F.struct("pass", "first_word", "words")).alias("_uses"))  # two for each block at most
     joined = m.documents.where("_size > 0").join(uses.hint("merge"), ["_sidx", "_start"])
     names, word = docs.columns, re.compile(WORD)
+    text_at, chars_at = names.index(text_col), names.index(chars_col) if chars_col in names else None
+
+    def parts(text: str, size: int, uses: list[dict]) -> list[str]:
+        runs: list[list[int]] = []
+        for u in sorted((u["pass"], u["first_word"], u["words"]) for u in uses):
+            if runs and runs[-1][0] == u[0] and runs[-1][2] == u[1]:
+                runs[-1][2] += u[2]
+            else:
+                runs.append([u[0], u[1], u[1] + u[2]])
+        if all((a, b) == (0, size) for _, a, b in runs):
+            return [text] * len(runs)
+        at: dict[int, tuple[int, int]] = {}  # spans of the words that begin or end a run
+        wanted = {k for _, a, b in runs for k in (a, b - 1)}
+        for k, x in enumerate(word.finditer(text)):
+            if k in wanted:
+                at[k] = x.span()
+        return [text if (a, b) == (0, size) else text[at[a][0] : at[b - 1][1]] for _, a, b in runs]
 
     def cut(batches):
-        for pdf in batches:
-            rows = []
-            for rec in pdf.to_dict("records"):
-                runs: list[list[int]] = []
-                for u in sorted((u["pass"], u["first_word"], u["words"]) for u in rec["_uses"]):
-                    if runs and runs[-1][0] == u[0] and runs[-1][2] == u[1]:
-                        runs[-1][2] += u[2]
-                    else:
-                        runs.append([u[0], u[1], u[1] + u[2]])
-                text, spans = rec[text_col], None
-                for _, a, b in runs:
-                    part = text
-                    if (a, b) != (0, rec["_size"]):
-                        spans = spans or [x.span() for x in word.finditer(text)]
-                        part = text[spans[a][0] : spans[b - 1][1]]
-                    row = {c: rec[c] for c in names} | {text_col: part}
-                    if chars_col in row:
-                        row[chars_col] = len(part)
-                    rows.append(row)
-            if rows:
-                yield pd.DataFrame(rows, columns=names).astype(object)
-
-    return joined.select(*names, "_size", "_uses").mapInPandas(cut, T.StructType(docs.schema.fields))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS_CUT):
+                b = batch.slice(lo, ROWS_CUT)
+                source, texts = [], []
+                for r, (size, uses) in enumerate(zip(b["_size"].to_pylist(), b["_uses"])):
+                    own = parts(b.column(text_at)[r].as_py(), size, uses.as_py())
+                    source += [r] * len(own)
+                    texts += own
+                at = pa.array(source, pa.int64())
+                columns = [c.take(at) for c in b.columns[: len(names)]]
+                columns[text_at] = pa.array(texts, b.schema.types[text_at])
+                if chars_at is not None:
+                    columns[chars_at] = pa.array([len(t) for t in texts]).cast(b.schema.types[chars_at])
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    columns = [F.col("_row").getField(c).alias(f"c{i}") for i, c in enumerate(names)]
+    return joined.select(*columns, "_size", "_uses").mapInArrow(lean(cut), T.StructType(docs.schema.fields))

@@ -5,19 +5,23 @@ hashed three-byte groups, and shares of letters, marks, digits, capitals, repeat
 words.  A gated attention network learns from document labels alone which passages tell: each
 passage gets a weight, and the weighted mean of the passage representations is scored.
 
-The network is fitted with numpy on the driver, on at most ``train_docs`` labelled documents (half
-of each label, chosen by hash, weighted back to their true shares) of at most ``train_passages``
-passages each; these two parameters bound what is collected.  Scoring reads every passage of every
+The network is fitted with numpy on the driver, on about ``train_docs`` labelled documents (half of
+each label, chosen by hash, weighted by the square root of their true shares) of at most
+``train_passages`` passages each; documents of more passages are not learned from.  These two
+parameters bound what is collected.  Scoring reads every passage of every
 document inside Spark tasks.
 
 Defined results: null, empty and blank texts are one empty passage and get its score; documents
-labelled both ways, and null labels, are not learned from; without two labels to learn from every
+labelled both ways, and null labels, are not learned from; of several texts of one id the one with
+the fewest passages, then the least features, is learned from; a very long text is read in runs of
+about CHUNK bytes and its passages' weighted sums are carried on (a word of any length too); without two labels to learn from every
 score is the share of label 1 (0.5 without labels); repeated rows get equal scores; a null doc_id
 counts as held out; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, lean, pieces
 
 PASSAGE = 100  # words
 GROUPS = 256  # hashed three-byte groups
@@ -43,26 +47,110 @@ _KINDS = [
 ]
 
 
-def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(passage features, number of passages of each text); a text has at least one passage."""
-    parts, counts, group, held = [], [], [], 0
+def runs(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """A text in runs of whole passages of about CHUNK bytes, and the two bytes after each."""
+    held, some = b"", False
+    for piece in pieces(data, CHUNK):
+        held += piece
+        space = _SPACE[np.frombuffer(held, dtype=np.uint8)]
+        start = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+        whole = (len(start) - 1) // PASSAGE * PASSAGE
+        if whole > 0:
+            cut, some = int(start[whole]), True
+            yield held[:cut], held[cut : cut + 2]
+            held = held[cut:]
+    if held or not some:
+        yield held, b""
+
+
+def encode_run(run: bytes, tail: bytes) -> np.ndarray:
+    """Features of a run's passages; passages with very long words are read in slices."""
+    if len(run) <= 4 * CHUNK:
+        return _encode([run], [tail])[0]
+    space = _SPACE[np.frombuffer(run, dtype=np.uint8)]
+    start = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    cuts = [0, *start[PASSAGE::PASSAGE].tolist(), len(run)]
+    out = []
+    for lo, hi in zip(cuts, cuts[1:]):
+        after = run[hi : hi + 2] if hi < len(run) else tail
+        small = hi - lo <= 4 * CHUNK
+        out.append(_encode([run[lo:hi]], [after])[0] if small else _wide_passage(run[lo:hi], after))
+    return np.concatenate(out)
+
+
+def _wide_passage(data: bytes, tail: bytes) -> np.ndarray:
+    """`_encode` of one passage, in slices of CHUNK bytes."""
+    words = [w.lower() for w in data.split()]
+    counts, kinds, n_bytes = np.zeros(GROUPS, dtype=np.int64), np.zeros(len(_KINDS)), 0
+    for lo in range(0, len(data), CHUNK):
+        part = data[lo : lo + CHUNK + 2]
+        part += (tail + b"\n\n")[: max(0, min(2, lo + CHUNK + 2 - len(data)))]
+        b = np.frombuffer(part, dtype=np.uint8)
+        low = np.where((b >= 65) & (b <= 90), b + 32, b).astype(np.uint32)
+        h = (low[:-2] * np.uint32(0x9E3779B1) + low[1:-1] * np.uint32(0x85EBCA77) + low[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(24)
+        own = b[:-2]
+        counts += np.bincount(h[~_SPACE[own]], minlength=GROUPS)
+        kinds += [k[own].sum() for k in _KINDS]
+        n_bytes += int((~_SPACE[own]).sum())
+    g = np.sqrt(counts.astype(np.float32))
+    x = np.zeros((1, GROUPS + SHAPE), dtype=np.float32)
+    x[0, :GROUPS] = 4 * g / max(np.sqrt((g * g).sum()), 1)
+    n = len(words)
+    again = sum(a == b for a, b in zip(words, words[1:]))
+    shape = [*(kinds / max(n_bytes, 1)), again / n, len(set(words)) / n, min(n_bytes / n, 20) / 10, min(n, PASSAGE) / PASSAGE]
+    x[0, GROUPS:] = 3 * np.array(shape)
+    return x
+
+
+def groups(texts: Iterable[str | None]) -> Iterator[list[bytes] | bytes]:
+    """Texts to be encoded together, as a list of about CHUNK bytes; a longer text by itself."""
+    group, held = [], 0
     for t in texts:
         b = (t or "").encode("utf-8", "replace")
+        if len(b) > CHUNK:
+            if group:
+                yield group
+            yield b
+            group, held = [], 0
+            continue
         group.append(b)
         held += len(b)
         if held >= CHUNK:
-            x, n = _encode(group)
-            parts.append(x)
-            counts.append(n)
+            yield group
             group, held = [], 0
-    x, n = _encode(group)
-    return np.concatenate([*parts, x]), np.concatenate([*counts, n])
-
-
-def _encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    if group:
+        yield group
+
+
+def encode(texts: Iterable[str | None], most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(passage features, number of passages of each text); a text has at least one passage.  A text
+    of more than ``most`` passages gives none."""
+    parts, counts = [np.empty((0, GROUPS + SHAPE), dtype=np.float32)], [np.empty(0, dtype=np.int64)]
+    for g in groups(texts):
+        if isinstance(g, list):
+            x, n = _encode(g)
+        else:
+            own, total = [], 0
+            for run, tail in runs(g):
+                own.append(encode_run(run, tail))
+                total += len(own[-1])
+                if most is not None and total > most:
+                    own, total = [], 0
+                    break
+            x, n = np.concatenate(own) if own else parts[0], np.array([total])
+        parts.append(x)
+        counts.append(n)
+    return np.concatenate(parts), np.concatenate(counts)
+
+
+def _encode(texts: list[bytes], tails: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features of texts, or of runs of passages followed by ``tails`` (two bytes each)."""
     if not texts:
         return np.empty((0, GROUPS + SHAPE), dtype=np.float32), np.empty(0, dtype=np.int64)
     b = np.frombuffer(b"\n\n".join([*texts, b"\n"]), dtype=np.uint8)  # no group of three spans two texts
+    true = b
+    if tails and any(tails):
+        true = np.frombuffer(b"".join([t + (tail + b"\n\n")[:2] for t, tail in zip(texts, tails)]) + b"\n", dtype=np.uint8)
     ends = np.cumsum([len(t) + 2 for t in texts])
     space = _SPACE[b]
     start = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))  # first byte of each word
@@ -78,7 +166,7 @@ def _encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return x, passages
     word_of = np.cumsum(~space & np.concatenate(([True], space[:-1]))) - 1
     at = owner[np.maximum(word_of, 0)]  # passage of each byte; spaces go with the word before
-    low = np.where((b >= 65) & (b <= 90), b + 32, b).astype(np.uint32)
+    low = np.where((true >= 65) & (true <= 90), true + 32, true).astype(np.uint32)
     h = (low[:-2] * np.uint32(0x9E3779B1) + low[1:-1] * np.uint32(0x85EBCA77) + low[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(24)
     own = ~space[:-2]  # groups start at a word's byte
     counts = np.bincount(at[:-2][own] * GROUPS + h[own], minlength=total * GROUPS).reshape(total, GROUPS)
@@ -134,6 +222,27 @@ class Network:
             return np.full(len(n), self.prior)
         return self.forward(x, n)[0].astype(np.float64).round(6)  # sums differ in the last bits between batches
 
+    def score_texts(self, texts: Iterable[str | None]) -> np.ndarray:
+        """Scores of whole texts; a long one is summed run by run."""
+        out = [np.empty(0)]
+        for g in groups(texts):
+            out.append(self.score(*_encode(g)) if isinstance(g, list) else self.score_runs(runs(g)))
+        return np.concatenate(out)
+
+    def score_runs(self, parts: Iterator[tuple[bytes, bytes]]) -> np.ndarray:
+        if not self.p:
+            return np.array([self.prior])
+        p, most, total, z = self.p, -np.inf, 0.0, 0.0
+        for run, tail in parts:
+            h = np.tanh(encode_run(run, tail) @ p["W"] + p["b"])
+            e = ((np.tanh(h @ p["V"]) * _sigmoid(h @ p["U"])) @ p["w"]).astype(np.float64)
+            top = max(most, float(e.max()))
+            weight = np.exp(e - top)
+            total = total * np.exp(most - top) + weight.sum()
+            z = z * np.exp(most - top) + weight @ h
+            most = top
+        return _sigmoid(np.array([z / total @ p["c"] + p["d"][0]], dtype=np.float64)).round(6)
+
     def gradients(self, x, n, y, weight):
         p = self.p
         out, (h, t, s, a, z) = self.forward(x, n)
@@ -201,9 +310,9 @@ def train(
 
     def bags(batches):
         for b in batches:
-            x, n = encode(b["text"].to_pylist())
+            x, n = encode((t.as_py() for t in b["text"]), train_passages)
             starts = np.cumsum(n) - n
-            keep = [i for i in range(len(n)) if n[i] <= train_passages]
+            keep = [i for i in range(len(n)) if 0 < n[i] <= train_passages]
             yield pa.RecordBatch.from_pydict(
                 {
                     "id": b["id"].take(pa.array(keep, pa.int64())),
@@ -214,9 +323,9 @@ def train(
             )
 
     kind = dict(texts.dtypes)["id"]
-    got = texts.mapInArrow(bags, f"id {kind}, y int, n int, x binary").groupBy("id").agg(
-        F.first("y").alias("y"), F.first("n").alias("n"), F.first("x").alias("x")
-    )
+    got = texts.mapInArrow(lean(bags), f"id {kind}, y int, n int, x binary").groupBy("id").agg(
+        F.first("y").alias("y"), F.min(F.struct("n", "x")).alias("bag")
+    ).select("id", "y", "bag.*")
     rows = sorted(got.collect(), key=lambda r: r["id"])
     if len({r["y"] for r in rows}) < 2:
         return Network({}, prior)
@@ -236,10 +345,10 @@ def quality_scores(docs: DataFrame, network: Network, id_col: str = "doc_id", te
 
     def score(batches):
         for b in batches:
-            s = shared.value.score(*encode(b["text"].to_pylist()))
+            s = shared.value.score_texts(t.as_py() for t in b["text"])
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(s)], names=["doc_id", "held_out", "score"])
 
-    out = d.mapInArrow(score, f"doc_id {dict(d.dtypes)['doc_id']}, held_out boolean, score double")
+    out = d.mapInArrow(lean(score), f"doc_id {dict(d.dtypes)['doc_id']}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
@@ -249,7 +358,7 @@ def keep_quality(docs: DataFrame, network: Network, text_col: str = "text", cut:
 
     def keep(batches):
         for b in batches:
-            s = shared.value.score(*encode(b[text_col].to_pylist()))
+            s = shared.value.score_texts(t.as_py() for t in b[text_col])
             yield b.filter(pa.array(s >= cut))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

@@ -11,11 +11,13 @@ out.  Each comparison returns a spanning forest of its links, never all pairs.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other;
 null doc_id keeps its row (component_id is the smallest non-null id reachable, null if none);
-repeated rows each get a row; empty tables give no rows; only id and text are read.
+repeated rows each get a row; empty tables give no rows; only id and text are read, other columns
+pass through ``drop_near_duplicates``; a very long text is hashed in pieces of about a megabyte.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -24,37 +26,43 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pinned
+from .common import lean, pieces, pinned
 from .components import connected_components
 
 TILE = 2048
 SUBTILE = 256
-
-
-def shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
-    """XXH64 of every run of ``words`` words, ASCII letters lower-cased, joined by one space."""
-    parts = (text or "").encode("utf-8", "replace").lower().split()
-    if not parts:
-        return np.empty(0, dtype=np.uint64)
-    line = b" ".join(parts)
-    if len(parts) <= words:
-        return np.array([xxhash.xxh64_intdigest(line, seed)], dtype=np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1)
-    starts = np.concatenate(([0], ends[:-1]))
-    cut = map(slice, starts[: len(parts) - words + 1].tolist(), (ends[words - 1 :] - 1).tolist())
-    n = len(parts) - words + 1
-    return np.fromiter(map(xxhash.xxh64_intdigest, map(line.__getitem__, cut), repeat(seed)), dtype=np.uint64, count=n)
-
-
-def fingerprint(hashes: np.ndarray) -> int:
-    """A bit is 1 if it is set in over half of the hashes; no hashes: 0."""
-    if not len(hashes):
-        return 0
-    ones = np.zeros(64, dtype=np.int64)
-    for lo in range(0, len(hashes), 65_536):
-        part = np.ascontiguousarray(hashes[lo : lo + 65_536])
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+PIECE = 1 << 20  # bytes of a text hashed together
+
+
+def hash_pieces(text: str | None, words: int, seed: int, size: int = PIECE) -> Iterator[np.ndarray]:
+    """XXH64 of every run of ``words`` words, ASCII letters lower-cased, joined by one space, for one
+    piece of the text after the other; fewer words: of all of them."""
+    held: list[bytes] = []
+    some = False
+    for piece in pieces((text or "").encode("utf-8", "replace"), size):
+        parts = held + piece.lower().split()
+        held = parts[max(0, len(parts) - words + 1) :]
+        n = len(parts) - words + 1
+        if n < 1:
+            continue
+        some, line = True, b" ".join(parts)
+        ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1)
+        starts = np.concatenate(([0], ends[:-1]))
+        cut = map(slice, starts[:n].tolist(), (ends[words - 1 :] - 1).tolist())
+        yield np.fromiter(map(xxhash.xxh64_intdigest, map(line.__getitem__, cut), repeat(seed)), dtype=np.uint64, count=n)
+    if held and not some:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(held), seed)], dtype=np.uint64)
+
+
+def fingerprint(hashes: Iterable[np.ndarray]) -> int:
+    """A bit is 1 if it is set in over half of the hashes (arrays of them); no hashes: 0."""
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for h in hashes:
+        n += len(h)
+        for lo in range(0, len(h), 65_536):
+            part = np.ascontiguousarray(h[lo : lo + 65_536])
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int) -> DataFrame:
@@ -65,11 +73,11 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, seed:
 
     def compute(batches):
         for b in batches:
-            fp = [fingerprint(shingle_hashes(t, words, seed)) for t in b["text"].to_pylist()]
+            fp = [fingerprint(hash_pieces(t.as_py(), words, seed)) for t in b["text"]]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["row_hash"], pa.array(fp, pa.int64())], names=["doc_id", "row_hash", "fp"])
 
     kind = dict(d.dtypes)["doc_id"]
-    return pinned(d.mapInArrow(compute, f"doc_id {kind}, row_hash long, fp long"), "fingerprints")
+    return pinned(d.mapInArrow(lean(compute), f"doc_id {kind}, row_hash long, fp long"), "fingerprints")
 
 
 def block_masks(radius: int) -> list[int]:
@@ -174,7 +182,7 @@ def links(fps: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
                 both = [pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)]
                 yield pa.RecordBatch.from_arrays(both, names=["u", "v"])
 
-    return gathered.mapInArrow(compare, "u long, v long")
+    return gathered.mapInArrow(lean(compare), "u long, v long")
 
 
 def simhash_groups(
@@ -203,6 +211,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     g = simhash_groups(docs, id_col, text_col, **options)
     best = g.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("k"))
     best = best.select(F.col("k.row_hash").alias("_row_hash"), F.col("k.doc_id").alias("_kept_id"))
-    d = docs.withColumn("_row_hash", F.xxhash64(F.col(id_col), F.col(text_col)))
-    same = (d["_row_hash"] == best["_row_hash"]) & d[id_col].eqNullSafe(best["_kept_id"])
-    return d.join(best, same, "left_semi").dropDuplicates(["_row_hash", id_col]).select(*docs.columns)
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_all")  # columns of any names
+    d = docs.select(row, F.xxhash64(F.col(id_col), F.col(text_col)).alias("_row"), F.col(id_col).alias("_id"))
+    same = (F.col("_row") == F.col("_row_hash")) & F.col("_id").eqNullSafe(F.col("_kept_id"))
+    kept = d.join(best, same, "left_semi").dropDuplicates(["_row", "_id"])
+    return kept.select(*[F.col("_all").getField(c).alias(c) for c in docs.columns])
