@@ -13,11 +13,12 @@ import json
 import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import DEFAULT_SOURCE_TYPE, FILE_PERIOD, LOAD_NOTE
+from . import refresh as R
 
 
 # --- L1 ---------------------------------------------------------------------------------------
@@ -73,10 +74,12 @@ def new_files(candidates: DataFrame, registry: DataFrame) -> DataFrame:
 # --- L3 ---------------------------------------------------------------------------------------
 @dataclass
 class Delta:
-    """What a load adds to the state it was built on: raw rows, and the months of facts it touches."""
+    """What a load adds to the state it was built on: raw rows, the months of facts it touches, and
+    the first day it changes of each ticker."""
 
     raw: DataFrame
     months: DataFrame  # month (yyyymm)
+    changed: DataFrame  # ticker, first_day
 
 
 @dataclass
@@ -90,6 +93,7 @@ class ArchiveState:
     cached: tuple = ()  # persisted intermediates, released by ``publish``
     delta: Delta | None = None  # set by ``load_batch``
     base: int | None = None  # pointer number of the published state this one extends
+    run: int = 0  # number of the last run that loaded files; files of a run are ranked by name
 
 
 class RejectedArchive(RuntimeError):
@@ -104,11 +108,8 @@ def replace_files(state: ArchiveState, names: DataFrame) -> ArchiveState:
     registry = state.registry.join(names.select("file_name"), "file_name", "left_anti")
     raw = state.raw.join(gone, "file_key", "left_anti")
     flagged = gone.select("file_key", F.lit(True).alias("_gone"))
-    facts = (
-        state.facts.join(flagged, "file_key", "left")
-        .withColumn("file_key", F.when(F.col("_gone"), F.lit(None).cast("long")).otherwise(F.col("file_key")))
-        .drop("_gone")
-    )
+    cleared = {c: F.when(F.col("_gone"), F.lit(None)).otherwise(F.col(c)) for c in ("file_key", "file_rank") if c in state.facts.columns}
+    facts = state.facts.join(flagged, "file_key", "left").withColumns(cleared).drop("_gone")
     return replace(state, registry=registry, raw=raw, facts=facts.select(*state.facts.columns))
 
 
@@ -127,9 +128,15 @@ def load_batch(
     notes: str | None = LOAD_NOTE,
     loaded_at: dt.datetime | None = None,
     gate_options: dict | None = None,
+    run: int | None = None,
 ) -> tuple[ArchiveState, DataFrame]:
     """Load archive files in name order on top of ``state`` (``None`` = empty).
 
+    Every file has a rank: the number of its run, then its name.  Facts and instruments carry the
+    rank of the file they come from, and the greater rank wins, stored or new.  A load is a run of
+    its own by default, so it wins over earlier ones; all micro-batches of a stream are one ``run``,
+    so their result is that of one load of all files, in whatever order they arrive.
+
     Default mode skips names already registered.  Each file is validated by the gate; the first
     rejected file aborts the run: earlier files are loaded, it and later files are not (the
     reference's per-file transaction + abort).  ``replace`` detaches (L3) the names that are loaded
@@ -141,14 +148,16 @@ def load_batch(
     from .normalize import (
         calendar_from_parts,
         daily_parts,
-        daily_stats_from_parts,
-        instruments_from_parts,
         issuers_from_parts,
+        upsert_daily_stats,
+        upsert_instruments,
     )
     from .quality import gate_files, gate_from_parts, gate_row_numbers
 
     done = 0 if state is None else state.registry.agg(F.max("file_order")).first()[0] or 0
+    run = run or (1 if state is None else state.run + 1)
     files = files.select("file_key", "file_name", (F.col("file_order") + done).alias("file_order"))
+    ranks = files.select("file_key", F.format_string("%012d/%s", F.lit(run), "file_name").alias("file_rank"))
     candidates = files if state is None or replace else new_files(files, state.registry)
     raw = raw.drop("file_order", "file_name").join(candidates, "file_key")
     # One pass over the raw rows feeds the gate, the registry counts, dimensions and facts.
@@ -170,29 +179,33 @@ def load_batch(
     months = parts_ok.where(F.col("trade_date").isNotNull()).select(_month("trade_date").alias("month"))
     months = (months if state_months is None else months.unionByName(state_months)).distinct()
 
-    reg_new = register_files(ok, parts_ok, source_type, notes, loaded_at)
+    facts_of = F.col("ticker").isNotNull() & F.col("issuer_name").isNotNull() & F.col("trade_date").isNotNull()
+    changed = parts_ok.where(facts_of).groupBy("ticker").agg(F.min("trade_date").alias("first_day"))
+    reg_new = register_files(ok, parts_ok, source_type, notes, loaded_at).join(ranks, "file_key")
     if state is None:
         new_state = ArchiveState(
             reg_new,
             raw_ok,
             issuers_from_parts(parts_ok),
-            instruments_from_parts(parts_ok),
+            upsert_instruments(parts_ok, ranks),
             calendar_from_parts(parts_ok),
-            daily_stats_from_parts(parts_ok),
+            upsert_daily_stats(parts_ok, ranks),
             (parts,),
-            Delta(raw_ok, months),
+            Delta(raw_ok, months, changed),
+            run=run,
         )
     else:
         new_state = ArchiveState(
             state.registry.unionByName(reg_new, allowMissingColumns=True),
             state.raw.unionByName(raw_ok, allowMissingColumns=True),
             issuers_from_parts(parts_ok, state.issuers),
-            instruments_from_parts(parts_ok, state.instruments),
+            upsert_instruments(parts_ok, ranks, state.instruments),
             calendar_from_parts(parts_ok, state.calendar),
-            daily_stats_from_parts(parts_ok, state.facts),
+            upsert_daily_stats(parts_ok, ranks, state.facts),
             (parts,) + tuple(state.cached),
-            Delta(raw_ok, months),
+            Delta(raw_ok, months, changed),
             state.base,
+            max(run, state.run),
         )
     status = (
         F.when(F.col("skipped"), F.lit("skipped"))
@@ -210,10 +223,22 @@ def load_batch(
     return new_state, report
 
 
+def rebuilt_facts(state: ArchiveState) -> DataFrame:
+    """The facts derived anew from the raw layer, files in the order of their ranks (detached facts of
+    replaced files, which the raw layer no longer holds, are not among them)."""
+    from .normalize import build_daily_stats
+
+    rank = F.col("file_rank") if "file_rank" in state.registry.columns else F.lit(None).cast("string")
+    order = Window.orderBy(F.coalesce(rank, F.lit("")), "file_order")  # one row for each file
+    numbers = state.registry.select("file_key", F.row_number().over(order).cast("long").alias("file_order"))
+    return build_daily_stats(state.raw.drop("file_order").join(numbers, "file_key"))
+
+
 # --- publish ----------------------------------------------------------------------------------
 #   raw_market_archive/load=<id>/file_key=<k>   written once, never rewritten
 #   market_daily_stats/load=<id>/month=<m>      only the months a load touches
-#   tables/<id>/<name>                          registry and dimensions (small)
+#   tables/<id>/<name>                          registry, dimensions and the summary (small)
+#   summary_state/load=<id>/version=<n>         state rows of the summary that a publish computed
 #   pointers/<number>.json                      one for each publish; the highest is the state
 # A load's folders carry a random id, so a failed attempt leaves only files that no pointer names.
 SMALL_TABLES = {"import_files": "registry", "issuers": "issuers", "instruments": "instruments", "trading_calendar": "calendar"}
@@ -266,10 +291,14 @@ def _days_of(months: list[int]) -> Column:
     return out
 
 
-def publish(state: ArchiveState, root: str, stream: str | None = None, epoch: int | None = None) -> int:
+def publish(
+    state: ArchiveState, root: str, stream: str | None = None, epoch: int | None = None, summary: bool | None = None
+) -> int:
     """Add the load that made ``state`` to the state stored under ``root``; returns the pointer's
     number.  Raw rows are appended, only touched months of facts are written anew, and the
-    pointer comes last.  ``stream`` and ``epoch`` mark a finished micro-batch."""
+    pointer comes last.  ``stream`` and ``epoch`` mark a finished micro-batch.  A stored summary is
+    refreshed from what the load changed (``summary``: True stores one if there is none yet, False
+    drops it)."""
     spark, root = state.facts.sparkSession, root.rstrip("/")
     before = read_pointer(spark, root) or {"number": 0, "months": {}, "epochs": {}}
     if state.base is not None and state.base != before["number"]:
@@ -293,20 +322,89 @@ def publish(state: ArchiveState, root: str, stream: str | None = None, epoch: in
     for name, attr in SMALL_TABLES.items():
         df = registry if attr == "registry" else getattr(state, attr)
         df.write.parquet(f"{root}/tables/{load}/{name}")
+    kept = {} if fresh else before["months"]
+    stored = kept | {str(m): load for m in months}
+    kept_summary = None if fresh else before.get("summary")
+    summary_now = None
+    if summary or (summary is None and before.get("summary")):
+        summary_now = _refresh_summary(spark, root, load, before["number"] + 1, state, stored, kept_summary)
     for df in state.cached:
         df.unpersist()
     schemas = {name: getattr(state, attr).schema.json() for name, attr in SMALL_TABLES.items()}
     schemas |= {"import_files": registry.schema.json(), "market_daily_stats": state.facts.schema.json(), "raw_market_archive": state.raw.schema.json()}
     epochs = before["epochs"] | ({stream: epoch} if stream is not None and epoch is not None else {})
-    kept = {} if fresh else before["months"]
+    runs = before.get("runs", {}) | ({stream: before.get("runs", {}).get(stream, state.run)} if stream is not None else {})
     pointer = {
-        "number": before["number"] + 1, "load": load, "months": kept | {str(m): load for m in months},
-        "epochs": epochs, "schemas": schemas,
+        "number": before["number"] + 1, "load": load, "months": stored, "epochs": epochs, "schemas": schemas,
+        "run": state.run, "runs": runs, "summary": summary_now,
     }
     write_pointer(spark, root, pointer)
     return pointer["number"]
 
 
+def _facts_of_months(spark: SparkSession, root: str, schema: T.StructType, months: dict[str, str]) -> DataFrame:
+    """Stored facts of these months (month -> load)."""
+    if not months:
+        return spark.createDataFrame([], schema)
+    stats = f"{root}/market_daily_stats"
+    paths = [f"{stats}/load={load}/month={month}" for month, load in sorted(months.items())]
+    return spark.read.schema(schema).option("basePath", stats).parquet(*paths).select(*schema.names)
+
+
+SUMMARY_VERSIONS = 16  # versions of summary state before they are merged into one
+
+
+def _summary_state(spark: SparkSession, root: str, stored: dict) -> DataFrame:
+    schema = T.StructType([*T.StructType.fromJson(json.loads(stored["schema"])).fields, T.StructField("version", T.LongType())])
+    base = f"{root}/summary_state"
+    paths = [f"{base}/load={load}/version={v}" for load, v in stored["versions"]]
+    return R.latest_rows(spark.read.schema(schema).option("basePath", base).parquet(*paths))
+
+
+def _refresh_summary(spark, root: str, load: str, number: int, state: ArchiveState, stored: dict, before: dict | None) -> dict:
+    """Write the state rows that this load changes and the summary; returns their entry of the pointer.
+    Without a summary before, the state is computed from all stored facts."""
+    schema = state.facts.schema
+    first = None
+    if before is not None and state.delta is not None:
+        first = state.delta.changed.agg(R.month_of(F.min("first_day"))).first()[0]
+        versions = list(before["versions"])
+        old = _summary_state(spark, root, before)
+        if first is not None:
+            later = {m: x for m, x in stored.items() if int(m) >= first}
+            facts = R.suffix(_facts_of_months(spark, root, schema, later), state.delta.changed)
+            rows = R.state_rows(facts, R.seeds(old, state.delta.changed))
+    else:
+        versions, old = [], None
+        rows = R.state_rows(_facts_of_months(spark, root, schema, stored))
+    entry = {"versions": versions, "schema": before["schema"] if before else rows.schema.json()}
+    if old is None or first is not None:
+        rows.write.parquet(f"{root}/summary_state/load={load}/version={2 * number}")
+        entry["versions"] = [*versions, [load, 2 * number]]
+    if len(entry["versions"]) > SUMMARY_VERSIONS:
+        _summary_state(spark, root, entry).write.parquet(f"{root}/summary_state/load={load}/version={2 * number + 1}")
+        entry["versions"] = [[load, 2 * number + 1]]
+    summary = R.summary_of(_summary_state(spark, root, entry), state.instruments, state.issuers)
+    summary.write.parquet(f"{root}/tables/{load}/mv_instrument_summary")
+    return entry | {"load": load, "columns": summary.schema.json()}
+
+
+def read_summary(spark: SparkSession, root: str) -> DataFrame | None:
+    """The stored summary as of the last publish; None if none is stored."""
+    root, pointer = root.rstrip("/"), read_pointer(spark, root)
+    if pointer is None or not pointer.get("summary"):
+        return None
+    stored = pointer["summary"]
+    schema = T.StructType.fromJson(json.loads(stored["columns"]))
+    return spark.read.schema(schema).parquet(f"{root}/tables/{stored['load']}/mv_instrument_summary")
+
+
+def stream_run(spark: SparkSession, root: str, stream: str) -> int | None:
+    """Number of the run that a stream's micro-batches belong to; None before the first."""
+    pointer = read_pointer(spark, root)
+    return None if pointer is None else pointer.get("runs", {}).get(stream)
+
+
 def read_state(spark: SparkSession, root: str) -> ArchiveState | None:
     """The published state.  Tables are read with their stored schemas (an empty one too).  Raw
     rows count if the registry names their load for their file."""
@@ -321,15 +419,9 @@ def read_state(spark: SparkSession, root: str) -> ArchiveState | None:
     base, raw_schema = f"{root}/raw_market_archive", schema["raw_market_archive"]
     raw = spark.read.schema(T.StructType([*raw_schema.fields, T.StructField("load", T.StringType())])).parquet(base)
     raw = raw.join(small["registry"].select("file_key", "load"), ["file_key", "load"], "left_semi").select(*raw_schema.names)
-    fact_schema = schema["market_daily_stats"]
-    stats = f"{root}/market_daily_stats"
-    paths = [f"{stats}/load={load}/month={month}" for month, load in sorted(pointer["months"].items())]
-    if paths:
-        reader = spark.read.schema(fact_schema).option("basePath", stats)
-        facts = reader.parquet(*paths).select(*fact_schema.names)
-    else:
-        facts = spark.createDataFrame([], fact_schema)
-    return ArchiveState(raw=raw, facts=facts, base=pointer["number"], **small)
+    facts = _facts_of_months(spark, root, schema["market_daily_stats"], pointer["months"])
+    run = pointer.get("run", pointer["number"])
+    return ArchiveState(raw=raw, facts=facts, base=pointer["number"], run=run, **small)
 
 
 # --- L7 ---------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ filter below the window (a date filter must *not* go below the LAG, and is never
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import mean_of, pct_change, share_pct
@@ -32,6 +32,11 @@ def enrich(facts: DataFrame, instruments: DataFrame, issuers: DataFrame) -> Data
     )
 
 
+def is_active() -> Column:
+    """A day with any turnover or deals."""
+    return (F.coalesce("turnover_value", F.lit(0)) > 0) | (F.coalesce("deals_count", F.lit(0)) > 0)
+
+
 # --- M2-M6 ------------------------------------------------------------------------------------
 def add_daily_metrics(enriched: DataFrame) -> DataFrame:
     """LAG over the full history, change, return, activity flag, intraday range."""
@@ -41,10 +46,7 @@ def add_daily_metrics(enriched: DataFrame) -> DataFrame:
         enriched.withColumn("prev_price_avg_weighted", prev)
         .withColumn("price_change_abs", (p - F.col("prev_price_avg_weighted")).cast("double"))
         .withColumn("daily_return_pct", pct_change(p, "prev_price_avg_weighted"))
-        .withColumn(
-            "is_active_day",
-            (F.coalesce("turnover_value", F.lit(0)) > 0) | (F.coalesce("deals_count", F.lit(0)) > 0),
-        )
+        .withColumn("is_active_day", is_active())
         .withColumn("intraday_range_pct", pct_change("price_aux", "price_min"))
     )
 
@@ -99,6 +101,10 @@ def instrument_summary(metrics: DataFrame) -> DataFrame:
         F.min("drawdown_pct").alias("max_drawdown_pct"),
         F.max(F.when(active, F.col("trade_date"))).alias("last_active_trade_date"),
     )
+    return summary_columns(agg)
+
+
+def summary_columns(agg: DataFrame) -> DataFrame:
     return agg.select(
         "instrument_id",
         "ticker",

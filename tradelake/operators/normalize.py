@@ -159,6 +159,37 @@ def instrument_conflicts(raw: DataFrame, instrument_type: str = DEFAULT_INSTRUME
     return conflicts_from_parts(daily_parts(raw), instrument_type)
 
 
+RANKS = ["file_rank", "term_rank"]
+
+
+def _ranked(df: DataFrame, columns: list[str] = RANKS) -> DataFrame:
+    """``df`` with its rank columns; a table stored without them has null ranks, below any file."""
+    return df.withColumns({c: F.lit(None).cast("string") for c in columns if c not in df.columns})
+
+
+def upsert_instruments(
+    parts: DataFrame, ranks: DataFrame, existing: DataFrame | None = None, instrument_type: str = DEFAULT_INSTRUMENT_TYPE
+) -> DataFrame:
+    """Instruments whose descriptors carry the rank of the file they come from (``ranks``: file_key,
+    file_rank): the greater rank wins, whether it is stored or new, and the greatest rank with a term
+    sets ``term_days``.  The result does not depend on the order in which files arrive."""
+    values = ["issuer_id", "currency_code", "instrument_type", "is_active"]
+    rows = instrument_tuples(parts, instrument_type).join(ranks, "file_key").select(
+        "ticker", issuer_id("issuer_name").alias("issuer_id"), "currency_code", "instrument_type",
+        F.lit(True).alias("is_active"), "term_days", "file_rank", F.when(F.col("term_days").isNotNull(), F.col("file_rank")).alias("term_rank"),
+    )
+    if existing is not None:
+        rows = rows.unionByName(_ranked(existing).select("ticker", *values, "term_days", *RANKS))
+    term = F.when(F.col("term_days").isNotNull(), F.struct(F.coalesce("term_rank", F.lit("")).alias("r"), "term_days", "term_rank"))
+    best = rows.groupBy("ticker").agg(
+        F.max_by(F.struct(*values, "file_rank"), F.coalesce("file_rank", F.lit(""))).alias("t"), F.max(term).alias("d")
+    )
+    return best.select(
+        instrument_id("ticker").alias("instrument_id"), "ticker", "t.issuer_id", "t.currency_code", "t.instrument_type",
+        "d.term_days", "t.is_active", "t.file_rank", "d.term_rank",
+    )
+
+
 def instruments_from_parts(
     parts: DataFrame,
     existing: DataFrame | None = None,
@@ -369,3 +400,18 @@ def daily_stats_from_parts(parts: DataFrame, existing: DataFrame | None = None)
         return new
     kept = existing.join(new.select("ticker", "trade_date"), ["ticker", "trade_date"], "left_anti")
     return kept.unionByName(new.select(*existing.columns))
+
+
+def upsert_daily_stats(parts: DataFrame, ranks: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Facts that carry the rank of their file (``ranks``: file_key, file_rank).  Of the stored and the
+    new fact of a (ticker, day) the greater rank stays, so the facts do not depend on the order in
+    which files arrive; a fact without a rank (detached, or stored without ranks) loses to any file.
+    A filter on days reaches the stored facts below the window."""
+    new = facts_from_parts(parts).join(ranks, "file_key")
+    if existing is None:
+        return new
+    old = _ranked(existing, ["file_rank"])
+    both = old.unionByName(new.select(*old.columns))
+    rank = F.coalesce("file_rank", F.lit(""))
+    best = F.max(rank).over(Window.partitionBy("ticker", "trade_date"))
+    return both.withColumn("_best", best).where(rank == F.col("_best")).drop("_best")
