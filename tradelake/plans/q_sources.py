@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clean_text, coerce_decimal, coerce_int, coerce_timestamp, round_half_up
 from ..operators import prep as P
-from ..schemas import HEADER_MAP
+from ..operators.loading import read_state, read_summary
+from ..schemas import HEADER_MAP, RAW_DECIMAL_COLUMNS
 from ..session import ensure_checkpoint_dir
 from ..sources import archives as A
 from ..sources import testdata
+from ..sources.export import write_archives
+from ..streaming.ingest import ingest_stream
 from . import oracle_sql as S
-from .registry import register, wh
+from .q_core import FACT_OUT, FACT_SQL, SUMMARY_SQL, summary_out
+from .registry import out, register, wh
 
 
 def _clean_sql(x: str) -> str:
@@ -226,3 +230,80 @@ def q_raw_sink(spark, sf_dir):
     return back.groupBy(F.col("file_key").cast("long").alias("file_key")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("turnover_qty_raw").cast("double").alias("qty"), F.min("trade_datetime_raw").alias("first_time")
     )
+
+
+# --- S1, S2, CSV, L5: through archive files -----------------------------------------------------
+# The archives of the test tables are written as files first; the queries list, read and load them.
+def _archives(spark, sf_dir, fmt: str, file_by: str = "ship") -> str:
+    folder = f"{ensure_checkpoint_dir(spark)}/archives-{uuid.uuid4().hex}"
+    raw = testdata.raw_trades(spark, sf_dir, file_by, with_source_order=True)
+    write_archives(raw, folder, fmt, testdata.SOURCE_ORDER).agg(F.sum("rows_count")).first()
+    return folder
+
+
+def _named(fmt: str) -> str:
+    return f"replace(file_name, '.xlsx', '.{fmt}')"
+
+
+@register(
+    "archive_listing",
+    S.with_(S.raw_cte(), f"f AS (SELECT DISTINCT {_named('csv')} AS file_name FROM raw)")
+    + "SELECT file_name, row_number() OVER (ORDER BY file_name) AS file_order FROM f",
+)
+def q_archive_listing(spark, sf_dir):
+    return A.list_archives(spark, _archives(spark, sf_dir, "csv"), "*.csv").select("file_name", "file_order")
+
+
+def _rows_sql(fmt: str) -> str:
+    texts = ", ".join(f"{_clean_sql(c)} AS {c}" for c in ("ticker_raw", "issuer_name_raw", "currency_code_raw"))
+    numbers = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in RAW_DECIMAL_COLUMNS)
+    return S.with_(S.raw_cte()) + (
+        f"SELECT {_named(fmt)} AS file_name, CAST(row_number() OVER (PARTITION BY file_key ORDER BY {', '.join(testdata.SOURCE_ORDER)}) AS INTEGER) "
+        f"AS row_num, {texts}, {numbers}, deals_count_raw, term_days_raw, trade_datetime_raw, market_segment_raw FROM raw"
+    )
+
+
+def _archive_rows(cells):
+    rows = A.number_rows(A.type_raw(cells))
+    return out(rows.select("file_name", "row_num", *A.RAW_COLUMNS))
+
+
+@register("csv_archive_rows", _rows_sql("csv"))
+def q_csv_archive_rows(spark, sf_dir):
+    files = A.list_archives(spark, _archives(spark, sf_dir, "csv"), "*.csv")
+    return _archive_rows(A.read_csv_archives(spark, files))
+
+
+@register("workbook_rows", _rows_sql("xlsx"))
+def q_workbook_rows(spark, sf_dir):
+    files = A.list_archives(spark, _archives(spark, sf_dir, "xlsx"))
+    return _archive_rows(A.read_workbooks(spark, files))
+
+
+def _streamed(spark, sf_dir) -> str:
+    """Archives by order month, so that many days come in several archives; two micro-batches."""
+    root = f"{ensure_checkpoint_dir(spark)}/streamed-{uuid.uuid4().hex}"
+    folder = _archives(spark, sf_dir, "csv", "order")
+    query = ingest_stream(
+        spark, folder, f"{root}/state", f"{root}/checkpoint", "*.csv", fmt="csv", max_archives_per_trigger=45, gate_options={"min_year": 1900}
+    )
+    query.awaitTermination()
+    return f"{root}/state"
+
+
+_LATEST_FILE_SQL = S.base(file_by="order")
+
+
+@register(
+    "stream_facts",
+    _LATEST_FILE_SQL + f"SELECT {', '.join(c for c in FACT_SQL.split(', ') if 'file' not in c)} FROM facts",
+)
+def q_stream_facts(spark, sf_dir):
+    """Facts of a stream over all archives: of a day in several archives, the greatest name's."""
+    return out(read_state(spark, _streamed(spark, sf_dir)).facts, *[c for c in FACT_OUT if "file" not in c])
+
+
+@register("stream_summary", S.base(S.summary_cte(), file_by="order") + f"SELECT {SUMMARY_SQL} FROM summary")
+def q_stream_summary(spark, sf_dir):
+    """The stored summary after a stream: refreshed with every micro-batch."""
+    return summary_out(read_summary(spark, _streamed(spark, sf_dir)))

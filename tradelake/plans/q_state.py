@@ -477,7 +477,7 @@ def q_dq_gate(spark, sf_dir):
 
 
 # --- L4: a batch load on top of an earlier one --------------------------------------------------
-# Scenario: the archives of 1995 are loaded; a second run brings 1995-1997, of which the archive of
+# Scenario: the archives before 1996 are loaded; a second run brings all archives, of which the one of
 # September 1996 quotes some tickers in two currencies.  It is rejected, later ones are not loaded.
 REJECTED = 199609
 
@@ -490,11 +490,11 @@ def _second_load(spark, sf_dir, replace: bool):
     options = {"loaded_at": LOADED_AT, "gate_options": {"min_year": 1900}}
     first, _ = L.load_batch(None, before(w.raw), before(files), **options)
     euro = (key == REJECTED) & (F.col("deals_count_raw") == 1)
-    raw = w.raw.where(key < 199801).withColumn("currency_code_raw", F.when(euro, F.lit("EUR")).otherwise(F.col("currency_code_raw")))
-    return L.load_batch(first, raw, files.where(key < 199801), replace=replace, **options)
+    raw = w.raw.withColumn("currency_code_raw", F.when(euro, F.lit("EUR")).otherwise(F.col("currency_code_raw")))
+    return L.load_batch(first, raw, files, replace=replace, **options)
 
 
-_FILES_SQL = "f AS (SELECT DISTINCT file_key, file_name FROM raw WHERE file_key < 199801)"
+_FILES_SQL = "f AS (SELECT DISTINCT file_key, file_name FROM raw)"
 
 
 def _status_sql(done: str) -> str:
@@ -519,24 +519,23 @@ def q_replace_rejected(spark, sf_dir):
 
 
 # --- L4, M11, L6: published state and stored summary --------------------------------------------
-@register(
-    "published_facts",
-    S.with_(
-        S.raw_cte(), f"reached AS (SELECT * FROM raw WHERE file_key < {REJECTED})", S.facts_file_cte("reached"), S.facts_cte()
-    )
-    + f"SELECT {FACT_SQL} FROM facts",
-)
-def q_published_facts(spark, sf_dir):
-    """Two loads published one after the other (the second up to its rejected archive), read back."""
+def _published(spark, sf_dir, **options) -> str:
+    """All archives in three loads, published one after the other."""
     root = f"{ensure_checkpoint_dir(spark)}/published-{uuid.uuid4().hex}"
     w, key = wh(spark, sf_dir), F.col("file_key")
     files = L.files_of(w.raw).withColumn("file_order", key)
-    options = {"loaded_at": LOADED_AT, "gate_options": {"min_year": 1900}}
-    for low, high in ((0, 199601), (199601, REJECTED)):
-        part = key.between(low, high - 1)
-        state_now, _ = L.load_batch(L.read_state(spark, root), w.raw.where(part), files.where(part), **options)
-        L.publish(state_now, root)
-    return out(L.read_state(spark, root).facts, *FACT_OUT)
+    for low, high in ((None, 199601), (199601, REJECTED), (REJECTED, None)):
+        part = (F.lit(True) if low is None else key >= low) & (F.lit(True) if high is None else key < high)
+        state_now, _ = L.load_batch(
+            L.read_state(spark, root), w.raw.where(part), files.where(part), loaded_at=LOADED_AT, gate_options={"min_year": 1900}
+        )
+        L.publish(state_now, root, **options)
+    return root
+
+
+@register("published_facts", S.base() + f"SELECT {FACT_SQL} FROM facts")
+def q_published_facts(spark, sf_dir):
+    return out(L.read_state(spark, _published(spark, sf_dir)).facts, *FACT_OUT)
 
 
 def _stored_summary(spark, sf_dir):
@@ -553,6 +552,5 @@ def q_materialized_summary(spark, sf_dir):
 
 @register("refreshed_summary", S.base(S.summary_cte()) + f"SELECT {SUMMARY_SQL} FROM summary")
 def q_refreshed_summary(spark, sf_dir):
-    path = _stored_summary(spark, sf_dir)
-    M.save_summary(wh(spark, sf_dir).summary, path)  # derived from the facts, not from the file it replaces
-    return summary_out(spark.read.parquet(path))
+    """The summary stored with the first of three loads and refreshed by the others."""
+    return summary_out(L.read_summary(spark, _published(spark, sf_dir, summary=True)))
