@@ -283,3 +283,33 @@ def test_row_numbers_are_consecutive_per_group(spark):
     for g, items in by_g.items():
         items.sort()
         assert [rn for _, rn in items] == list(range(1, len(items) + 1))
+
+
+def numbers_table(spark, files):
+    rows = [(k, n) for k, ns in files.items() for n in ns]
+    return spark.createDataFrame(rows, "file_key long, row_num int")
+
+
+@pytest.mark.parametrize("block", [3, 1 << 16])
+def test_row_numbers_are_proven_without_counting_them(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "SEQUENCE_BLOCK", block)
+    good = {1: range(1, 20), 2: [3, 1, 2], 3: [1]}
+    bad = {4: [1, 2, 2], 5: [2, 3], 6: [1, 1, 4, 4], 7: [1, None, 3], 8: [0, 1, 2], 9: [1, 1, 1, 4], 10: [1, 2, 3, 3, 5, 5, 7], 11: [-1, 3, 1]}
+    raw = numbers_table(spark, good | bad)
+    assert {r.file_key for r in D.unproven_files(raw).collect()} == set(bad)
+    got = {(r.file_key, r.rule): r.violations for r in D.gate_row_numbers(raw).collect()}
+    want = {}
+    for k, ns in bad.items():
+        if low := sum(n is not None and n <= 0 for n in set(ns)):
+            want[k, "row_num_not_positive"] = low
+        if again := sum(ns.count(n) > 1 for n in set(ns)):
+            want[k, "row_num_repeated"] = again
+    assert got == want
+
+
+def test_proven_files_are_not_read_again(spark):
+    raw = numbers_table(spark, {k: range(1, 50) for k in range(1, 6)})
+    df = D.gate_row_numbers(raw)
+    assert df.collect() == []
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "EmptyRelation" in final and "HashAggregate(keys=[file_key" not in final.split("EmptyRelation")[1]  # no number is counted

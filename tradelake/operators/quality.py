@@ -77,12 +77,50 @@ def _dup_groups(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     )
 
 
+SEQUENCE_BLOCK = 1 << 16  # numbers hashed by one row of the proof
+
+
+def unproven_files(raw: DataFrame) -> DataFrame:
+    """file_key of the files whose row numbers are not proven to be 1..n, each once.
+
+    The proof is one mergeable aggregate: count, least, greatest and the exclusive-or of two 64-bit hashes
+    of the numbers.  n numbers of which an odd count of times occur exactly those hashed into the
+    exclusive-or of 1..n are 1..n each once, but for a chance of 2^-128.  What 1..n must give is computed
+    from n alone, in blocks that are dealt out, so raw rows are never shuffled."""
+    number = F.col("row_num").cast("long")
+    first, second = (lambda x: F.xxhash64(x)), (lambda x: F.xxhash64(F.lit(1), x))
+    seen = raw.groupBy("file_key").agg(
+        F.count(F.lit(1)).alias("n"), F.count(number).alias("numbered"), F.min(number).alias("low"), F.max(number).alias("high"),
+        F.bit_xor(first(number)).alias("a"), F.bit_xor(second(number)).alias("b"),
+    )
+    likely = seen.where("n = numbered and low = 1 and high = n")
+    blocks = likely.select("file_key", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {SEQUENCE_BLOCK}"))).alias("block"))
+    blocks = blocks.repartition("file_key", "block").withColumn(
+        "numbers", F.sequence(F.col("block") * SEQUENCE_BLOCK + 1, F.least((F.col("block") + 1) * SEQUENCE_BLOCK, F.col("n")))
+    )
+    zero = F.lit(0).cast("long")
+    blocks = blocks.select(
+        "file_key",
+        F.aggregate("numbers", zero, lambda acc, x: acc.bitwiseXOR(first(x))).alias("a"),
+        F.aggregate("numbers", zero, lambda acc, x: acc.bitwiseXOR(second(x))).alias("b"),
+    )
+    want = blocks.groupBy("file_key").agg(F.bit_xor("a").alias("want_a"), F.bit_xor("b").alias("want_b"))
+    proven = likely.join(want, "file_key").where("a = want_a and b = want_b")
+    return seen.select("file_key").join(proven.select("file_key"), "file_key", "left_anti")
+
+
+def _to_recheck(raw: DataFrame) -> DataFrame:
+    """Rows of the files that `unproven_files` names; without any, nothing is read again."""
+    failed = unproven_files(raw).withColumnRenamed("file_key", "_failed")
+    return raw.join(failed, raw["file_key"].eqNullSafe(failed["_failed"]), "left_semi")
+
+
 def duplicate_checks(state: ArchiveState) -> DataFrame:
     parts = [
         _dup_groups(state.instruments, ["ticker"], "duplicate_tickers"),
         _dup_groups(state.issuers, ["issuer_name"], "duplicate_issuer_names"),
         _dup_groups(state.facts, ["instrument_id", "trade_date"], "duplicate_market_daily_stats_pairs"),
-        _dup_groups(state.raw, ["file_key", "row_num"], "duplicate_raw_file_row_pairs"),
+        _dup_groups(_to_recheck(state.raw), ["file_key", "row_num"], "duplicate_raw_file_row_pairs"),
     ]
     res = parts[0]
     for p in parts[1:]:
@@ -295,8 +333,9 @@ def gate_files(files: DataFrame, source_type: str) -> DataFrame:
 
 
 def gate_row_numbers(raw: DataFrame) -> DataFrame:
-    """Raw rules, where rows are numbered: numbers are positive and unique within a file."""
-    n = raw.groupBy("file_key", "row_num").agg(F.count(F.lit(1)).alias("n"))
+    """Raw rules, where rows are numbered: numbers are positive and unique within a file.  Only files
+    whose numbers are not proven to be 1..n are counted number by number."""
+    n = _to_recheck(raw).groupBy("file_key", "row_num").agg(F.count(F.lit(1)).alias("n"))
     rules = {"row_num_not_positive": F.col("row_num") <= 0, "row_num_repeated": F.col("n") > 1}
     return _stacked(n.groupBy("file_key").agg(*_sums(rules)), list(rules))
 
