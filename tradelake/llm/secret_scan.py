@@ -133,6 +133,13 @@ def trigrams(query: Query) -> set[str]:
 
 # --- the index and the scan
 
+#: 128 bits that name a row's id and text.
+ROW = ["row_key", "row_check"]
+
+
+def _row(id_col: str, text_col: str) -> list[Column]:
+    return [F.xxhash64(id_col, text_col).alias("row_key"), F.xxhash64(F.lit(1), id_col, text_col).alias("row_check")]
+
 
 def _masks(names: list[str]) -> dict[str, tuple[int, int]]:
     return {t: (i // MASK_BITS, 1 << (i % MASK_BITS)) for i, t in enumerate(names)}
@@ -150,26 +157,27 @@ def _satisfied(query: Query, masks: dict) -> Column:
 
 
 def build_index(texts: DataFrame, names: list[str]) -> DataFrame:
-    """Postings: trigram, row_key, written.  ``texts``: row_key, text."""
-    low = F.lower("text")
-    held = F.filter(F.array(*[F.lit(t) for t in names]), lambda t: F.contains(low, t))
-    return pinned(texts.select("row_key", F.explode(held).alias("trigram")), "trigram-postings")
+    """Postings: trigram, row, written.  ``texts``: row, text.  The outer transform lower-cases a text
+    once for all trigrams."""
+    wanted = F.array(*[F.lit(t) for t in names])
+    held = F.transform(F.array(F.lower("text")), lambda low: F.filter(wanted, lambda t: F.contains(low, t)))
+    return pinned(texts.select(*ROW, F.explode(F.get(held, F.lit(0))).alias("trigram")), "trigram-postings")
 
 
 def candidates(postings: DataFrame, rules: list[Rule], queries: dict[str, Query], names: list[str]) -> DataFrame:
-    """row_key, kinds: the rules whose query the document's postings satisfy."""
+    """row, kinds: the rules whose query the document's postings satisfy."""
     masks = _masks(names)
     bits = F.create_map(*[x for t, (_, b) in masks.items() for x in (F.lit(t), F.lit(b))])[F.col("trigram")]
     words = F.create_map(*[x for t, (w, _) in masks.items() for x in (F.lit(t), F.lit(w))])[F.col("trigram")]
-    bit = postings.select("row_key", bits.alias("bit"), words.alias("word"))
+    bit = postings.select(*ROW, bits.alias("bit"), words.alias("word"))
     n = 1 + max(w for w, _ in masks.values())
-    held = bit.groupBy("row_key").agg(
+    held = bit.groupBy(*ROW).agg(
         *[F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i in range(n)]
     )
     kinds = F.array_compact(
         F.array(*[F.when(_satisfied(queries[r.kind], masks), F.lit(r.kind)) for r in rules if queries[r.kind] is not True])
     )
-    return pinned(held.select("row_key", kinds.alias("kinds")).where("size(kinds) > 0"), "secret-candidates")
+    return pinned(held.select(*ROW, kinds.alias("kinds")).where("size(kinds) > 0"), "secret-candidates")
 
 
 def _pieces(rule: Rule) -> Column:
@@ -189,28 +197,28 @@ def _pieces(rule: Rule) -> Column:
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
-    """row_key (of id and text), kind, start, end of every secret."""
+    """row_key and row_check (of id and text), kind, start, end of every secret."""
     rules = RULES if rules is None else rules
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     names = sorted(set().union(*(trigrams(q) for q in queries.values())))
-    texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
+    texts = docs.select(*_row(id_col, text_col), F.col(text_col).alias("text"))
     texts = texts.where("text <> ''")
     if names:
         found = candidates(build_index(texts, names), rules, queries, names)
-        texts = texts.join(found, "row_key", "left")
+        texts = texts.join(found, ROW, "left")
     else:
         texts = texts.withColumn("kinds", F.array().cast("array<string>"))
     parts = []
     for r in rules:
         asked = F.col("text").rlike(r.pattern) if queries[r.kind] is True else F.array_contains("kinds", r.kind)
         parts.append(F.when(asked, F.struct(F.lit(r.kind).alias("kind"), _pieces(r).alias("pieces"))))
-    hit = texts.select("row_key", F.explode(F.array_compact(F.array(*parts))).alias("r"))
-    rows = hit.select("row_key", "r.kind", F.posexplode("r.pieces").alias("i", "p")).select("row_key", "kind", "i", "p.*")
-    rows = rows.dropDuplicates(["row_key", "kind", "i"])
-    upto = Window.partitionBy("row_key", "kind").orderBy("i")  # one text's matches of one kind
+    hit = texts.select(*ROW, F.explode(F.array_compact(F.array(*parts))).alias("r"))
+    rows = hit.select(*ROW, "r.kind", F.posexplode("r.pieces").alias("i", "p")).select(*ROW, "kind", "i", "p.*")
+    rows = rows.dropDuplicates([*ROW, "kind", "i"])
+    upto = Window.partitionBy(*ROW, "kind").orderBy("i")  # one text's matches of one kind
     end = F.sum(F.col("before") + F.coalesce("size", F.lit(0))).over(upto)
     spans = rows.withColumn("end", end).where("size is not null and good")
-    return spans.select("row_key", "kind", (F.col("end") - F.col("size")).alias("start"), "end")
+    return spans.select(*ROW, "kind", (F.col("end") - F.col("size")).alias("start"), "end")
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
@@ -222,12 +230,12 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     )
     base = F.col("kind").isin(*BASE)
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["name"]), ",")
-    per_text = spans.groupBy("row_key").agg(
+    per_text = spans.groupBy(*ROW).agg(
         *[F.sum((F.col("kind") == k).cast("long")).alias(f"n_{k}") for k in BASE],
         joined(F.when(base, F.col("s"))).alias("base"),
         joined(F.col("s")).alias("spans"),
     )
-    d = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key")).join(per_text, "row_key", "left")
+    d = docs.select("doc_id", *_row("doc_id", "text")).join(per_text, ROW, "left")
     return d.select(
         "doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"),

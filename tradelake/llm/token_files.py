@@ -89,7 +89,6 @@ def write_token_files(
                     for lo in range(0, cut, step):
                         out.write_batch(_batch(schema, flat[lo : lo + step], length))
                     held, pending = [flat[cut:].tobytes()], len(flat) - cut
-        encoder.forget()
         if out is None:
             return
         if pending:
