@@ -104,9 +104,43 @@ def test_documents_and_planted_copies(spark, docs):
     assert result(J.ngram_digest(some)) == brute(some.collect())
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(2, 14), st.integers(0, 2**31), st.booleans(), st.booleans())
+def test_few_nodes_and_many_give_the_same(size, seed, every, across):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**64, 520, dtype=np.uint64)
+    rows = []
+    for k in range(size):
+        h = np.unique(np.r_[base[: rng.integers(480, 521)], rng.integers(0, 2**64, rng.integers(1, 60), dtype=np.uint64)])
+        rows.append((bool(across and k % 2), b"%02d" % k, len(h), J.sketch(h).tobytes(), b"%d" % rng.integers(4)))
+    side, node, n, sketches, root = zip(*rows)
+    apart = np.array([int(r) for r in root]) if every else np.arange(size)
+    d = J.distances(list(sketches), np.array(n), apart, 85)
+    if across:
+        d[np.array(side)[:, None] == np.array(side)[None, :]] = J.FAR
+    got = J.few_pairs(rows, 85, every)
+    if every:
+        assert sorted(got) == sorted((node[i], node[j]) for i, j in zip(*np.nonzero(np.triu(d < J.FAR))))
+        return
+
+    def components(pairs):
+        label = {x: x for x in node}
+        for a, b in pairs:
+            label = {k: label[a] if v == label[b] else v for k, v in label.items()}
+        return sorted(label.values())
+
+    assert len({*got}) == len(got) < size
+    u, v = J.nearest_forest(d)
+    same = lambda pairs: [[components(pairs).count(x)] for x in components(pairs)]
+    assert same(got) == same([(node[i], node[j]) for i, j in zip(u, v)])
+    assert all(d[node.index(a), node.index(b)] < J.FAR for a, b in got)
+
+
+@pytest.mark.parametrize("few", [0, 16])
 @pytest.mark.parametrize("tile", [3, 20, 1024])
-def test_large_groups_lose_no_link(spark, tile):
+def test_large_groups_lose_no_link(spark, tile, few, monkeypatch):
     """Copies around a base; most link only through it or through a few others."""
+    monkeypatch.setattr(J, "FEW", few)
     texts = near_copies(7, 120, 70, 4)
     some = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert result(J.ngram_groups(some, tile=tile).drop("node")) == brute(some.collect())

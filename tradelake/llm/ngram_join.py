@@ -50,6 +50,7 @@ TILE = 1536  # nodes of a signature that meet at a time
 SKETCH_WORDS = 8  # of 64 bits, at least
 COMPARED = 2_000_000  # sketch words compared together
 FAR = np.int32(1 << 30)
+FEW = 16  # nodes of a unit that are compared one by one
 SECOND_DEALING_UP_TO = 2048  # signatures of a set
 REMEMBERED = 100_000
 ROWS_OUT = 1 << 17
@@ -333,13 +334,45 @@ def nearest_forest(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             label = new
 
 
+def few_pairs(rows: list[tuple], threshold: int, every: bool) -> list[tuple[bytes, bytes]]:
+    """Candidates of a unit of a few nodes, by sketches as whole numbers: pair by pair instead of in
+    matrices, which cost more than they save here.  ``rows``: side, node, n, sketch, root."""
+    bits = 8 * min(len(r[3]) for r in rows)
+    numbers = []
+    for r in rows:
+        x, own = int.from_bytes(r[3], "little"), 8 * len(r[3])
+        while own > bits:
+            own //= 2
+            x = (x >> own) ^ (x & ((1 << own) - 1))
+        numbers.append(x)
+    across = any(r[0] for r in rows)
+    found = []
+    for j in range(1, len(rows)):
+        for i in range(j):
+            if across and rows[i][0] == rows[j][0] or every and rows[i][4] == rows[j][4]:
+                continue
+            d = (numbers[i] ^ numbers[j]).bit_count()
+            if (100 + threshold) * d <= (100 - threshold) * (rows[i][2] + rows[j][2]):
+                found.append((d, i, j))
+    if not every and len(rows) > 2:
+        label, kept = list(range(len(rows))), []
+        for d, i, j in sorted(found):
+            if label[i] != label[j]:
+                kept.append((d, i, j))
+                label = [label[i] if x == label[j] else x for x in label]
+        found = kept
+    return [(min(rows[i][1], rows[j][1]), max(rows[i][1], rows[j][1])) for _, i, j in found]
+
+
 def candidates(dealt: DataFrame, threshold: int, every: bool) -> DataFrame:
     """a, b: candidate pairs of nodes in each unit: a spanning forest, or ``every`` one between
     different roots."""
     rows = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     rows = rows.select("sig", "i", "j", "side", "node", "n", "sketch", "root")
 
-    def unit_pairs(rows: list[tuple]) -> tuple[list[bytes], list[bytes]]:
+    def unit_pairs(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+        if len(rows) <= FEW:
+            return few_pairs(rows, threshold, every)
         side, node, n, sketches, root = zip(*rows)
         n, side = np.array(n), np.array(side)
         number: dict[bytes, int] = {}
@@ -348,35 +381,29 @@ def candidates(dealt: DataFrame, threshold: int, every: bool) -> DataFrame:
         if side.any():  # two tiles: only pairs across
             d[side[:, None] == side[None, :]] = FAR
         u, v = np.nonzero(np.triu(d < FAR)) if every else nearest_forest(d)
-        return [min(node[x], node[y]) for x, y in zip(u, v)], [max(node[x], node[y]) for x, y in zip(u, v)]
+        return [(min(node[x], node[y]), max(node[x], node[y])) for x, y in zip(u, v)]
 
     def find(batches):
         unit, held = None, []
-        a: list[bytes] = []
-        b: list[bytes] = []
+        pairs: set[tuple[bytes, bytes]] = set()  # most come from many signatures
 
         def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-            a.clear()
-            b.clear()
-            return batch
+            columns = [pa.array(x, pa.binary()) for x in zip(*pairs)]
+            pairs.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
         for batch in batches:
             for sig, i, j, *row in zip(*[c.to_pylist() for c in batch.columns]):
                 if (sig, i, j) != unit:
                     if len(held) > 1:
-                        x, y = unit_pairs(held)
-                        a.extend(x)
-                        b.extend(y)
+                        pairs.update(unit_pairs(held))
                     unit, held = (sig, i, j), []
                 held.append(row)
-            if len(a) > ROWS_OUT:
+            if len(pairs) > ROWS_OUT:
                 yield flush()
         if len(held) > 1:
-            x, y = unit_pairs(held)
-            a.extend(x)
-            b.extend(y)
-        if a:
+            pairs.update(unit_pairs(held))
+        if pairs:
             yield flush()
 
     return rows.mapInArrow(lean(find), "a binary, b binary").distinct()
