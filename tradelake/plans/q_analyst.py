@@ -3,14 +3,17 @@ anomaly search and the sample / top-N views."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions.columns import round_half_up
 from ..operators import anomalies as A
 from ..operators import card as C
 from ..operators import compare as P
 from ..operators import screening as Q
+from ..operators.comoments import correlation_matrix
 from . import oracle_sql as S
 from .q_core import ANOMALY_SQL
-from .registry import CARD_TICKER, COMPARE_TICKERS, DATE_FROM, DATE_TO, out, register, wh
+from .registry import CARD_TICKER, COMPARE_TICKERS, DATE_FROM, DATE_TO, date_lit, out, register, wh
 
 SCREEN_FILTER = Q.ScreenFilter(min_return_pct=0.0, max_volatility_pct=1500.0)
 ALL_FILTERS = Q.ScreenFilter(-50.0, 2000.0, 1000.0, 1.0, 1.0, 99.9)  # every predicate set
@@ -443,6 +446,26 @@ def q_correlation(spark, sf_dir):
     return P.correlation(h, COMPARE_TICKERS)
 
 
+@register(
+    "correlation_matrix",
+    S.base(
+        f"hr AS (SELECT trade_date, ticker, daily_return_pct AS r FROM metrics WHERE {BETWEEN} AND daily_return_pct IS NOT NULL)",
+        "pt AS (SELECT DISTINCT ticker FROM hr)",
+        "cc AS (SELECT a.ticker AS ticker_a, b.ticker AS ticker_b, "
+        "covar_samp(a.r, b.r) / NULLIF(stddev_samp(a.r) * stddev_samp(b.r), 0) AS c "
+        "FROM hr a JOIN hr b ON a.trade_date = b.trade_date GROUP BY a.ticker, b.ticker)",
+    )
+    + f"SELECT p1.ticker AS ticker_a, p2.ticker AS ticker_b, {S.rnd('cc.c', 3)} AS correlation "
+    "FROM pt p1 CROSS JOIN pt p2 LEFT JOIN cc ON cc.ticker_a = p1.ticker AND cc.ticker_b = p2.ticker "
+    "WHERE (SELECT COUNT(*) FROM pt) >= 2",
+)
+def q_correlation_matrix(spark, sf_dir):
+    """Correlation of every pair of tickers in the period."""
+    day = F.col("trade_date")
+    rows = wh(spark, sf_dir).metrics.where(day.between(date_lit(DATE_FROM), date_lit(DATE_TO)))
+    return correlation_matrix(rows.select("trade_date", "ticker", "daily_return_pct"), block=32)
+
+
 # --- Q20-Q23: anomaly search ------------------------------------------------------------------
 SEARCH_SQL = (
     f"search AS (SELECT {ANOMALY_SQL} FROM anomalies WHERE {BETWEEN} AND anomaly_type IN ({_in(SEARCH_TYPES)}) "
