@@ -298,3 +298,16 @@ def test_card_of_an_unknown_ticker_is_one_empty_row(spark):
     w = Warehouse.from_raw(spark, make_raw(spark, [raw_row()]))
     rows = C.card(w.metrics, w.calendar, w.instruments, "NOBODY", "2024-01-01", "2024-12-31").collect()
     assert [(r.ticker, r.last_price, r.active_days_count) for r in rows] == [("NOBODY", None, 0)]
+
+
+def test_asof_prices_of_many_cut_offs(spark):
+    w = wh_prices(spark, {"A": [10, 11, 12], "B": [5]})
+    days = [(t, dt.date(2024, 1, 1) + dt.timedelta(days=k)) for t in ("A", "B", "C") for k in range(-3, 9)]
+    cutoffs = spark.createDataFrame(days + days[:2], "ticker string, cutoff date")
+    got = sorted(((r.ticker, r.cutoff, r.asof_date, r.price) for r in C.asof_prices(w.metrics, cutoffs).collect()), key=str)
+    rows = [(r.ticker, r.trade_date, r.price_avg_weighted) for r in w.metrics.collect()]
+    want = []
+    for t, c in days + days[:2]:
+        last = max(((d, p) for u, d, p in rows if u == t and d <= c), default=(None, None))
+        want.append((t, c, *last))
+    assert got == sorted(want, key=str)

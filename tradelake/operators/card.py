@@ -7,7 +7,7 @@ rows), so the card for one ticker and for all tickers is the same plan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import mean_of, pct_change, share_pct
@@ -111,6 +111,19 @@ def asof_change(metrics: DataFrame, date_from, date_to, tickers: list[str] | Non
     )
 
 
+def asof_prices(metrics: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """The last row of each ticker on or before each cut-off: ticker, cutoff, asof_date, price (both
+    NULL before the ticker's first row; the row's price may be NULL itself).  ``cutoffs``: ticker, cutoff,
+    any number of them.  Prices and cut-offs of a ticker are sorted together once and the last price row
+    is carried forward; no row meets a range of others."""
+    price = F.struct(F.col("trade_date").alias("asof_date"), F.col("price_avg_weighted").alias("price"))
+    rows = metrics.select("ticker", F.col("trade_date").alias("at"), F.lit(0).alias("kind"), price.alias("row"))
+    asked = cutoffs.select("ticker", F.col("cutoff").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
+    upto = Window.partitionBy("ticker").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = rows.unionByName(asked).withColumn("row", F.last("row", ignorenulls=True).over(upto)).where("kind = 1")
+    return carried.select("ticker", F.col("at").alias("cutoff"), "row.asof_date", "row.price")
+
+
 def price_history(metrics: DataFrame, ticker: str, date_from, date_to) -> DataFrame:
     return (
         period_rows(metrics, date_from, date_to, [ticker])

@@ -446,6 +446,25 @@ def q_correlation(spark, sf_dir):
     return P.correlation(h, COMPARE_TICKERS)
 
 
+@register(
+    "asof_month_ends",
+    S.base(
+        "b AS (SELECT ticker, min(trade_date) AS d0, max(trade_date) AS d1 FROM metrics GROUP BY ticker)",
+        "c AS (SELECT ticker, last_day(CAST(unnest(generate_series(date_trunc('month', d0 - INTERVAL 1 MONTH)::TIMESTAMP, "
+        "date_trunc('month', d1)::TIMESTAMP, INTERVAL 1 MONTH)) AS DATE)) AS cutoff FROM b)",
+    )
+    + "SELECT c.ticker, c.cutoff, m.trade_date AS asof_date, CAST(m.price_avg_weighted AS DOUBLE) AS price "
+    "FROM c ASOF LEFT JOIN metrics m ON c.ticker = m.ticker AND c.cutoff >= m.trade_date",
+)
+def q_asof_month_ends(spark, sf_dir):
+    """Month-end prices of every ticker, from the month before its first row to its last."""
+    m = wh(spark, sf_dir).metrics
+    month = F.expr("interval 1 month")
+    span = m.groupBy("ticker").agg(F.trunc(F.min("trade_date"), "month").alias("d0"), F.trunc(F.max("trade_date"), "month").alias("d1"))
+    months = span.select("ticker", F.explode(F.sequence(F.add_months("d0", -1), "d1", month)).alias("m"))
+    return out(C.asof_prices(m, months.select("ticker", F.last_day("m").alias("cutoff"))))
+
+
 @register(
     "correlation_matrix",
     S.base(
