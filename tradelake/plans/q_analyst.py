@@ -10,7 +10,9 @@ from ..operators import anomalies as A
 from ..operators import card as C
 from ..operators import compare as P
 from ..operators import screening as Q
+from ..operators import sketches as K
 from ..operators.comoments import correlation_matrix
+from ..schemas import TIER_HIGH_PCT, TIER_LOW_PCT
 from . import oracle_sql as S
 from .q_core import ANOMALY_SQL
 from .registry import CARD_TICKER, COMPARE_TICKERS, DATE_FROM, DATE_TO, date_lit, out, register, wh
@@ -446,6 +448,37 @@ def q_correlation(spark, sf_dir):
     return P.correlation(h, COMPARE_TICKERS)
 
 
+_SHARES = (TIER_LOW_PCT, TIER_HIGH_PCT)
+
+
+@register(
+    "sketched_thresholds",
+    S.base(S.summary_cte(), "v AS (UNPIVOT (SELECT avg_turnover_value, volatility_pct FROM summary) ON avg_turnover_value, volatility_pct INTO NAME metric VALUE x)")
+    + f"SELECT metric, p, count(*) AS n, TRUE AS within_bound FROM v, (SELECT unnest([{_SHARES[0]}, {_SHARES[1]}])::DOUBLE AS p) GROUP BY ALL",
+)
+def q_sketched_thresholds(spark, sf_dir):
+    """Tier thresholds from quantile sketches, held against all values: is each within the stated rank
+    error?"""
+    summary = wh(spark, sf_dir).summary
+    found = K.quantiles(K.sketch_values(summary, ["avg_turnover_value", "volatility_pct"]), *_SHARES)
+    return K.rank_errors(summary, found).select("metric", "p", "n", (F.col("rank_error") <= K.RANK_ERROR).alias("within_bound"))
+
+
+@register(
+    "sketched_months",
+    S.base()
+    + "SELECT metric, 0.5::DOUBLE AS p, count(*) AS n, TRUE AS within_bound FROM (UNPIVOT (SELECT CAST(turnover_value AS DOUBLE) AS turnover_value, "
+    f"daily_return_pct FROM metrics WHERE {BETWEEN}) ON turnover_value, daily_return_pct INTO NAME metric VALUE x) GROUP BY metric",
+)
+def q_sketched_months(spark, sf_dir):
+    """Medians of daily values over the period, merged from one sketch for each month."""
+    metrics, columns = wh(spark, sf_dir).metrics, ["turnover_value", "daily_return_pct"]
+    stored = K.month_sketches(metrics, columns)
+    found = K.period_quantiles(stored, int(DATE_FROM[:7].replace("-", "")), int(DATE_TO[:7].replace("-", "")), 0.5)
+    rows = metrics.where(F.col("trade_date").between(date_lit(DATE_FROM), date_lit(DATE_TO)))
+    return K.rank_errors(rows, found).select("metric", "p", "n", (F.col("rank_error") <= K.RANK_ERROR).alias("within_bound"))
+
+
 @register(
     "asof_month_ends",
     S.base(
