@@ -114,7 +114,8 @@ def test_few_nodes_and_many_give_the_same(size, seed, every, across):
         h = np.unique(np.r_[base[: rng.integers(480, 521)], rng.integers(0, 2**64, rng.integers(1, 60), dtype=np.uint64)])
         rows.append((bool(across and k % 2), b"%02d" % k, len(h), J.sketch(h).tobytes(), b"%d" % rng.integers(4)))
     side, node, n, sketches, root = zip(*rows)
-    apart = np.array([int(r) for r in root]) if every else np.arange(size)
+    number = {r: k for k, r in enumerate(dict.fromkeys(root))}
+    apart = np.array([number[r] for r in root])
     d = J.distances(list(sketches), np.array(n), apart, 85)
     if across:
         d[np.array(side)[:, None] == np.array(side)[None, :]] = J.FAR
@@ -124,13 +125,13 @@ def test_few_nodes_and_many_give_the_same(size, seed, every, across):
         return
 
     def components(pairs):
-        label = {x: x for x in node}
+        label = dict(zip(node, root))
         for a, b in pairs:
             label = {k: label[a] if v == label[b] else v for k, v in label.items()}
         return sorted(label.values())
 
     assert len({*got}) == len(got) < size
-    u, v = J.nearest_forest(d)
+    u, v = J.nearest_forest(d, apart)
     same = lambda pairs: [[components(pairs).count(x)] for x in components(pairs)]
     assert same(got) == same([(node[i], node[j]) for i, j in zip(u, v)])
     assert all(d[node.index(a), node.index(b)] < J.FAR for a, b in got)

@@ -12,11 +12,13 @@ So sets that link always share a signature.
 On Spark: equal sets fold into one node.  Signature rows are dealt out by signature, sorted, and read
 as a stream that drops signatures of one node.  Inside a signature, nodes are compared by parity
 sketches: bit b is the parity of the elements that hash to b, so two sketches differ in no more bits
-than the sets in elements, and pairs beyond the bound are no links.  The nearest of the others are
-taken as candidates, a spanning forest of them for each signature, and verified exactly by
-intersection; links join components.  Where candidates failed, all others between different
-components are verified, so no link between components is lost; pairs inside one component are
-connected already and not needed.  A large signature is cut into tiles that meet two by two.
+than the sets in elements, and pairs beyond the bound are no links.  Three rounds verify candidates
+exactly by intersection, and links join components: each signature's first node beside the others;
+then, in signatures that still hold several components, a spanning forest of the nearest pairs
+between components; at last all other pairs between components.  So no link between components is
+lost; pairs inside one component are connected already and not needed.  Sketches travel only with
+the pairs of the first round and with signatures that are still open.  A large signature is cut into
+tiles that meet two by two.
 
 A subset of parts without elements is equal for all sets that lack them.  Such a signature is joined
 with each signature of a second, independent dealing (similar sets share one of these too).
@@ -48,6 +50,7 @@ PARTS = 3  # of a partition; a signature leaves one out
 PIECE = 1 << 20
 TILE = 1536  # nodes of a signature that meet at a time
 SKETCH_WORDS = 8  # of 64 bits, at least
+MOST_WORDS = 32  # larger sets are told apart less well, never wrongly
 COMPARED = 2_000_000  # sketch words compared together
 FAR = np.int32(1 << 30)
 FEW = 16  # nodes of a unit that are compared one by one
@@ -232,8 +235,9 @@ def stars(rows: DataFrame) -> DataFrame:
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """Parities of the elements by hash; a power of two of words, about a bit for each element."""
-    words = max(SKETCH_WORDS, 1 << max(0, (len(h) - 1) // 64).bit_length())
+    """Parities of the elements by hash; a power of two of words, about a bit for each element up to
+    MOST_WORDS."""
+    words = min(MOST_WORDS, max(SKETCH_WORDS, 1 << max(0, (len(h) - 1) // 64).bit_length()))
     bit = mix64(h ^ SKETCH_SEED) & np.uint64(64 * words - 1)
     out = np.zeros(words, dtype=np.uint64)
     np.bitwise_xor.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
@@ -269,6 +273,24 @@ def sets_of(docs: DataFrame, nodes: DataFrame, keys: DataFrame, id_col: str, tex
     return pinned(sets.dropDuplicates(["node"]), "ngram-sets")
 
 
+def near_pairs(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
+    """a, b: nodes of the key pairs (k1, k2) whose sketches do not tell them apart."""
+    left = sketches.toDF("k1", "a", "n1", "s1")
+    right = sketches.toDF("k2", "b", "n2", "s2")
+    both = pairs.join(left, "k1").join(right, "k2").select("a", "n1", "s1", "b", "n2", "s2")
+
+    def near(batches):
+        for batch in batches:
+            kept = [[], []]
+            for a, n1, s1, b, n2, s2 in zip(*[c.to_pylist() for c in batch.columns]):
+                for x, y in few_pairs([(False, a, n1, s1, a), (False, b, n2, s2, b)], threshold, True):
+                    kept[0].append(x)
+                    kept[1].append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()) for k in kept], names=["a", "b"])
+
+    return both.mapInArrow(lean(near), "a binary, b binary")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """u, v: nodes of the candidate pairs (a, b) that link."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -308,10 +330,10 @@ def distances(sketches: list[bytes], n: np.ndarray, apart: np.ndarray, threshold
     return out
 
 
-def nearest_forest(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def nearest_forest(d: np.ndarray, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs that are not FAR, near ones first: every component takes its
-    nearest pair to another one, until none is left."""
-    label, us, vs = np.arange(len(d)), [], []
+    nearest pair to another one, until none is left.  ``label``: components to begin with."""
+    label, us, vs = np.arange(len(d)) if label is None else label.copy(), [], []
     while True:
         other = np.where(label[:, None] != label[None, :], d, FAR)
         to = other.argmin(axis=1)
@@ -323,15 +345,17 @@ def nearest_forest(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return np.concatenate(us or [u]), np.concatenate(vs or [u])
         us.append(u)
         vs.append(to[u])
+        name = np.arange(label.max() + 1)  # of each component, the least it is joined to
         while True:
-            low = np.minimum(label[u], label[to[u]])
-            new = label.copy()
+            low = np.minimum(name[label[u]], name[label[to[u]]])
+            new = name.copy()
             np.minimum.at(new, label[u], low)
             np.minimum.at(new, label[to[u]], low)
-            new = new[new[label]]
-            if (new == label).all():
+            new = new[new]
+            if (new == name).all():
                 break
-            label = new
+            name = new
+        label = name[label]
 
 
 def few_pairs(rows: list[tuple], threshold: int, every: bool) -> list[tuple[bytes, bytes]]:
@@ -349,13 +373,13 @@ def few_pairs(rows: list[tuple], threshold: int, every: bool) -> list[tuple[byte
     found = []
     for j in range(1, len(rows)):
         for i in range(j):
-            if across and rows[i][0] == rows[j][0] or every and rows[i][4] == rows[j][4]:
+            if across and rows[i][0] == rows[j][0] or rows[i][4] == rows[j][4]:
                 continue
             d = (numbers[i] ^ numbers[j]).bit_count()
             if (100 + threshold) * d <= (100 - threshold) * (rows[i][2] + rows[j][2]):
                 found.append((d, i, j))
     if not every and len(rows) > 2:
-        label, kept = list(range(len(rows))), []
+        label, kept = [r[4] for r in rows], []
         for d, i, j in sorted(found):
             if label[i] != label[j]:
                 kept.append((d, i, j))
@@ -365,8 +389,8 @@ def few_pairs(rows: list[tuple], threshold: int, every: bool) -> list[tuple[byte
 
 
 def candidates(dealt: DataFrame, threshold: int, every: bool) -> DataFrame:
-    """a, b: candidate pairs of nodes in each unit: a spanning forest, or ``every`` one between
-    different roots."""
+    """a, b: candidate pairs of nodes with different roots in each unit: a spanning forest, or
+    ``every`` one."""
     rows = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     rows = rows.select("sig", "i", "j", "side", "node", "n", "sketch", "root")
 
@@ -377,10 +401,10 @@ def candidates(dealt: DataFrame, threshold: int, every: bool) -> DataFrame:
         n, side = np.array(n), np.array(side)
         number: dict[bytes, int] = {}
         roots = np.array([number.setdefault(r, len(number)) for r in root])
-        d = distances(sketches, n, roots if every else np.arange(len(n)), threshold)
+        d = distances(sketches, n, roots, threshold)
         if side.any():  # two tiles: only pairs across
             d[side[:, None] == side[None, :]] = FAR
-        u, v = np.nonzero(np.triu(d < FAR)) if every else nearest_forest(d)
+        u, v = np.nonzero(np.triu(d < FAR)) if every else nearest_forest(d, roots)
         return [(min(node[x], node[y]), max(node[x], node[y])) for x, y in zip(u, v)]
 
     def find(batches):
@@ -416,16 +440,21 @@ def jaccard_links(
     star = pinned(stars(signature_rows(docs, text_col, words, threshold)), "ngram-stars")
     keyed = star.select("sig", "key").union(star.select("sig", "first").distinct())
     sets = sets_of(docs, nodes, keyed, id_col, text_col, words)
-    members = keyed.join(sets.select("key", "node", "n", "sketch"), "key").drop("key")
-    tried = pinned(candidates(units(members.withColumn("root", F.col("node")), tile), threshold, every=False), "ngram-pairs")
+    sketches = sets.select("node", "n", "sketch")
+    firsts = star.select(F.least("first", "key").alias("k1"), F.greatest("first", "key").alias("k2")).distinct()
+    tried = pinned(near_pairs(firsts, sets.select("key", "node", "n", "sketch"), threshold), "ngram-pairs")
     found = pinned(verified(tried, sets, threshold), "ngram-links")
-    roots = connected_components(found)
-    tagged = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = tagged.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-    rest = candidates(units(tagged.join(several.select("sig"), "sig", "left_semi"), tile), threshold, every=True)
-    fresh = pinned(rest.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
-    more = pinned(verified(fresh, sets, threshold), "ngram-links")
-    return roots if more.isEmpty() else connected_components(found.union(more))
+    for every in (False, True):
+        roots = connected_components(found)
+        root_of = sets.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        tagged = keyed.join(root_of, "key").drop("key")
+        several = tagged.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+        still = tagged.join(several.select("sig"), "sig", "left_semi")
+        fresh = candidates(units(still, tile).join(sketches, "node"), threshold, every)
+        fresh = pinned(fresh.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+        tried = tried.union(fresh)
+        found = found.union(pinned(verified(fresh, sets, threshold), "ngram-links"))
+    return connected_components(found)
 
 
 def ngram_groups(
