@@ -13,7 +13,7 @@ grouped by pair; pairs that are most frequent for their B id are marked; the pos
 pair's count and go back to their chunk, whose documents add up the scores.
 
 On Spark: one scan encodes texts (both tokenizers never put a token across a space that follows a
-non-space, so words between such spaces are encoded once and remembered for a task, within a bound
+non-space, so words between such spaces are encoded once and remembered by the worker, within a bound
 in bytes) and writes each document's distinct pairs; the index is built from that table in chunks
 of at most 65,536 documents and a bounded number of postings; a frequent pair is one row for each
 chunk, so no key holds more rows than there are chunks.
@@ -30,8 +30,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ from .tokens import byte_characters
 
 CUT = re.compile(r"(?<=\S) ")
 PIECE = 1 << 20
-MEMORY = 32 << 20  # bytes of remembered words in a task
+MEMORY = 96 << 20  # bytes of remembered words in a worker
 CHUNK_DOCS = 1 << 16
 CHUNK_POSTINGS = 2_000_000
 PLANES = "array<struct<plane:tinyint,docs:binary>>"
@@ -52,15 +52,20 @@ PLANES = "array<struct<plane:tinyint,docs:binary>>"
 
 @lru_cache(maxsize=2)
 def _byte_tokenizer(path: str):
-    """Tokenizer and the bytes of its ids; strings of special tokens are plain text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    """Encoder of the byte-level tokenizer in a JSON file, and the bytes of its ids.  Its ids are the
+    ranks of its merges, so tiktoken encodes with the same vocabulary, with less work for each call;
+    strings of special tokens are plain text."""
+    import public_tokenizers
+    import tiktoken
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     byte_of = {c: b for b, c in byte_characters().items()}
-    entry = {i: bytes(byte_of[c] for c in t) for t, i in tokenizer.get_vocab(with_added_tokens=False).items()}
-    return tokenizer, entry
+    vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+    entry = {i: bytes(byte_of[c] for c in t) for t, i in vocabulary.items() if all(c in byte_of for c in t)}
+    special = {i for t, i in vocabulary.items() if t.startswith("<|") and t.endswith("|>")}
+    ranks = {t: i for i, t in entry.items() if i not in special}
+    name = os.path.basename(path)
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), entry
 
 
 @lru_cache(maxsize=2)
@@ -76,53 +81,66 @@ def _piece_tokenizer(path: str):
 
 
 class Aligner:
-    """Groups and linked pairs of texts; words are remembered up to ``memory`` bytes."""
+    """Groups and linked pairs of texts.  Words are remembered up to ``memory`` bytes, in two halves: when
+    the newer one is full the older one is dropped, and a word met again moves to the newer."""
 
     def __init__(self, byte_path: str, piece_path: str, memory: int = MEMORY):
         self.a, self.bytes_a = _byte_tokenizer(byte_path)
         self.b, self.bytes_b = _piece_tokenizer(piece_path)
+        self.size_a = {i: len(t) for i, t in self.bytes_a.items()}
+        self.size_b = list(map(len, self.bytes_b))
+        self.text_a, self.text_b = {i: str(i) for i in self.bytes_a}, list(map(str, range(len(self.bytes_b))))
         self.stride = len(self.bytes_b)  # a pair's number is a * stride + b
         self.pair = "<u4" if len(self.bytes_a) * self.stride <= 1 << 32 else "<u8"
+        self.kind = "I" if self.pair == "<u4" else "Q"
         self.space = self.b.piece_to_id("▁")
         self.memory, self.held = memory, 0
         self.words: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
 
     def _align(self, word: str, a: list[int], b: list[int]) -> tuple | None:
         """groups, tokens of A, of B, groups' number, pairs; None where the bytes differ."""
         data = b" " + word.encode("utf-8", "replace")
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(parts_a) != data or b"".join(parts_b) != data:
+        if b"".join([self.bytes_a[i] for i in a]) != data or b"".join([self.bytes_b[i] for i in b]) != data:
             return None
-        ends_a, ends_b = list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b)))
-        groups, pairs, i0, j0, j = [], [], 0, 0, 0
-        for i, end in enumerate(ends_a):
-            while ends_b[j] < end:
+        size_a, size_b, text_a, text_b, stride = self.size_a, self.size_b, self.text_a, self.text_b, self.stride
+        groups, pairs = [], []
+        i0 = j0 = j = end_a = 0
+        end_b = size_b[b[0]]
+        for i, x in enumerate(a):
+            end_a += size_a[x]
+            while end_b < end_a:
                 j += 1
-            if ends_b[j] == end:
-                groups.append(f"{','.join(map(str, a[i0 : i + 1]))}|{','.join(map(str, b[j0 : j + 1]))}")
-                pairs.append(a[i] * self.stride + b[j])
+                end_b += size_b[b[j]]
+            if end_b == end_a:
+                y = b[j]
+                left = text_a[x] if i == i0 else ",".join([text_a[k] for k in a[i0 : i + 1]])
+                right = text_b[y] if j == j0 else ",".join([text_b[k] for k in b[j0 : j + 1]])
+                groups.append(left + "|" + right)
+                pairs.append(x * stride + y)
                 i0, j0 = i + 1, j + 1
-        return ";".join(groups).encode(), len(a), len(b), len(groups), np.array(pairs, dtype=self.pair).tobytes()
+        return ";".join(groups).encode(), len(a), len(b), len(groups), array(self.kind, pairs).tobytes()
 
     def learn(self, words: list[str]) -> dict[str, tuple | None]:
         """Results of these words, from memory or new."""
-        new = [w for w in set(words) if w not in self.words]
+        if self.held > self.memory // 2:
+            self.older, self.words, self.held = self.words, {}, 0
+        new = set(words).difference(self.words)
         if not new:
             return self.words
-        ids_a = self.a.encode_batch([" " + w for w in new], add_special_tokens=False)
-        ids_b = self.b.encode(new, num_threads=1)
-        if self.held > self.memory:
-            known = {w: self.words[w] for w in set(words) if w in self.words}
-            self.words, self.held = known, sum(map(self._size, known.items()))
-        for w, a, b in zip(new, ids_a, ids_b):
-            self.words[w] = self._align(w, a.ids, b or [self.space])
-            self.held += self._size((w, self.words[w]))
+        older = [w for w in new if w in self.older]
+        for w in older:
+            self._keep(w, self.older[w])
+        new = list(new.difference(older))
+        if new:
+            encode = self.a.encode_ordinary
+            for w, b in zip(new, self.b.encode(new, num_threads=1)):
+                self._keep(w, self._align(w, encode(" " + w), b or [self.space]))
         return self.words
 
-    @staticmethod
-    def _size(item) -> int:
-        word, r = item
-        return 300 + 4 * len(word) + (len(r[0]) + len(r[4]) if r else 0)
+    def _keep(self, word: str, r: tuple | None) -> None:
+        self.words[word] = r
+        self.held += 300 + 4 * len(word) + (len(r[0]) + len(r[4]) if r else 0)
 
     def text(self, text: str | None):
         """n_a, n_b, n_groups, n_links, sha256 of the groups, pair numbers (one for each link)."""
@@ -152,13 +170,19 @@ class Aligner:
         return *counts, len(linked), digest.hexdigest() if counts[2] else "", linked
 
 
+@lru_cache(maxsize=1)
+def _aligner(byte_path: str, piece_path: str) -> Aligner:
+    """A worker's aligner: its next task goes on with the words it knows."""
+    return Aligner(byte_path, piece_path)
+
+
 def encoded(docs: DataFrame, byte_path: str, piece_path: str, id_col: str, text_col: str) -> DataFrame:
     """Per row: doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs (distinct) and times."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]
 
     def compute(batches):
-        aligner = Aligner(byte_path, piece_path)
+        aligner = _aligner(byte_path, piece_path)
         for b in batches:
             columns = [[] for _ in range(7)]
             for t in b["text"]:
