@@ -313,3 +313,23 @@ def test_proven_files_are_not_read_again(spark):
     assert df.collect() == []
     final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "EmptyRelation" in final and "HashAggregate(keys=[file_key" not in final.split("EmptyRelation")[1]  # no number is counted
+
+
+def test_file_lists_are_sent_to_rows_and_facts(spark):
+    raw = make_raw(spark, [raw_row(file_key=k, file_name=f"f{k}.xlsx") for k in (1, 2)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        state, _ = L.load_batch(None, raw, files_df(spark, [(1, "f1.xlsx"), (2, "f2.xlsx")]))
+        gone = L.replace_files(state, spark.createDataFrame([("f1.xlsx",)], "file_name string"))
+        for df in (state.raw, gone.raw):
+            assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString().replace("SortMergeJoin [file_name", "")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_orphans_are_counted_by_key(spark):
+    child = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k int")
+    found = lambda parent, **o: D._orphans(child, spark.createDataFrame([(p,) for p in parent], "k int"), "k", "x", **o).first()["issue_count"]
+    assert (found([2, 2]), found([1, 2], allow_null=True), found([])) == (3, 0, 4)
+    plan = D._orphans(child, child, "k", "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftAnti") < plan.rindex("Aggregate [k")

@@ -154,3 +154,20 @@ def test_existing_issuer_untouched(spark):
     both = N.build_issuers(make_raw(spark, [raw_row(issuer_name_raw="Issuer A"), raw_row(issuer_name_raw="B")]), existing)
     assert sorted(r.issuer_name for r in both.collect()) == ["B", "Issuer A"]
     assert both.where(F.col("issuer_name") == "Issuer A").count() == 1
+
+
+def test_rows_are_dealt_out_before_they_are_grouped(spark):
+    """Facts take one shuffle, of the raw rows by ticker and day: no map-side step holds and widens them."""
+    plan = N.build_daily_stats(make_raw(spark, [raw_row()]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(ticker" in plan
+    below = plan.split("Exchange", 1)[1]
+    assert "HashAggregate" not in below
+
+
+def test_instruments_from_rows_equal_those_from_parts(spark):
+    raw = make_raw(
+        spark,
+        [raw_row(file_key=k, issuer_name_raw=f"I{k % 3}", term_days_raw=t, ticker_raw=f"T{k % 2}") for k, t in enumerate([5, None, 7, None, 3, None])],
+    )
+    rows, parts = (sorted(N.instruments_from_parts(p).collect()) for p in (N.cleaned_rows(raw), N.daily_parts(raw)))
+    assert rows == parts and len(rows) == 2

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import DEFAULT_SOURCE_TYPE, FILE_PERIOD, LOAD_NOTE
+from ..session import ensure_checkpoint_dir
 from . import refresh as R
 
 
@@ -106,8 +107,8 @@ def replace_files(state: ArchiveState, names: DataFrame) -> ArchiveState:
     dimensions are untouched."""
     gone = state.registry.join(names.select("file_name"), "file_name", "left_semi").select("file_key")
     registry = state.registry.join(names.select("file_name"), "file_name", "left_anti")
-    raw = state.raw.join(gone, "file_key", "left_anti")
-    flagged = gone.select("file_key", F.lit(True).alias("_gone"))
+    raw = state.raw.join(F.broadcast(gone), "file_key", "left_anti")  # a row for each file: rows and facts stay where they are
+    flagged = F.broadcast(gone.select("file_key", F.lit(True).alias("_gone")))
     cleared = {c: F.when(F.col("_gone"), F.lit(None)).otherwise(F.col(c)) for c in ("file_key", "file_rank") if c in state.facts.columns}
     facts = state.facts.join(flagged, "file_key", "left").withColumns(cleared).drop("_gone")
     return replace(state, registry=registry, raw=raw, facts=facts.select(*state.facts.columns))
@@ -156,10 +157,12 @@ def load_batch(
 
     done = 0 if state is None else state.registry.agg(F.max("file_order")).first()[0] or 0
     run = run or (1 if state is None else state.run + 1)
-    files = files.select("file_key", "file_name", (F.col("file_order") + done).alias("file_order"))
+    # A row for each file, kept: listed once, and sent to the rows rather than the rows to it.
+    ensure_checkpoint_dir(files.sparkSession)
+    files = files.select("file_key", "file_name", (F.col("file_order") + done).alias("file_order")).checkpoint()
     ranks = files.select("file_key", F.format_string("%012d/%s", F.lit(run), "file_name").alias("file_rank"))
     candidates = files if state is None or replace else new_files(files, state.registry)
-    raw = raw.drop("file_order", "file_name").join(candidates, "file_key")
+    raw = raw.drop("file_order", "file_name").join(F.broadcast(candidates), "file_key")
     # One pass over the raw rows feeds the gate, the registry counts, dimensions and facts.
     parts = daily_parts(raw).persist(StorageLevel.MEMORY_AND_DISK)
     found = gate_from_parts(parts, **(gate_options or {})).unionByName(gate_files(candidates, source_type))
@@ -172,7 +175,7 @@ def load_batch(
     raw_ok = raw.where(good).drop("load_error")
     if state is not None and replace:
         touched = state.registry.join(ok.select("file_name"), "file_name", "left_semi").select("file_key")
-        state_months = state.facts.join(touched, "file_key", "left_semi").select(_month("trade_date").alias("month"))
+        state_months = state.facts.join(F.broadcast(touched), "file_key", "left_semi").select(_month("trade_date").alias("month"))
         state = replace_files(state, ok.select("file_name"))
     else:
         state_months = None
@@ -231,7 +234,7 @@ def rebuilt_facts(state: ArchiveState) -> DataFrame:
     rank = F.col("file_rank") if "file_rank" in state.registry.columns else F.lit(None).cast("string")
     order = Window.orderBy(F.coalesce(rank, F.lit("")), "file_order")  # one row for each file
     numbers = state.registry.select("file_key", F.row_number().over(order).cast("long").alias("file_order"))
-    return build_daily_stats(state.raw.drop("file_order").join(numbers, "file_key"))
+    return build_daily_stats(state.raw.drop("file_order").join(F.broadcast(numbers), "file_key"))
 
 
 # --- publish ----------------------------------------------------------------------------------
@@ -291,6 +294,16 @@ def _days_of(months: list[int]) -> Column:
     return out
 
 
+MONTH_FILES = 8  # at most as many files hold a month's facts of a load
+
+
+def _written_months(spark: SparkSession, folder: str) -> list[int]:
+    """Months (yyyymm) of the folders that a write of facts left."""
+    fs, path = _fs(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted(int(n[6:]) for n in names if n.startswith("month="))
+
+
 def publish(
     state: ArchiveState, root: str, stream: str | None = None, epoch: int | None = None, summary: bool | None = None
 ) -> int:
@@ -308,13 +321,15 @@ def publish(
     raw = state.raw if fresh else state.delta.raw
     raw.write.partitionBy("file_key").parquet(f"{root}/raw_market_archive/load={load}")
     facts = state.facts.withColumn("month", _month("trade_date"))
-    if fresh:
-        months = [r["month"] for r in facts.select("month").distinct().collect()]  # calendar months
-    else:
-        months = [r["month"] for r in state.delta.months.collect()]
-        facts = facts.where(F.col("month").isin(months) & _days_of(months))
-    facts = facts.repartition("month", "ticker").sortWithinPartitions("month", "ticker", "trade_date")
-    facts.write.partitionBy("month").parquet(f"{root}/market_daily_stats/load={load}")
+    touched = set()
+    if not fresh:
+        touched = {r["month"] for r in state.delta.months.collect()}  # calendar months
+        facts = facts.where(F.col("month").isin(sorted(touched)) & _days_of(sorted(touched)))
+    deal = F.pmod(F.hash("ticker"), F.lit(MONTH_FILES))
+    facts = facts.repartition("month", deal).sortWithinPartitions("month", "ticker", "trade_date")
+    folder = f"{root}/market_daily_stats/load={load}"
+    facts.write.partitionBy("month").parquet(folder)
+    months = _written_months(spark, folder)  # of the months touched, those that hold facts
     registry = state.registry
     if "load" not in registry.columns:
         registry = registry.withColumn("load", F.lit(None).cast("string"))
@@ -322,7 +337,7 @@ def publish(
     for name, attr in SMALL_TABLES.items():
         df = registry if attr == "registry" else getattr(state, attr)
         df.write.parquet(f"{root}/tables/{load}/{name}")
-    kept = {} if fresh else before["months"]
+    kept = {} if fresh else {m: x for m, x in before["months"].items() if int(m) not in touched}
     stored = kept | {str(m): load for m in months}
     kept_summary = None if fresh else before.get("summary")
     summary_now = None
@@ -418,7 +433,7 @@ def read_state(spark: SparkSession, root: str) -> ArchiveState | None:
     }
     base, raw_schema = f"{root}/raw_market_archive", schema["raw_market_archive"]
     raw = spark.read.schema(T.StructType([*raw_schema.fields, T.StructField("load", T.StringType())])).parquet(base)
-    raw = raw.join(small["registry"].select("file_key", "load"), ["file_key", "load"], "left_semi").select(*raw_schema.names)
+    raw = raw.join(F.broadcast(small["registry"].select("file_key", "load")), ["file_key", "load"], "left_semi").select(*raw_schema.names)
     facts = _facts_of_months(spark, root, schema["market_daily_stats"], pointer["months"])
     run = pointer.get("run", pointer["number"])
     return ArchiveState(raw=raw, facts=facts, base=pointer["number"], run=run, **small)

@@ -130,11 +130,12 @@ def duplicate_checks(state: ArchiveState) -> DataFrame:
 
 # --- D4 ---------------------------------------------------------------------------------------
 def _orphans(child: DataFrame, parent: DataFrame, key: str, name: str, allow_null: bool = False) -> DataFrame:
-    c = child.select(key)
+    # Rows are counted by key first, so keys are joined, not rows.  An anti join keeps NULL keys (they
+    # match nothing), like LEFT JOIN ... IS NULL.
+    c = child.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     if allow_null:
         c = c.where(F.col(key).isNotNull())
-    # An anti join keeps NULL keys (they match nothing), like LEFT JOIN ... IS NULL.
-    n = c.join(parent.select(key).distinct(), key, "left_anti").agg(F.count(F.lit(1)).alias("issue_count"))
+    n = c.join(parent.select(key).distinct(), key, "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("issue_count"))
     return n.select(F.lit(name).alias("check_name"), "issue_count")
 
 
@@ -162,17 +163,18 @@ def coverage(facts: DataFrame) -> DataFrame:
 
 
 def ticker_coverage(facts: DataFrame, instruments: DataFrame, issuers: DataFrame) -> DataFrame:
-    f = facts.select("instrument_id", "trade_date")
+    days = F.col("trade_date")
+    f = facts.groupBy("instrument_id").agg(F.count(F.lit(1)).alias("n"), F.min(days).alias("first"), F.max(days).alias("last"))
     i = instruments.select("instrument_id", F.col("ticker").alias("i_ticker"), "issuer_id")
     s = issuers.select("issuer_id", "issuer_name")
     return (
-        f.join(i, "instrument_id")
+        f.join(i, "instrument_id")  # a row for each instrument, not for each fact
         .join(s, "issuer_id")
         .groupBy(F.col("i_ticker").alias("ticker"), "issuer_name")
         .agg(
-            F.count(F.lit(1)).alias("stats_rows"),
-            F.min("trade_date").alias("first_trade_date"),
-            F.max("trade_date").alias("last_trade_date"),
+            F.sum("n").alias("stats_rows"),
+            F.min("first").alias("first_trade_date"),
+            F.max("last").alias("last_trade_date"),
         )
         .orderBy(F.col("stats_rows").desc(), "ticker")
     )
@@ -275,11 +277,13 @@ def _sums(rules: dict[str, Column]) -> list[Column]:
 
 
 def gate_from_parts(
-    parts: DataFrame, min_year: int = 2000, max_currency_len: int = 10, instrument_type: str = DEFAULT_INSTRUMENT_TYPE
-) -> DataFrame:
+    parts: DataFrame, min_year: int = 2000, max_currency_len: int = 10, instrument_type: str = DEFAULT_INSTRUMENT_TYPE,
+    rows: DataFrame | None = None,
+) -> DataFrame:
     """Per archive file, the schema constraints its rows would violate (file_key, rule,
     violations), computed from the raw aggregate (no extra pass over raw).  A file with any
-    violation is rejected whole.
+    violation is rejected whole.  ``rows`` (``cleaned_rows``) spare parts that are not kept the rules that
+    need keys alone.
 
     * rows: a cell or header that cannot be loaded (``load_error``);
     * calendar days: year below ``min_year``;
@@ -293,8 +297,9 @@ def gate_from_parts(
     raw row numbers are in ``gate_files`` and ``gate_row_numbers``."""
     from .normalize import _finish_facts, conflicts_from_parts, instrument_tuples, per_file_sums
 
-    bad_rows = parts.groupBy("file_key").agg(F.sum("error_rows").cast("long").alias("load_error"))
-    days = parts.where(F.year("trade_date") < min_year).select("file_key", "trade_date").distinct()
+    rows = parts if rows is None else rows
+    bad_rows = rows.groupBy("file_key").agg(F.sum("error_rows").cast("long").alias("load_error"))
+    days = rows.where(F.year("trade_date") < min_year).select("file_key", "trade_date").distinct()
     days = days.groupBy("file_key").agg(F.count(F.lit(1)).alias("calendar_year_out_of_range"))
     tuples = instrument_tuples(parts, instrument_type)
     instrument = {
@@ -341,6 +346,6 @@ def gate_row_numbers(raw: DataFrame) -> DataFrame:
 
 
 def gate_violations(raw: DataFrame, min_year: int = 2000, max_currency_len: int = 10) -> DataFrame:
-    from .normalize import daily_parts
+    from .normalize import cleaned_rows, daily_parts
 
-    return gate_from_parts(daily_parts(raw), min_year, max_currency_len)
+    return gate_from_parts(daily_parts(raw), min_year, max_currency_len, rows=cleaned_rows(raw))

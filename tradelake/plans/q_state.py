@@ -27,7 +27,7 @@ SRC_ORDER_SQL = ", ".join(testdata.SOURCE_ORDER)
 
 
 def state(spark, sf_dir, file_by: str = "ship") -> L.ArchiveState:
-    w = wh(spark, sf_dir, file_by)
+    w = wh(spark, sf_dir, file_by, keep=False)
     registry = L.register_files(L.files_of(w.raw), w.raw, loaded_at=LOADED_AT)
     return L.ArchiveState(registry, w.raw, w.issuers, w.instruments, w.calendar, w.facts)
 
@@ -323,7 +323,7 @@ def q_dq_orphans(spark, sf_dir):
     + "SELECT MIN(trade_date) AS min_trade_date, MAX(trade_date) AS max_trade_date, COUNT(*) AS total_rows FROM facts",
 )
 def q_dq_coverage(spark, sf_dir):
-    return D.coverage(wh(spark, sf_dir).facts)
+    return D.coverage(wh(spark, sf_dir, keep=False).facts)
 
 
 @register(
@@ -334,7 +334,7 @@ def q_dq_coverage(spark, sf_dir):
     "GROUP BY i.ticker, i.issuer_name",
 )
 def q_dq_ticker_coverage(spark, sf_dir):
-    w = wh(spark, sf_dir)
+    w = wh(spark, sf_dir, keep=False)
     return D.ticker_coverage(w.facts, w.instruments, w.issuers)
 
 
@@ -357,7 +357,7 @@ def q_dq_calendar(spark, sf_dir):
     "SELECT 'instruments_with_stats', COUNT(DISTINCT ticker) FROM facts",
 )
 def q_dq_derived_counts(spark, sf_dir):
-    w = wh(spark, sf_dir)
+    w = wh(spark, sf_dir, keep=False)
     return D.derived_counts(w.facts, w.metrics, w.summary, w.anomalies)
 
 
@@ -417,7 +417,7 @@ def q_dq_reconcile(spark, sf_dir):
     "FROM facts",
 )
 def q_dq_distinct_pairs(spark, sf_dir):
-    return D.distinct_pairs(wh(spark, sf_dir).facts)
+    return D.distinct_pairs(wh(spark, sf_dir, keep=False).facts)
 
 
 # Gate scenario: archives whose rows break every rule of the schema, some only before aggregation.
@@ -522,7 +522,7 @@ def q_replace_rejected(spark, sf_dir):
 def _published(spark, sf_dir, **options) -> str:
     """All archives in three loads, published one after the other."""
     root = f"{ensure_checkpoint_dir(spark)}/published-{uuid.uuid4().hex}"
-    w, key = wh(spark, sf_dir), F.col("file_key")
+    w, key = wh(spark, sf_dir, keep=False), F.col("file_key")
     files = L.files_of(w.raw).withColumn("file_order", key)
     for low, high in ((None, 199601), (199601, REJECTED), (REJECTED, None)):
         part = (F.lit(True) if low is None else key >= low) & (F.lit(True) if high is None else key < high)
