@@ -321,8 +321,10 @@ def test_file_lists_are_sent_to_rows_and_facts(spark):
     try:
         state, _ = L.load_batch(None, raw, files_df(spark, [(1, "f1.xlsx"), (2, "f2.xlsx")]))
         gone = L.replace_files(state, spark.createDataFrame([("f1.xlsx",)], "file_name string"))
-        for df in (state.raw, gone.raw):
-            assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString().replace("SortMergeJoin [file_name", "")
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan(state.raw)
+        assert any("BroadcastHashJoin" in line and "LeftAnti" in line for line in plan(gone.raw).split("\n") if "file_key" in line)
+        assert any("BroadcastHashJoin" in line and "LeftOuter" in line for line in plan(gone.facts).split("\n") if "file_key" in line)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
