@@ -198,3 +198,26 @@ def test_components_of_binary_nodes(spark):
     edges = spark.createDataFrame([(b"b", b"a"), (b"c", b"b"), (b"y", b"x")], "u binary, v binary")
     got = {(bytes(r["node"]), bytes(r["root"])) for r in connected_components(edges).collect()}
     assert got == {(b"b", b"a"), (b"c", b"a"), (b"y", b"x")}
+
+
+def test_stars_sort_by_the_signature_alone(spark):
+    """Each signature's nodes meet beside one of them, repeated rows too, without a sort by node."""
+    rng = random.Random(5)
+    rows = [(s, k) for s in range(400) for k in rng.sample(range(50), 1 + s % 4)]
+    rows += rng.sample(rows, 200) + [(-7, k % 3000) for k in range(25_000)]  # more than an Arrow batch
+    rng.shuffle(rows)
+    df = J.stars(spark.createDataFrame(rows, "sig long, key long"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [sig" in plan and ", key" not in plan.split("Sort [sig")[1].split("]")[0]
+    got = [tuple(r) for r in df.collect()]
+    want: dict[int, set[int]] = {}
+    for s, k in rows:
+        want.setdefault(s, set()).add(k)
+    found: dict[int, set[int]] = {}
+    for s, first, key in got:
+        assert key != first
+        found.setdefault(s, {first}).add(key)
+    assert found == {s: keys for s, keys in want.items() if len(keys) > 1}
+    assert all(len({f for s, f, _ in got if s == x}) == 1 for x in (-7, 3, 7))
+    small = [r for r in got if r[0] >= 0]
+    assert len(small) == len(set(small)) and all(first == min(want[s]) for s, first, _ in small if s % 4 == 1)

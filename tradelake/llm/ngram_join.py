@@ -54,6 +54,7 @@ MOST_WORDS = 32  # larger sets are told apart less well, never wrongly
 COMPARED = 2_000_000  # sketch words compared together
 FAR = np.int32(1 << 30)
 FEW = 16  # nodes of a unit that are compared one by one
+MOST_KEPT = 4096  # partitions of a band whose places a worker keeps
 SECOND_DEALING_UP_TO = 2048  # signatures of a set
 REMEMBERED = 100_000
 ROWS_OUT = 1 << 17
@@ -80,9 +81,10 @@ def shingle_set(data: bytes, words: int = SHINGLE_WORDS) -> np.ndarray:
     n = len(w) - width + 1
     total = np.full(n, width, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(width):
-            total = mix64(total * ODD + w[i : i + n])
-    return np.unique(total)
+        for i in range(width):  # words are hashed well already: a polynomial of them, scrambled once
+            total *= ODD
+            total += w[i : i + n]
+    return np.unique(mix64(total))
 
 
 @lru_cache(maxsize=8)
@@ -100,21 +102,43 @@ def band_difference(end: int, threshold: int) -> int:
     return 2 * end * (100 - threshold) // (100 + threshold)
 
 
-def band_signatures(h: np.ndarray, band: int, k: int, dealing: int, parts: int = PARTS) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set in a band, and whether the subset of parts was empty."""
+def _places(band: int, k: int, dealing: int, parts: int) -> tuple[np.uint64, np.ndarray]:
+    """Seed of a band's dealing, and a number for each cell."""
     partitions = (k + 2) // 2
-    cells = partitions * parts
     with np.errstate(over="ignore"):
         tag = mix64(np.array([(dealing << 32) + band], dtype=np.uint64) * ODD)[0]
-        cell = (mix64(h ^ tag) % np.uint64(cells)).astype(np.int64)
+        return tag, mix64(np.arange(partitions * parts, dtype=np.uint64).reshape(partitions, parts) + tag)
+
+
+_kept_places = lru_cache(maxsize=256)(_places)
+
+
+def _others(x: np.ndarray) -> np.ndarray:
+    """For each part of a partition, the sum of the other parts."""
+    total = x[:, 0].copy()
+    for i in range(1, x.shape[1]):
+        total += x[:, i]
+    return total[:, None] - x
+
+
+def band_signatures(
+    h: np.ndarray, band: int, k: int, dealing: int, parts: int = PARTS, values: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set in a band, and whether the subset of parts was empty.  ``values``: of the
+    elements, where they are known."""
+    partitions = (k + 2) // 2
+    cells = partitions * parts
+    # The same for all sets of a band; those of very large sets are not kept.
+    tag, place = (_kept_places if partitions <= MOST_KEPT else _places)(band, k, dealing, parts)
+    values = mix64(h ^ VALUE_SEED) if values is None else values
+    with np.errstate(over="ignore"):
+        high = mix64(h ^ tag) >> np.uint64(32)
+        cell = ((high * np.uint64(cells)) >> np.uint64(32)).astype(np.int64)
         sums = np.zeros(cells, dtype=np.uint64)
-        np.add.at(sums, cell, mix64(h ^ VALUE_SEED))
-        sums = sums.reshape(partitions, parts)
+        np.add.at(sums, cell, values)
         count = np.bincount(cell, minlength=cells).reshape(partitions, parts)
-        rest = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums
-        left = count.sum(axis=1)[:, None] - count
-        place = mix64(np.arange(cells, dtype=np.uint64).reshape(partitions, parts) + tag)
-        return mix64(rest + place).ravel(), (left == 0).ravel()
+        rest = _others(sums.reshape(partitions, parts))
+        return mix64(rest + place).ravel(), (_others(count) == 0).ravel()
 
 
 def signatures(h: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
@@ -123,13 +147,14 @@ def signatures(h: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
     ends = band_ends(threshold, 1 << max(4, len(h).bit_length()))
     own = bisect_left(ends, len(h))
     ends = ends if own + 1 < len(ends) else band_ends(threshold, ends[-1] + 1)
+    values = mix64(h ^ VALUE_SEED)
     for band in (own, own + 1):
         k = band_difference(ends[band], threshold)
         if k == 0:
             continue
-        sig, empty = band_signatures(h, band, k, 0)
+        sig, empty = band_signatures(h, band, k, 0, values=values)
         if empty.any() and len(sig) <= SECOND_DEALING_UP_TO:
-            second, _ = band_signatures(h, band, k, 1, parts=2)
+            second, _ = band_signatures(h, band, k, 1, parts=2, values=values)
             with np.errstate(over="ignore"):
                 joined = mix64(sig[empty][:, None] * ODD + second[None, :]).ravel()
             sig = np.concatenate([sig[~empty], joined])
@@ -209,27 +234,34 @@ def _rows(**columns) -> pa.RecordBatch:
 
 
 def stars(rows: DataFrame) -> DataFrame:
-    """sig, first, key: every other node of a signature beside its first; lone nodes give nothing."""
-    ordered = rows.repartition("sig").sortWithinPartitions("sig", "key")
+    """sig, first, key: every other node of a signature beside its first; lone nodes give nothing.  Rows
+    are sorted by one column (Spark sorts a long by its digits, several columns by comparing) and a
+    signature's first is the least of its nodes in the batch where it begins, so that the signatures of
+    a cluster mostly share theirs.  A node of which a signature has several rows comes once a batch."""
+    ordered = rows.repartition("sig").sortWithinPartitions("sig")
 
     def stream(batches):
-        sig0 = first0 = key0 = None  # of the last row of the batch before
+        sig0 = first0 = None  # of the last row of the batch before
         for b in batches:
             sig, key = b["sig"].to_numpy(), b["key"].to_numpy()
             if not len(sig):
                 continue
             begins = np.empty(len(sig), dtype=bool)
-            begins[0] = sig0 is None or sig[0] != sig0
+            begins[0] = True
             begins[1:] = sig[1:] != sig[:-1]
-            at = np.maximum.accumulate(np.where(begins, np.arange(len(sig)), -1))
-            first = np.where(at >= 0, key[at], 0 if first0 is None else first0)
-            again = np.empty(len(sig), dtype=bool)
-            again[0] = not begins[0] and key[0] == key0
-            again[1:] = ~begins[1:] & (key[1:] == key[:-1])
-            keep = (key != first) & ~again
-            sig0, first0, key0 = sig[-1], first[-1], key[-1]
-            if keep.any():
-                yield _rows(sig=[sig[keep]], first=[first[keep]], key=[key[keep]])
+            least = np.minimum.reduceat(key, np.flatnonzero(begins))
+            if sig0 is not None and sig[0] == sig0:
+                least[0] = first0
+            unit = np.cumsum(begins) - 1
+            sig0, first0 = sig[-1], least[-1]
+            keep = np.flatnonzero(key != least[unit])
+            if not len(keep):
+                continue
+            keep = keep[np.lexsort((key[keep], unit[keep]))]
+            again = np.zeros(len(keep), dtype=bool)
+            again[1:] = (unit[keep][1:] == unit[keep][:-1]) & (key[keep][1:] == key[keep][:-1])
+            keep = keep[~again]
+            yield _rows(sig=[sig[keep]], first=[least[unit[keep]]], key=[key[keep]])
 
     return ordered.mapInArrow(lean(stream), "sig long, first long, key long")
 
