@@ -335,3 +335,35 @@ def test_orphans_are_counted_by_key(spark):
     assert (found([2, 2]), found([1, 2], allow_null=True), found([])) == (3, 0, 4)
     plan = D._orphans(child, child, "k", "x")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join LeftAnti") < plan.rindex("Aggregate [k")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_finished_parts_give_the_facts_of_summed_ones(spark):
+    rows = [raw_row(k, ticker_raw=t, price_avg_raw=10 + i, turnover_qty_raw=i, term_days_raw=None)
+            for k in (1, 2) for t in ("AAA", " BBB ", None) for i in range(3)]
+    parts = N.daily_parts(make_raw(spark, rows))
+    want, got = N.facts_from_parts(parts).drop("created_at"), N.facts_from_parts(N.finished_parts(parts)).drop("created_at")
+    assert got.schema == want.schema
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+
+
+def test_new_facts_stay_on_their_partitions(spark):
+    files = files_df(spark, [(1, "f1.xlsx"), (2, "f2.xlsx")])
+    st, _ = L.load_batch(None, make_raw(spark, [raw_row(1)]), files.where("file_key = 1"))
+    stored = spark.createDataFrame(st.facts.collect(), st.facts.schema)
+    parts = N.daily_parts(make_raw(spark, [raw_row(2)]), tasks=8)
+    ranks = spark.createDataFrame([(2, "2/f2.xlsx")], "file_key long, file_rank string")
+    facts = N.upsert_daily_stats(parts, ranks, stored, 8)
+    assert plan_of(facts).count("Exchange hashpartitioning") == 2  # new rows once, stored facts once
+    assert [r.file_key for r in facts.collect()] == [2]
+
+
+def test_gate_passes_over_tuples_and_facts_once(spark):
+    raw = make_raw(spark, [raw_row(1, currency_code_raw="USD"), raw_row(1, currency_code_raw="A LONG CURRENCY"), raw_row(2, price_min_raw=-1)])
+    found = D.gate_from_parts(N.daily_parts(raw))
+    assert plan_of(found).count("Scan ExistingRDD") == 4  # rows, days, tuples, facts
+    got = {(r.file_key, r.rule, r.violations) for r in found.collect()}
+    assert got == {(1, "instrument_conflict", 1), (1, "currency_code_too_long", 1), (2, "negative_price_min", 1)}

@@ -523,7 +523,7 @@ def _published(spark, sf_dir, **options) -> str:
     """All archives in three loads, published one after the other."""
     root = f"{ensure_checkpoint_dir(spark)}/published-{uuid.uuid4().hex}"
     w, key = wh(spark, sf_dir, keep=False), F.col("file_key")
-    files = L.files_of(w.raw).withColumn("file_order", key)
+    files = L.files_of(w.raw).withColumn("file_order", key).checkpoint()  # a row for each file, listed once
     for low, high in ((None, 199601), (199601, REJECTED), (REJECTED, None)):
         part = (F.lit(True) if low is None else key >= low) & (F.lit(True) if high is None else key < high)
         state_now, _ = L.load_batch(
