@@ -341,6 +341,25 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_numbers_are_rechecked_without_moving_rows(spark):
+    raw = make_raw(spark, [raw_row(1), raw_row(1), raw_row(2)]).withColumn("row_num", F.lit(1))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        semi = [line for line in plan_of(D._to_recheck(raw)).split("\n") if "LeftSemi" in line]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert semi and all("BroadcastHashJoin" in line for line in semi)
+    assert sorted(r.file_key for r in D._to_recheck(raw).collect()) == [1, 1]
+
+
+def test_pairs_are_counted_on_partitions_sized_by_input(spark, monkeypatch):
+    st, _ = L.load_batch(None, make_raw(spark, [raw_row(1)]), files_df(spark, [(1, "f1.xlsx")]))
+    monkeypatch.setattr(D, "tasks_for", lambda df: 77)
+    st.facts, st.raw = st.facts.unionByName(st.facts), st.raw.withColumn("row_num", F.lit(1))
+    assert "77" in plan_of(D.duplicate_checks(st))
+    assert {r.check_name: r.issue_count for r in D.duplicate_checks(st).collect()}["duplicate_market_daily_stats_pairs"] == 1
+
+
 def test_finished_parts_give_the_facts_of_summed_ones(spark):
     rows = [raw_row(k, ticker_raw=t, price_avg_raw=10 + i, turnover_qty_raw=i, term_days_raw=None)
             for k in (1, 2) for t in ("AAA", " BBB ", None) for i in range(3)]

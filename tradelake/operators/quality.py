@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import ANOMALY_TYPES, DEFAULT_INSTRUMENT_TYPE, INSTRUMENT_TYPES
+from ..session import tasks_for
 from .loading import ArchiveState
 
 
@@ -111,15 +112,17 @@ def unproven_files(raw: DataFrame) -> DataFrame:
 
 def _to_recheck(raw: DataFrame) -> DataFrame:
     """Rows of the files that `unproven_files` names; without any, nothing is read again."""
-    failed = unproven_files(raw).withColumnRenamed("file_key", "_failed")
+    failed = F.broadcast(unproven_files(raw).withColumnRenamed("file_key", "_failed"))  # a row for each file: rows stay where they are
     return raw.join(failed, raw["file_key"].eqNullSafe(failed["_failed"]), "left_semi")
 
 
 def duplicate_checks(state: ArchiveState) -> DataFrame:
+    # Nearly every pair is a group of its own: counted on partitions whose number follows the input's size.
+    pairs = state.facts.select("instrument_id", "trade_date")
     parts = [
         _dup_groups(state.instruments, ["ticker"], "duplicate_tickers"),
         _dup_groups(state.issuers, ["issuer_name"], "duplicate_issuer_names"),
-        _dup_groups(state.facts, ["instrument_id", "trade_date"], "duplicate_market_daily_stats_pairs"),
+        _dup_groups(pairs.repartition(tasks_for(state.facts), *pairs.columns), pairs.columns, "duplicate_market_daily_stats_pairs"),
         _dup_groups(_to_recheck(state.raw), ["file_key", "row_num"], "duplicate_raw_file_row_pairs"),
     ]
     res = parts[0]
