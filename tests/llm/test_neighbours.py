@@ -100,3 +100,29 @@ def test_repeated_rows_of_a_copy_group(spark):
     want = brute([(i, np.array(v)) for i, v in rows])
     assert {i: [j for j, _ in v] for i, v in got.items()} == {i: [j for j, _ in v] for i, v in want.items()}
     assert [j for j, _ in got[0]] == [1, 2, 3, 4, 5] and [j for j, _ in got[50]] == [0, 1, 2, 3, 4]
+
+
+def test_a_walk_is_one_row_and_small_leaves_share_units(spark, monkeypatch):
+    """A query's vector is stored once, however many leaves it visits, and sent once to a bundle of leaves."""
+    written, pinned = {}, N.pinned
+    monkeypatch.setattr(N, "pinned", lambda df, name: written.setdefault(name, pinned(df, name)))
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8)) for i in range(3000)]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = result(N.nearest_neighbours(d, d.where("vec_id % 50 = 0"), sample=3000, leaf_rows=32))
+    check_scores(got, rows)
+    assert recall(got, brute(rows)) >= 0.9
+    walks = written["visits"].collect()
+    assert len(walks) == 60
+    assert max(sum(len(leaves) for leaves in w["leaves"]) for w in walks) > 10 and {len(w["bundles"]) for w in walks} == {1}
+
+
+def test_bundles_and_tiles(monkeypatch):
+    assert N.bundles_of({0: 3, 1: 4, 2: 9, 4: 2, 5: 6}, 6, 8) == [0, 0, 1, 2, 2, 2]
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(90, 5)), rng.normal(size=(70, 5))
+    meet = rng.random((70, 90)) < 0.5
+    whole = N.nearest_pairs(np.arange(70), q, np.arange(90), x, 3, lambda some: meet[some])
+    monkeypatch.setattr(N, "TILE", 16)
+    tiled = N.nearest_pairs(np.arange(70), q, np.arange(90), x, 3, lambda some: meet[some])
+    assert all((a == b).all() for a, b in zip(whole, tiled)) and meet[whole[0], whole[1]].all() and len(whole[0]) == 210

@@ -4,8 +4,10 @@ The tree is fitted on a bounded hash sample of the vectors (``sample`` rows), an
 then put into its leaf.  A query walks the tree best bin first: a priority queue holds subtrees by
 the distance of their centre, and leaves are visited in the order they come out.  How many leaves
 a query visits is calibrated: the true neighbours of ``calibration`` queries are found by a scan of
-all rows, and visits are widened until their recall reaches ``recall``.  (query, leaf) visits and
-rows meet by leaf in units of bounded size on both sides, so a crowded leaf spreads over tasks.
+all rows, and visits are widened until their recall reaches ``recall``.  Neighbouring leaves of few
+rows form a bundle: a query's walk is one row, and its vector is sent once to each bundle that holds
+leaves it visits, where it is compared with the rows of these leaves.  Queries and rows of a bundle meet
+in units of bounded size on both sides, so a crowded leaf spreads over tasks.
 
 Of equal vectors only the k + 1 smallest ids can ever be among a query's k nearest (ties go to the
 smaller id), so the others are folded away before indexing, without loss; repeated rows go first.
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import pinned
 
-BLOCK = 2048  # rows, and queries, that meet in one unit
+BLOCK = 4096  # rows, and queries, that meet in one unit
+TILE = 512  # queries of a unit that are compared at a time
+WALKS = 256  # queries that a task walks the tree for and hands on at a time
 
 
 def _rows(column) -> np.ndarray:
@@ -80,15 +84,15 @@ class Tree:
     def visit(self, q: np.ndarray, leaves: int) -> list[int]:
         """The first ``leaves`` leaves, best bin first."""
         q = q / np.sqrt((q * q).sum())
+        far = ((self.centres - q) ** 2).sum(axis=1).tolist()
         out, queue = [], [(0.0, 0)]
         while queue and len(out) < leaves:
             _, n = heapq.heappop(queue)
             if not self.children[n]:
                 out.append(self.leaf[n])
                 continue
-            kids = self.children[n]
-            for d, k in zip(((self.centres[kids] - q) ** 2).sum(axis=1), kids):
-                heapq.heappush(queue, (float(d), k))
+            for k in self.children[n]:
+                heapq.heappush(queue, (far[k], k))
         return out
 
 
@@ -116,18 +120,39 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest_pairs(query_ids, q, ids, x, k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest_pairs(query_ids, q, ids, x, k, meet=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query position, row position, score) of each query's k nearest rows, best first, ties to the
-    smaller id.  A matrix product finds the candidates; the exact measure ranks them."""
-    rough = _unit(q) @ _unit(x).T
-    rough[np.asarray(query_ids)[:, None] == np.asarray(ids)[None, :]] = -np.inf
-    least = np.partition(rough, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(q), -np.inf)
-    qi, xi = np.nonzero((rough >= least[:, None] - 1e-9) & (rough > -np.inf))
-    score = np.concatenate([pair_cosines(q[qi[i : i + 65_536]], x[xi[i : i + 65_536]]) for i in range(0, len(qi), 65_536)] or [np.empty(0)])
-    order = np.lexsort((ids[xi], -score, qi))
-    qi, xi, score = qi[order], xi[order], score[order]
-    rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
-    return qi[rank < k], xi[rank < k], score[rank < k]
+    smaller id.  A matrix product finds the candidates, some queries at a time; the exact measure ranks
+    them.  ``meet``, if given, is true where a query (by queries' positions) meets a row."""
+    query_ids, ids, x_unit, tops = np.asarray(query_ids), np.asarray(ids), _unit(x), []
+    for lo in range(0, len(q), TILE):
+        some = slice(lo, lo + TILE)
+        rough = _unit(q[some]) @ x_unit.T
+        rough[query_ids[some, None] == ids[None, :]] = -np.inf
+        if meet is not None:
+            rough[~meet(some)] = -np.inf
+        least = np.partition(rough, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(rough), -np.inf)
+        qi, xi = np.nonzero((rough >= least[:, None] - 1e-9) & (rough > -np.inf))
+        qi += lo
+        score = np.concatenate([pair_cosines(q[qi[i : i + 65_536]], x[xi[i : i + 65_536]]) for i in range(0, len(qi), 65_536)] or [np.empty(0)])
+        order = np.lexsort((ids[xi], -score, qi))
+        qi, xi, score = qi[order], xi[order], score[order]
+        rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
+        tops.append((qi[rank < k], xi[rank < k], score[rank < k]))
+    return tuple(np.concatenate(c) for c in zip(*tops)) if tops else (np.empty(0, int), np.empty(0, int), np.empty(0))
+
+
+def bundles_of(sizes: dict[int, int], leaves: int, rows: int) -> list[int]:
+    """Bundle of every leaf: leaves that follow each other in the tree, of at most ``rows`` rows together; a
+    larger leaf is a bundle of its own."""
+    out, bundle, held = [], 0, 0
+    for leaf in range(leaves):
+        n = sizes.get(leaf, 0)
+        if held and held + n > rows:
+            bundle, held = bundle + 1, 0
+        out.append(bundle)
+        held += n
+    return out
 
 
 def _scan(rows: DataFrame, queries: list[tuple], k: int) -> DataFrame:
@@ -195,29 +220,43 @@ def nearest_neighbours(
     visits = int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) if ranks else tree.leaves
     sizes = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}  # one for each leaf
 
+    bundles = bundles_of(sizes, tree.leaves, BLOCK)  # one for each leaf
+
     def walk(batches):
         for pdf in batches:
-            rows = []
-            for i, v, key in pdf[["id", "v", "query_key"]].itertuples(index=False):
-                x, most = np.asarray(v, dtype=np.float64), visits
-                leaves = shared.value.visit(x, most)
-                while sum(sizes.get(leaf, 0) for leaf in leaves) < 2 * k + 2 and len(leaves) < shared.value.leaves:
-                    most *= 2  # too few rows seen: widen
+            for lo in range(0, len(pdf), WALKS):
+                part = pdf.iloc[lo : lo + WALKS]
+                groups = []
+                for v in part["v"]:
+                    x, most = np.asarray(v, dtype=np.float64), visits
                     leaves = shared.value.visit(x, most)
-                rows += [(i, v, key, leaf) for leaf in leaves]
-            yield pd.DataFrame(rows, columns=["id", "v", "query_key", "leaf"])
-
-    asked = pinned(q.mapInPandas(walk, "id long, v array<double>, query_key long, leaf int"), "visits")
-    counts = index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("row_blocks"))
-    counts = counts.join(
-        asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("query_blocks")), "leaf"
+                    while sum(sizes.get(leaf, 0) for leaf in leaves) < 2 * k + 2 and len(leaves) < shared.value.leaves:
+                        most *= 2  # too few rows seen: widen
+                        leaves = shared.value.visit(x, most)
+                    own = {}
+                    for leaf in leaves:
+                        own.setdefault(bundles[leaf], []).append(leaf)
+                    groups.append(own)
+                yield part.assign(bundles=[list(g) for g in groups], leaves=[list(g.values()) for g in groups])
+
+    walks = max(1, -(-q.count() // WALKS))  # walking costs time, not bytes
+    asked = q.repartition(walks, "id", "query_key").mapInPandas(
+        walk, "id long, v array<double>, query_key long, bundles array<int>, leaves array<array<int>>"
     )
+    asked = pinned(asked, "visits")  # a row for each query
+    place_of = spark.createDataFrame([(leaf, b) for leaf, b in enumerate(bundles)], "leaf int, bundle int")
+    index = index.join(F.broadcast(place_of), "leaf")
+    counts = index.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("row_blocks"))
+    visited = asked.select(F.explode("bundles").alias("bundle")).groupBy("bundle")
+    counts = counts.join(visited.agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("query_blocks")), "bundle")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = index.join(counts, "leaf").select(
-        "leaf", "id", "v", F.pmod(F.xxhash64("id", "v"), F.col("row_blocks")).cast("int").alias("rb"), every(F.col("query_blocks")).alias("qb")
+    left = index.join(counts, "bundle").select(
+        "bundle", "leaf", "id", "v", F.pmod(F.xxhash64("id", "v"), F.col("row_blocks")).cast("int").alias("rb"), every(F.col("query_blocks")).alias("qb")
     )
-    right = asked.join(counts, "leaf").select(
-        "leaf", "id", "v", "query_key", F.pmod(F.xxhash64("id", "query_key"), F.col("query_blocks")).cast("int").alias("qb"),
+    visits_of = asked.select("id", "v", "query_key", F.explode(F.arrays_zip("bundles", "leaves")).alias("b"))
+    visits_of = visits_of.select("id", "v", "query_key", F.col("b.bundles").alias("bundle"), F.col("b.leaves").alias("leaves"))
+    right = visits_of.join(counts, "bundle").select(
+        "bundle", "leaves", "id", "v", "query_key", F.pmod(F.xxhash64("id", "query_key"), F.col("query_blocks")).cast("int").alias("qb"),
         every(F.col("row_blocks")).alias("rb"),
     )
 
@@ -226,10 +265,12 @@ def nearest_neighbours(
         if not len(rows) or not len(qs):
             return pd.DataFrame({c: [] for c in cols})
         ids, qid, key = rows["id"].to_numpy(), qs["id"].to_numpy(), qs["query_key"].to_numpy()
-        qi, xi, score = nearest_pairs(qid, _rows(qs["v"]), ids, _rows(rows["v"]), k)
+        found, at = np.unique(rows["leaf"].to_numpy(), return_inverse=True)
+        visited = np.array([np.isin(found, leaves) for leaves in qs["leaves"]])  # queries x leaves of the unit
+        qi, xi, score = nearest_pairs(qid, _rows(qs["v"]), ids, _rows(rows["v"]), k, lambda some: visited[some][:, at])
         return pd.DataFrame({"query_id": qid[qi], "query_key": key[qi], "vec_id": ids[xi], "score": score})
 
-    unit = ["leaf", "rb", "qb"]
+    unit = ["bundle", "rb", "qb"]
     met = left.groupBy(*unit).cogroup(right.groupBy(*unit))
     scored = met.applyInPandas(compare, "query_id long, query_key long, vec_id long, score double")
     return _top(scored, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
